@@ -30,6 +30,7 @@ WINDOW = 13
 SHINGLE = 3
 #: Broadcast bound: so many distinct shingles of at most three words each.
 BROADCAST_SHINGLES = 200_000
+BROADCAST_IDS = 500_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -58,6 +59,18 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document row."""
+    return judged(docs, benchmark, window).drop("fp")
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` without its contaminated rows."""
+    bad = stored(judged(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("fp").alias("bad_fp")).distinct(), "contaminated")
+    bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (fingerprint(docs["text"]) == bad["bad_fp"]), "left_anti")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``contamination`` with fp, the fingerprint that tells rows of one doc_id apart."""
     all_windows = stored(windows(benchmark, window), "windows")
     distinct = all_windows.select("key", "len", "win").dropDuplicates(["key"])
     k = F.least(F.col("len"), F.lit(SHINGLE))
@@ -118,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     joined = counted.join(found, (counted.fp == found.fp) & counted.doc_id.eqNullSafe(found.doc_id), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("bigint")
     return joined.select(
-        counted.doc_id, "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0)).cast("bigint").alias("n_items"),
+        counted.doc_id, counted.fp, "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.col("ids"), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

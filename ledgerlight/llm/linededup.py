@@ -22,7 +22,6 @@ first. Extra columns are kept by ``dedup_lines`` and ignored elsewhere.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import stored
@@ -74,15 +73,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with ``text`` rewritten, plus n_lines and n_removed (long)."""
     names = docs.columns
-    doc, part = _key(docs["doc_id"], docs["text"])
     gone = removed_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc": "__doc", "part": "__part", "gone": "__gone"})
     j = docs.join(gone.hint("shuffle_hash"), (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == gone["__doc"]) & (F.hash(docs["text"]) == gone["__part"]), "left")
     ls = F.filter(lines(F.col("text")), lambda x: F.trim(F.translate(x, "\r\n\t", "   ")) != "")
-    taken = F.map_from_arrays("__gone", "__gone")
     kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("__gone", i)), "")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
     n_lines = F.size(ls).cast("bigint")
-    del taken, doc, part
     return j.select(*[c for c in names if c != "text"], text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
@@ -93,4 +89,11 @@ def report(docs: DataFrame) -> DataFrame:
     return d.select("doc_id", "n_lines", "n_removed", F.length(body).cast("bigint").alias("n_chars_left"), F.md5(body).alias("text_md5"))
 
 
-SQL = None
+def rewrite(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines removed; rows that lose every line go, n_chars follows the text."""
+    d = dedup_lines(docs)
+    changed = F.col("n_removed") > 0
+    d = d.where(~(changed & (F.trim(F.translate("text", "\r\n\t", "   ")) == "")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return d.select(docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import bytebpe, decontaminate, linededup, quality, sharding, tokenfile, toxicity, urlfilter, wrapper
+from ledgerlight.llm import bytebpe, decontaminate, linededup, neardup, quality, sharding, tokenfile, toxicity, urlfilter, wrapper
 from ledgerlight.llm.common import read
 
 
@@ -24,6 +24,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(read(spark, sf_dir, "documents"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(read(spark, sf_dir, "pages"), urlfilter.listed_frame(spark))
 
@@ -44,7 +48,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(read(spark, sf_dir, "pages"))
 
 
-OPERATORS = (op1_token_files, op2_decontaminate, op3_quality, op4_line_dedup, op6_url_filter, op7_sharding, op8_byte_bpe, op9_toxicity, op10_html_text)
+OPERATORS = (op1_token_files, op2_decontaminate, op3_quality, op4_line_dedup, op5_near_dedup, op6_url_filter, op7_sharding, op8_byte_bpe, op9_toxicity, op10_html_text)
 
 
 def queries() -> dict:

@@ -178,3 +178,17 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows predicted toxic; all columns pass through as they are."""
+    tune(docs.sparkSession)
+    bias, weights = fit(*sample(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = weights.get
+        for b in batches:
+            z = [bias + sum(map(get, features(tokens(t)) & weights.keys())) if t else bias for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([x < 0 for x in z], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
