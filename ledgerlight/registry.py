@@ -1,17 +1,590 @@
-"""Queries of the library's own operators, by operator id."""
+"""Queries of the library's own operators, by operator id, with their SQL."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ledgerlight import adapter as ad
+from ledgerlight.functions import fmt, scalars
+from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
+from ledgerlight.functions.timewin import TimeFilter, display_range, window
+from ledgerlight.operators import activity, cards, diff, grouping, heatmap, history, kpi, modelstats, rollup, series
+from ledgerlight.schema import LINES, MEASURES, SERIES
+from ledgerlight.sources import logs
+
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+ROOT = "/home/u/.r1/projects"
+CWDS = ["/home/u/code/p0", "/home/u/code/p1", "/home/u/code/p2"]
+KEYS = ["root", "cwd", "date"]
+
+
+def query(name: str, sql: str | None = None, ctes: str = ad.SQL):
+    def add(f: Query) -> Query:
+        _Q[name] = f
+        if sql is not None:
+            _SQL[name] = f"WITH {ctes}{sql}" if ctes else sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_Q)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def money(df: DataFrame, *cols: str, places: int = 9) -> DataFrame:
+    """Costs are multiples of 1e-8 or half of that: nine places hold them exactly."""
+    return df.withColumns({c: F.round(c, places) for c in cols or ("cost",)})
+
+
+def _sum(names) -> str:
+    return ", ".join(f"round(sum({m}), 9) AS {m}" if m == "cost" else f"CAST(sum({m}) AS BIGINT) AS {m}" for m in names)
+
+
+def _day(s: SparkSession, d: str) -> DataFrame:
+    return rollup.day_rollup(ad.usage_events(s, d), ad.session_map(s))
+
+
+def _index(s: SparkSession, d: str) -> DataFrame:
+    return rollup.minute_rollup(ad.usage_events(s, d), ad.session_map(s))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Daily tokens, cost and lines by root and cwd, with active minutes."""
+    return money(_day(spark, sf_dir))
+
+
+# Active minutes: clusters per session, then their union; and with sessions pooled.
+_W1 = """,
+ m1 AS (SELECT DISTINCT root, cwd, date, {session} AS session, {minute} AS minute FROM {rows}),
+ m2 AS (SELECT *, CASE WHEN minute - lag(minute) OVER w <= 5 THEN 0 ELSE 1 END AS brk FROM m1 WINDOW w AS (PARTITION BY root, cwd, date, session ORDER BY minute)),
+ m3 AS (SELECT *, sum(brk) OVER (PARTITION BY root, cwd, date, session ORDER BY minute) AS run FROM m2),
+ m4 AS (SELECT root, cwd, date, min(minute) AS s, max(minute) AS e FROM m3 GROUP BY root, cwd, date, session, run),
+ m5 AS (SELECT *, max(e) OVER (PARTITION BY root, cwd, date ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m4),
+ m6 AS (SELECT *, sum(CASE WHEN s <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY root, cwd, date ORDER BY s, e) AS isle FROM m5),
+ act AS (SELECT root, cwd, date, CAST(sum(n) AS BIGINT) AS active_minutes FROM (SELECT root, cwd, date, max(e) - min(s) + 1 AS n FROM m6 GROUP BY root, cwd, date, isle) GROUP BY root, cwd, date)"""
+PER_SESSION = _W1.format(session="session_file", minute="minute", rows="j")
+POOLED = _W1.format(session="0", minute="minute", rows="j")
+_DAY = f"{PER_SESSION}, day AS (SELECT root, cwd, date, {', '.join(f'sum({m}) AS {m}' for m in MEASURES)} FROM j GROUP BY root, cwd, date)"
+_IDX = f", idx AS (SELECT root, cwd, family AS model, date, minute, {', '.join(f'sum({m}) AS {m}' for m in MEASURES)} FROM j GROUP BY root, cwd, family, date, minute)"
+
+
+@query("j1_attach_sessions", "SELECT event_id, session_file, root, cwd, date, CAST(minute AS INTEGER) AS minute FROM j")
+def _j1(s, d):
+    return rollup.attach(ad.base(s, d), ad.session_map(s)).select("event_id", "session_file", "root", "cwd", "date", "minute")
+
+
+@query("x8_x9_cost", "SELECT event_id, model, round(cost, 9) AS cost FROM u")
+def _x8(s, d):
+    return ad.base(s, d).select("event_id", "model", F.round("cost", 9).alias("cost"))
+
+
+@query("x10_normalize_model", "SELECT event_id, model, family FROM u")
+def _x10(s, d):
+    return ad.base(s, d).select("event_id", "model", normalize_model(F.col("model")).alias("family"))
+
+
+@query("x13_local_date_minute", "SELECT event_id, CAST(ts AS DATE) AS date, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute FROM events", "")
+def _x13(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", scalars.local_date(F.col("ts")).alias("date"), scalars.local_minute(F.col("ts")).alias("minute"))
+
+
+@query("a1_day_rollup", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
+def _a1(s, d):
+    return money(_day(s, d))
+
+
+@query("a2_minute_rollup", f" SELECT root, cwd, family AS model, date, CAST(minute AS INTEGER) AS minute, {_sum(MEASURES)} FROM j GROUP BY root, cwd, family, date, minute")
+def _a2(s, d):
+    return money(_index(s, d))
+
+
+def _daily_sql(where: str = "true", source: str = "j") -> str:
+    cols = ", ".join(f"CAST(nullif(sum({m}), 0) AS BIGINT) AS {m}" if m in LINES else f"round(sum({m}), 9) AS {m}" if m == "cost" else f"CAST(sum({m}) AS BIGINT) AS {m}" for m in SERIES)
+    return f" SELECT date, {cols} FROM {source} WHERE {where} GROUP BY date"
+
+
+@query("a3_daily_tokens", _daily_sql())
+def _a3(s, d):
+    return money(rollup.daily(_day(s, d)))
+
+
+@query("a3_f1_f2_daily_of_root_and_project", _daily_sql(f"root = '{ROOT}' AND cwd IN ({', '.join(repr(c) for c in CWDS)})"))
+def _a3f(s, d):
+    return money(rollup.daily(_day(s, d), ROOT, CWDS))
+
+
+@query("f3_f4_unknown_root_or_cwd", _daily_sql("false"))
+def _f3(s, d):
+    return money(rollup.daily(_day(s, d), "/nowhere").unionByName(rollup.daily(_day(s, d), None, ["/nowhere"])))
+
+
+@query("a4_minute_tokens", f" SELECT date, CAST(minute AS INTEGER) AS minute, {_sum(SERIES)} FROM j GROUP BY date, minute")
+def _a4(s, d):
+    return money(rollup.minutes(_index(s, d)))
+
+
+_FILTERS = {
+    TimeFilter.ALL: "true",
+    TimeFilter.LAST_MONTH: "date BETWEEN (SELECT today - 29 FROM now) AND (SELECT today FROM now)",
+    TimeFilter.LAST_WEEK: "date BETWEEN (SELECT today - 6 FROM now) AND (SELECT today FROM now)",
+    TimeFilter.TODAY: "date = (SELECT today FROM now)",
+}
+for _f, _n in ((TimeFilter.HOUR12, 720), (TimeFilter.HOUR1, 60)):
+    _at = f"(SELECT at_ - INTERVAL {_n} MINUTE FROM now)"
+    _FILTERS[_f] = f"date BETWEEN CAST({_at} AS DATE) AND (SELECT today FROM now) AND NOT (date = CAST({_at} AS DATE) AND minute < hour({_at}) * 60 + minute({_at}))"
+
+_IDS = {TimeFilter.ALL: "f5_all", TimeFilter.LAST_MONTH: "f8_last_month", TimeFilter.LAST_WEEK: "f7_last_week", TimeFilter.TODAY: "f6_today", TimeFilter.HOUR12: "f9_f10_hour12", TimeFilter.HOUR1: "f9_f10_hour1"}
+
+
+def _windowed(f: TimeFilter):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        w = window(f, ad.as_of(s, d))
+        out = rollup.daily_from_minutes(rollup.minutes(_index(s, d)), w) if f.is_subday else rollup.daily(_day(s, d)).where(w.has_date(F.col("date")))
+        return money(out)
+
+    return run
+
+
+for _f, _id in _IDS.items():
+    _sub = f" SELECT date, {_sum(SERIES)} FROM j WHERE {_FILTERS[_f]} GROUP BY date"
+    query(f"{_id}_daily", _sub if _f.is_subday else _daily_sql(_FILTERS[_f]))(_windowed(_f))
+
+
+def _pooled(where: str, ctes: str = POOLED) -> str:
+    return ctes.replace("FROM j)", f"FROM j WHERE {where})", 1)
+
+
+@query("a6_subday_rollup", f"{_pooled(_FILTERS[TimeFilter.HOUR12])}, d AS (SELECT * FROM j WHERE {_FILTERS[TimeFilter.HOUR12]}) SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM d JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
+def _a6(s, d):
+    return money(rollup.subday(_index(s, d), window(TimeFilter.HOUR12, ad.as_of(s, d))))
+
+
+_SQUEEZE = "(minute // 16)"
+
+
+@query("w1_active_minutes", _W1.format(session="session_file", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _w1(s, d):
+    return rollup.day_rollup(ad.compressed_events(s, d), ad.session_map(s)).select(*KEYS, "active_minutes")
+
+
+@query("w2_pooled_active_minutes", _W1.format(session="0", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _w2(s, d):
+    return activity.pooled_active_minutes(rollup.attach(ad.compressed_events(s, d), ad.session_map(s)).select(*KEYS, "minute"))
+
+
+@query("w2b_session_window_minutes", _W1.format(session="0", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _w2b(s, d):
+    return activity.session_window_minutes(rollup.attach(ad.compressed_events(s, d), ad.session_map(s)).select(*KEYS, "ts"))
+
+
+def _history(s: SparkSession, d: str) -> DataFrame:
+    """A made-up past: odd days only, some measures higher, and one deleted project."""
+    day = _day(s, d).where(F.dayofmonth("date") % 2 == 1)
+    grown = day.withColumns({"input": F.col("input") + 1000, "output": F.floor(F.col("output") / 2).cast("bigint"), "cost": F.col("cost") / 2})
+    return grown.unionByName(grown.where("cwd = '/home/u/code/p1'").withColumn("cwd", F.lit("/home/u/old")))
+
+
+_MERGE = f"""{_DAY}, fresh AS (SELECT day.*, active_minutes FROM day JOIN act USING (root, cwd, date)),
+ h1 AS (SELECT * REPLACE (input + 1000 AS input, output // 2 AS output, cost / 2 AS cost) FROM fresh WHERE day(date) % 2 = 1),
+ h AS (SELECT * FROM h1 UNION ALL SELECT * REPLACE ('/home/u/old' AS cwd) FROM h1 WHERE cwd = '/home/u/code/p1'),
+ merged AS (SELECT root, cwd, date, {', '.join(f'greatest(coalesce(a.{m}, b.{m}), coalesce(b.{m}, a.{m})) AS {m}' for m in [*MEASURES, 'active_minutes'])} FROM fresh a FULL JOIN h b USING (root, cwd, date))"""
+
+
+@query("j6_u3_history_merge", f"{_MERGE} SELECT root, cwd, date, {', '.join(f'round({m}, 9) AS {m}' if m == 'cost' else f'CAST({m} AS BIGINT) AS {m}' for m in [*MEASURES, 'active_minutes'])} FROM merged")
+def _j6(s, d):
+    return money(history.merge(_history(s, d), _day(s, d)))
+
+
+_KPI = """, dl AS ({daily}), act2 AS (SELECT DISTINCT date FROM dl WHERE input + output > 0 AND date <= (SELECT today FROM now)),
+ st AS (SELECT count(*) AS streak FROM (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS b FROM act2) WHERE date + CAST(b AS INTEGER) = (SELECT today FROM now))
+ SELECT coalesce(round(sum(cost), 9), 0.0) AS total_cost, CASE WHEN sum(suggested) > 0 THEN least(coalesce(sum(accepted), 0) / sum(suggested)::DOUBLE * 100, 100.0) ELSE 0.0 END AS accept_rate,
+ count(DISTINCT date) AS active_days, CAST(coalesce(max(date) - min(date) + 1, 0) AS BIGINT) AS total_days,
+ CAST(CASE WHEN count(DISTINCT date) > 0 THEN (sum(input) + sum(output)) // count(DISTINCT date) ELSE 0 END AS BIGINT) AS avg_tokens,
+ CASE WHEN coalesce(sum(added), 0) + coalesce(sum(deleted), 0) > 0 THEN (sum(input) + sum(output)) / (coalesce(sum(added), 0) + coalesce(sum(deleted), 0))::DOUBLE ELSE 0.0 END AS efficiency,
+ any_value(st.streak) AS streak FROM dl, st"""
+
+
+def _kpi(f: TimeFilter):
+    run_daily = _windowed(f)
+    return lambda s, d: money(kpi.kpis(run_daily(s, d), ad.as_of(s, d)), "total_cost")
+
+
+for _f in (TimeFilter.ALL, TimeFilter.LAST_WEEK, TimeFilter.HOUR12):
+    _body = f"SELECT date, {_sum(SERIES)} FROM j WHERE {_FILTERS[_f]} GROUP BY date" if _f.is_subday else _daily_sql(_FILTERS[_f])
+    query(f"a8_a12_w3_kpis_{_f.name.lower()}", _KPI.format(daily=_body))(_kpi(_f))
+
+
+# Model statistics.
+_BRIDGE = ", br AS (SELECT cwd, max_by(root_key, pos) AS root_key FROM (SELECT pos, root_key, unnest(cwds) AS cwd FROM g) GROUP BY cwd)"
+_STATS = f"{_IDX}{_BRIDGE}, ms AS (SELECT idx.*, root_key FROM idx JOIN br USING (cwd))"
+
+
+def _stats(s: SparkSession, d: str, f: TimeFilter = TimeFilter.ALL, by_minute: bool = False) -> dict[str, DataFrame]:
+    return modelstats.model_stats(_index(s, d), modelstats.cwd_bridge(ad.groups(s)), window(f, ad.as_of(s, d)), by_minute=by_minute)
+
+
+_TOKENS = " SELECT root_key, model, CAST(sum(input + output) AS BIGINT) AS tokens FROM ms WHERE model <> 'other' OR input + output > 0 GROUP BY root_key, model"
+
+
+@query("a7_f16_f18_j2_model_tokens", _STATS + _TOKENS)
+def _a7(s, d):
+    return _stats(s, d)["tokens"]
+
+
+@query("a7_f17_model_daily_costs", _STATS + " SELECT root_key, model, date, round(sum(cost), 9) AS cost FROM ms WHERE cost > 0 GROUP BY root_key, model, date")
+def _a7d(s, d):
+    return money(_stats(s, d)["daily"])
+
+
+@query("a7_model_minute_costs_today", _STATS + f" SELECT root_key, model, date, CAST(minute AS INTEGER) AS minute, round(sum(cost), 9) AS cost FROM ms WHERE cost > 0 AND {_FILTERS[TimeFilter.TODAY]} GROUP BY root_key, model, date, minute")
+def _a7m(s, d):
+    return money(_stats(s, d, TimeFilter.TODAY, True)["minute"])
+
+
+@query("a17_o5_model_shares", _STATS + f", t AS ({_TOKENS}), sh AS (SELECT root_key, model, tokens / sum(tokens) OVER (PARTITION BY root_key)::DOUBLE AS share FROM t) SELECT root_key, model, round(share, 9) AS share, CAST(row_number() OVER (PARTITION BY root_key ORDER BY share DESC, model) AS INTEGER) AS rank FROM sh")
+def _a17(s, d):
+    return modelstats.shares(_stats(s, d)["tokens"]).withColumn("share", F.round("share", 9))
+
+
+_ORD = f"list_position({MODEL_ORDER!r}, model)"
+
+
+@query("a18_model_series", _STATS + f", dc AS (SELECT root_key, model, date, sum(cost) AS cost FROM ms WHERE cost > 0 GROUP BY root_key, model, date) SELECT root_key, model, date, round(cost, 9) AS cost, CAST(dense_rank() OVER (PARTITION BY root_key ORDER BY {_ORD}) - 1 AS INTEGER) AS place FROM dc")
+def _a18(s, d):
+    x = modelstats.daily_series(_stats(s, d)["daily"]).select("root_key", F.posexplode("model_daily_costs").alias("place", "m"))
+    return money(x.select("root_key", "place", "m.model", F.explode("m.series").alias("p")).select("root_key", "model", "p.date", "p.cost", "place"))
+
+
+# Cards.
+_HIDDEN = "/home/u/code/p3"
+_CARDS = f"""{_DAY}, dd AS (SELECT day.*, active_minutes FROM day JOIN act USING (root, cwd, date)),
+ vis AS (SELECT root_key, CASE WHEN root_key = '/home/u/code/p5' THEN 'Five' ELSE name END AS name, root_key = '/home/u/code/p4' AS starred, pos, sessions, cwds FROM g WHERE root_key <> '{_HIDDEN}'),
+ vc AS (SELECT root_key, unnest(cwds) AS cwd FROM vis),
+ ct AS (SELECT root_key, sum(cost) AS total_cost, sum(input) AS tokens_in, sum(output) AS tokens_out, sum(cache_read + cache_creation) AS tokens_cache, sum(added) AS lines_added, sum(deleted) AS lines_deleted,
+   sum(suggested) AS lines_suggested, sum(accepted) AS lines_accepted, min(date) AS first_activity, max(date) AS last_activity, count(DISTINCT date) AS active_days, sum(active_minutes) AS time_minutes
+   FROM vc JOIN dd USING (cwd) WHERE {{where}} GROUP BY root_key),
+ cd AS (SELECT *, CASE WHEN lines_added + lines_deleted > 0 THEN (tokens_in + tokens_out) / (lines_added + lines_deleted)::DOUBLE ELSE 0.0 END AS efficiency FROM vis JOIN ct USING (root_key)),
+ ranked AS (SELECT *, row_number() OVER (ORDER BY starred DESC, total_cost DESC, pos) AS rank FROM cd),
+ q AS (SELECT coalesce(quantile_cont(efficiency, [0.25, 0.5, 0.75]), [500.0, 1000.0, 1500.0]) AS q FROM cd WHERE efficiency > 0)"""
+_TOTALS = ["tokens_in", "tokens_out", "tokens_cache", "lines_added", "lines_deleted", "lines_suggested", "lines_accepted", "active_days", "time_minutes"]
+_CARD = ["root_key", "name", "starred", "sessions", "total_cost", *_TOTALS, "first_activity", "last_activity", "efficiency", "net_lines", "total_lines", "span_days", "accept_pct", "rank", "bars"]
+_CARD_SQL = f""" SELECT root_key, name, starred, CAST(sessions AS BIGINT) AS sessions, round(total_cost, 9) AS total_cost, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in _TOTALS)}, first_activity, last_activity, efficiency,
+ CAST(lines_added - lines_deleted AS BIGINT) AS net_lines, CAST(lines_added + lines_deleted AS BIGINT) AS total_lines, CAST(last_activity - first_activity + 1 AS INTEGER) AS span_days,
+ CASE WHEN lines_suggested > 0 THEN lines_accepted / lines_suggested::DOUBLE * 100 END AS accept_pct, CAST(rank AS INTEGER) AS rank,
+ CASE WHEN efficiency > 0 THEN CASE WHEN efficiency <= q[1] THEN 4 WHEN efficiency <= q[2] THEN 3 WHEN efficiency <= q[3] THEN 2 ELSE 1 END END AS bars FROM ranked, q"""
+
+
+def _cards(s: SparkSession, d: str, f: TimeFilter = TimeFilter.ALL) -> DataFrame:
+    return cards.cards(ad.groups(s), ad.overrides().display(s), _day(s, d), _stats(s, d, f), window(f, ad.as_of(s, d)))
+
+
+for _f in (TimeFilter.ALL, TimeFilter.LAST_WEEK):
+    query(f"a13_a15_x24_o2_cards_{_f.name.lower()}", _CARDS.format(where=_FILTERS[_f]) + _CARD_SQL)(
+        lambda s, d, f=_f: money(cards.ordered(cards.with_gauge(_cards(s, d, f))).select(_CARD), "total_cost")
+    )
+
+
+@query("f13_j3_cards_of_project", _CARDS.format(where="true").replace("WHERE root_key <> '/home/u/code/p3'", "WHERE root_key <> '/home/u/code/p3' AND list_has_any(cwds, ['/home/u/code/p0'])") + " SELECT root_key, name, CAST(tokens_in AS BIGINT) AS tokens_in, CAST(active_days AS BIGINT) AS active_days FROM ranked")
+def _f13(s, d):
+    shown = cards.visible(ad.groups(s), ad.overrides().display(s), ["/home/u/code/p0"])
+    return shown.join(cards.card_totals(shown, _day(s, d), window(TimeFilter.ALL, ad.as_of(s, d))), "root_key").select("root_key", "name", "tokens_in", "active_days")
+
+
+@query("a16_card_series", _CARDS.format(where="true") + " SELECT root_key, date, round(sum(cost), 9) AS cost, CAST(sum(input) AS BIGINT) AS input, CAST(sum(output) AS BIGINT) AS output FROM vc JOIN dd USING (cwd) GROUP BY root_key, date")
+def _a16(s, d):
+    z = F.explode(F.arrays_zip("daily_cost", "daily_input", "daily_output"))
+    x = _cards(s, d).select("root_key", z.alias("z"))
+    return money(x.select("root_key", "z.daily_cost.date", F.col("z.daily_cost.value").alias("cost"), F.col("z.daily_input.value").alias("input"), F.col("z.daily_output.value").alias("output")))
+
+
+@query("a22_efficiency_quartiles", _CARDS.format(where="true") + " SELECT i AS part, round(q[i], 6) AS value FROM q, (SELECT unnest([1, 2, 3]) AS i)")
+def _a22(s, d):
+    x = cards.efficiency_quartiles(_cards(s, d)).select(F.posexplode("q").alias("part", "value"))
+    return x.select((F.col("part") + 1).alias("part"), F.round("value", 6).alias("value"))
+
+
+@query("o7_second_page", _CARDS.format(where="true") + " SELECT root_key, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank > 4 AND rank <= 8")
+def _o7(s, d):
+    return cards.page(_cards(s, d), 4, 4).select("root_key", "rank")
+
+
+@query("j4_j9_w6_card_models", _CARDS.format(where="true") + f"{_STATS}, t AS ({_TOKENS}) SELECT root_key, CAST(rank AS INTEGER) AS rank, model, CAST(tokens AS BIGINT) AS tokens FROM ranked LEFT JOIN t USING (root_key)")
+def _j4(s, d):
+    return cards.ordered(_cards(s, d)).select("root_key", "rank").join(_stats(s, d)["tokens"], "root_key", "left").select("root_key", "rank", "model", "tokens")
+
+
+# Heatmaps.
+_TH = """(SELECT CASE WHEN len(v) > 0 THEN [v[len(v) // 4 + 1], v[len(v) // 2 + 1], v[len(v) * 3 // 4 + 1], v[len(v)]] ELSE [1, 2, 3, 4] END FROM (SELECT list_sort(coalesce(list({c}) FILTER (WHERE {c} > 0), [])) AS v FROM {t}))"""
+_DL = f", dl AS ({_daily_sql()})"
+
+
+@query("a20_a21_thresholds", _DL + " SELECT c AS measure, CAST(i AS INTEGER) AS rank, CAST(t[i] AS BIGINT) AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {_TH.format(c=c, t='dl')} AS t" for c in ("input", "output", "accepted")) + "), (SELECT unnest([1, 2, 3, 4]) AS i)")
+def _a20(s, d):
+    t = heatmap.thresholds(rollup.daily(_day(s, d)))
+    rows = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("t")) for c in ("input", "output", "accepted")])
+    return t.select(F.explode(rows).alias("x")).select("x.measure", F.posexplode("x.t").alias("rank", "value")).withColumn("rank", F.col("rank") + 1)
+
+
+_BOX = "SELECT CAST(b AS INTEGER) AS bucket, {cells}, CAST(CASE WHEN sum(coalesce(suggested, 0)) > 0 THEN trunc(least(sum(coalesce(accepted, 0)) / sum(coalesce(suggested, 0))::DOUBLE * 100, 100.0)) ELSE 0 END AS BIGINT) AS rate, CAST({row} AS INTEGER) AS row, CAST({col} AS INTEGER) AS col, b < {active} AS active FROM range({n}) r(b) LEFT JOIN ({src}) x ON x.bk = b GROUP BY b"
+_CELLS = ", ".join(f"CAST(sum(coalesce({c}, 0)) AS BIGINT) AS {c}" for c in heatmap.CELLS)
+_STARTS = {"today": "(SELECT date_trunc('day', at_) FROM now)", "hours12": "(SELECT date_trunc('hour', at_ - INTERVAL 11 HOUR) FROM now)", "hour1": "(SELECT date_trunc('minute', at_ - INTERVAL 59 MINUTE) FROM now)"}
+_MODES = {"today": (heatmap.TODAY, "b % 6", "b // 6"), "hours12": (heatmap.HOURS12, "b % 6", "b // 6"), "hour1": (heatmap.HOUR1, "b // 10", "b % 10")}
+_BOXES = {}
+for _name, (_mode, _row, _col) in _MODES.items():
+    _st = _STARTS[_name]
+    _src = f"SELECT date_diff('minute', {_st}, date_trunc('minute', ts)) // {_mode.minutes} AS bk, j.* FROM j WHERE ts >= {_st}"
+    _active = f"(SELECT least(CAST(floor(epoch(at_) - epoch({_st})) AS BIGINT) // 60 // {_mode.minutes} + 1, {_mode.buckets}) FROM now)"
+    _BOXES[_name] = _BOX.format(cells=_CELLS, row=_row, col=_col, active=_active, n=_mode.buckets, src=_src)
+    query(f"b1_b4_intraday_{_name}", " " + _BOXES[_name])(lambda s, d, m=_mode: heatmap.intraday(rollup.minutes(_index(s, d)), m, ad.as_of(s, d)))
+
+_BOXES["weekly"] = _BOX.format(cells=_CELLS, row="b % 6", col="b // 6", active="(SELECT 36 + hour(at_) // 4 + 1 FROM now)", n=42, src="SELECT (date - (SELECT today - 6 FROM now)) * 6 + (minute // 60) // 4 AS bk, j.* FROM j")
+
+
+@query("b5_b6_weekly", " " + _BOXES["weekly"])
+def _b5(s, d):
+    return heatmap.weekly(rollup.minutes(_index(s, d)), ad.as_of(s, d))
+
+
+_PANEL = f", bx AS ({_BOXES['weekly']}), ac AS (SELECT * FROM bx WHERE active) SELECT " + ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}_total" for c in heatmap.CELLS)
+
+
+@query("a23_panel_totals", _PANEL + ", CASE WHEN sum(suggested) > 0 THEN least(sum(accepted) / sum(suggested)::DOUBLE * 100, 100.0) ELSE 0.0 END AS rate, " + ", ".join(f"any_value(CAST({_TH.format(c=c, t='ac')} AS VARCHAR)) AS {c}_thresholds" for c in ("input", "output", "accepted")) + " FROM ac")
+def _a23(s, d):
+    p = heatmap.panel(_b5(s, d))
+    text = {f"{c}_thresholds": F.concat(F.lit("["), F.array_join(F.col(f"{c}_thresholds").cast("array<string>"), ", "), F.lit("]")) for c in ("input", "output", "accepted")}
+    return p.withColumns(text)
+
+
+_LEVEL = "CASE WHEN value = 0 THEN 0 WHEN value <= t[1] THEN 1 WHEN value <= t[2] THEN 2 WHEN value <= t[3] THEN 3 WHEN value <= t[4] THEN 4 WHEN value IS NOT NULL THEN 4 END"
+
+
+@query("b7_x20_calendar", _DL + f""", th AS (SELECT {_TH.format(c='input', t='dl')} AS t), r AS (SELECT today, min(date) AS first FROM dl, now GROUP BY today),
+ st AS (SELECT today, today - CAST(dayofweek(today) AS INTEGER) - 7 * (CAST(least(53, ceil((today - first + 1) / 7.0) + 1) AS INTEGER) - 1) AS s FROM r),
+ days AS (SELECT s, CAST(unnest(generate_series(s, today, INTERVAL 1 DAY)) AS DATE) AS date FROM st)
+ SELECT days.date, CAST((days.date - s) // 7 AS INTEGER) AS week, CAST((days.date - s) % 7 AS INTEGER) AS weekday, value, CAST({_LEVEL} AS INTEGER) AS level FROM days LEFT JOIN (SELECT date, input AS value FROM dl) x USING (date), th""")
+def _b7(s, d):
+    day, at = rollup.daily(_day(s, d)), ad.as_of(s, d)
+    first, last = display_range(TimeFilter.ALL, at, day.agg(F.min("date")).first()[0])
+    return heatmap.calendar(day, "input", first, last, at, heatmap.thresholds(day))
+
+
+@query("w4_w5_x34_trend", _DL + """, gd AS (SELECT CAST(i AS INTEGER) AS i, (SELECT today - 27 FROM now) + CAST(i AS INTEGER) AS date FROM range(28) r(i)), v AS (SELECT i, gd.date, coalesce(CAST(output AS DOUBLE), 0.0) AS value FROM gd LEFT JOIN dl USING (date)),
+ sm2 AS (SELECT *, avg(value) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smoothed FROM v)
+ SELECT i, date, value, round(smoothed, 6) AS smoothed, round(cbrt(smoothed), 6) AS scaled, round(greatest(max(cbrt(smoothed)) OVER (), 1.0), 6) AS top FROM sm2""")
+def _w4(s, d):
+    return money(heatmap.trend(rollup.daily(_day(s, d)), "output", 28, ad.as_of(s, d)), "smoothed", "scaled", "top", places=6)
+
+
+@query("x21_j11_accept_rate_by_day", _DL + " SELECT date, CAST(trunc(least(coalesce(accepted, 0) / suggested::DOUBLE * 100, 100.0)) AS BIGINT) AS rate FROM dl WHERE suggested > 0")
+def _x21(s, d):
+    return rollup.daily(_day(s, d)).where("suggested > 0").select("date", scalars.accept_rate(F.coalesce("accepted", F.lit(0)), F.col("suggested")).alias("rate"))
+
+
+# Chart series.
+_DENSE = f"{_STATS}, dc AS (SELECT root_key, model, date, sum(cost) AS c FROM ms WHERE cost > 0 GROUP BY root_key, model, date), rg AS (SELECT min(date) AS a, (SELECT today FROM now) AS b FROM j), k AS (SELECT DISTINCT root_key, model FROM dc), grid AS (SELECT root_key, model, CAST(i AS INTEGER) AS i, a + CAST(i AS INTEGER) AS date FROM k, (SELECT a, unnest(range(b - a + 1)) AS i FROM rg)), dn AS (SELECT root_key, model, i, coalesce(c, 0.0) AS value FROM grid LEFT JOIN dc USING (root_key, model, date))"
+_KEYS = ("root_key", "model")
+
+
+def _dense(s: SparkSession, d: str) -> tuple[DataFrame, int]:
+    daily, at = _stats(s, d)["daily"], ad.as_of(s, d)
+    first, last = display_range(TimeFilter.ALL, at, rollup.daily(_day(s, d)).agg(F.min("date")).first()[0])
+    return series.dense_daily(daily, "cost", first, last, _KEYS), (last - first).days + 1
+
+
+@query("b9_j8_dense_daily", _DENSE + " SELECT root_key, model, i, round(value, 9) AS value FROM dn")
+def _b9(s, d):
+    return money(_dense(s, d)[0], "value")
+
+
+def _rebucket_sql(width: int) -> str:
+    down = f"SELECT root_key, model, CAST(o AS INTEGER) AS i, round(sum(value), 9) AS value FROM dn, n, range({width}) w(o) WHERE n.n > {width} AND i >= floor(o * (n.n / {width}::DOUBLE)) AND i < floor((o + 1) * (n.n / {width}::DOUBLE)) GROUP BY root_key, model, o"
+    up = f"SELECT root_key, model, CAST(o AS INTEGER) AS i, round(value, 9) AS value FROM dn, n, range({width}) w(o) WHERE n.n <= {width} AND i = o * n.n // {width}"
+    return f"{_DENSE}, n AS (SELECT b - a + 1 AS n FROM rg) {down} UNION ALL {up}"
+
+
+for _w in (12, 100):
+    query(f"b10_rebucket_{_w}", _rebucket_sql(_w))(lambda s, d, w=_w: money(series.rebucket(*_dense(s, d), w, _KEYS), "value"))
+
+
+@query("b11_x35_sparkline", f"{_DENSE}, n AS (SELECT b - a + 1 AS n FROM rg), sp AS (SELECT root_key, model, o AS i, sum(value) AS value FROM dn, n, range(12) w(o) WHERE i >= floor(o * (n.n / 12::DOUBLE)) AND i < floor((o + 1) * (n.n / 12::DOUBLE)) GROUP BY root_key, model, o), mx AS (SELECT *, cbrt(value) AS c, max(cbrt(value)) OVER (PARTITION BY root_key, model) AS m FROM sp) SELECT root_key, model, CAST(i AS INTEGER) AS i, CAST(CASE WHEN m <= 0 OR value <= 0 THEN 0 ELSE least(greatest(round(c / m * 7), 1), 7) END AS INTEGER) AS level FROM mx")
+def _b11(s, d):
+    return series.sparkline(series.rebucket(*_dense(s, d), 12, _KEYS, upsample=False), _KEYS).select(*_KEYS, "i", "level")
+
+
+@query("b12_b13_minute_buckets", f"{_STATS}, mc AS (SELECT root_key, model, minute, sum(cost) AS c FROM ms WHERE cost > 0 AND {_FILTERS[TimeFilter.TODAY]} GROUP BY root_key, model, minute), k AS (SELECT DISTINCT root_key, model FROM mc), st AS (SELECT greatest(hour(at_) * 60 + minute(at_) - 720, 0) AS s FROM now) SELECT root_key, model, CAST(b AS INTEGER) AS i, round(coalesce(sum(c), 0.0), 9) AS value FROM k CROSS JOIN range(24) r(b) CROSS JOIN st LEFT JOIN mc ON mc.root_key = k.root_key AND mc.model = k.model AND mc.minute >= s AND (mc.minute - s) // 30 = b GROUP BY ALL".replace("SELECT root_key, model, CAST(b", "SELECT k.root_key, k.model, CAST(b"))
+def _b12(s, d):
+    stats = _stats(s, d, TimeFilter.TODAY, True)
+    return money(series.minute_buckets(stats["minute"], "cost", series.GRANULARITY[TimeFilter.HOUR12], ad.as_of(s, d), _KEYS), "value")
+
+
+@query("a25_a26_stacked_layers", f"{_DENSE}, tt AS (SELECT *, sum(value) OVER (PARTITION BY root_key, i) AS total, sum(value) OVER (PARTITION BY root_key, i ORDER BY {_ORD} ROWS UNBOUNDED PRECEDING) AS run FROM dn), tp AS (SELECT *, max(total) OVER (PARTITION BY root_key) AS top FROM tt) SELECT root_key, model, i, round(total, 9) AS total, round(run / CASE WHEN top > 0 THEN top ELSE 1 END, 6) AS layer FROM tp")
+def _a25(s, d):
+    return money(money(series.stacked(_dense(s, d)[0], ("root_key",)).select("root_key", "model", "i", "total", "layer"), "total"), "layer", places=6)
+
+
+# Diffs, sources and groups.
+_TURNS = "SELECT conv_id, turn, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS old, text AS new FROM conversations"
+
+
+def _lines_sql(c: str) -> str:
+    arr = f"string_split(replace(coalesce({c}, ''), chr(13) || chr(10), chr(10)), chr(10))"
+    return f"CASE WHEN {arr}[-1] = '' THEN {arr}[:-2] ELSE {arr} END"
+
+
+_DIFF = f"WITH p AS ({_TURNS}), l AS (SELECT conv_id, turn, unnest({_lines_sql('new')}) AS line, 1 AS d FROM p UNION ALL SELECT conv_id, turn, unnest({_lines_sql('old')}) AS line, -1 AS d FROM p), n AS (SELECT conv_id, turn, line, sum(d) AS d FROM l GROUP BY conv_id, turn, line), s AS (SELECT conv_id, turn, sum(greatest(d, 0)) AS added, sum(greatest(-d, 0)) AS removed FROM n GROUP BY conv_id, turn) SELECT conv_id, turn, CAST(coalesce(added, 0) AS BIGINT) AS added, CAST(coalesce(removed, 0) AS BIGINT) AS removed FROM p LEFT JOIN s USING (conv_id, turn)"
+
+
+def _turns(s: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("conv_id").orderBy("turn")
+    return s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.lag("text").over(w).alias("old"), F.col("text").alias("new"))
+
+
+@query("x6_x7_line_diff", _DIFF, "")
+def _x6(s, d):
+    return diff.diff_lines(_turns(s, d), ["conv_id", "turn"], "old", "new")
+
+
+@query("x6_line_diff_inline", _DIFF, "")
+def _x6i(s, d):
+    from ledgerlight.functions.lines import count_diff_lines
+
+    a, r = count_diff_lines(F.col("old"), F.col("new"))
+    return _turns(s, d).select("conv_id", "turn", a.alias("added"), r.alias("removed"))
+
+
+def _as_lines(s: SparkSession, d: str) -> DataFrame:
+    """The adapter's events written as JSONL lines, with lines that must be dropped."""
+    e = ad.base(s, d)
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    usage = F.struct(F.col("input").alias("input_tokens"), F.col("output").alias("output_tokens"), F.col("cache_read").alias("cache_read_input_tokens"), F.col("cache_creation").alias("cache_creation_input_tokens"))
+    # An edit of k % 17 new lines and k % 5 old ones.
+    body = lambda c, n: F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(n, F.lit(1))), lambda i: F.concat(F.lit(c), i.cast("string"))), "\n")
+    text = lambda c, n: F.when(n > 0, body(c, n))
+    edit = F.array(F.struct(F.lit("tool_use").alias("type"), F.lit("Edit").alias("name"), F.struct(text("o", F.col("deleted")).alias("old_string"), text("n", F.col("added")).alias("new_string")).alias("input")))
+    said = F.to_json(F.struct(at.alias("timestamp"), F.lit("assistant").alias("type"), F.when(F.col("event_id") % 10 == 0, F.col("value") / 100).alias("costUSD"), F.struct("model", usage.alias("usage"), edit.alias("content")).alias("message")))
+    patch = F.concat(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("added") + 1), lambda i: F.lit("+x")), F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("deleted") + 1), lambda i: F.lit("-y")))
+    exact = F.filter(patch, lambda x, i: (i != 0) & (i != F.col("added") + 1))
+    used = F.to_json(F.struct(at.alias("timestamp"), F.lit("user").alias("type"), F.struct(F.array(F.struct(F.concat(F.array(F.lit(" c")), exact).alias("lines"))).alias("structuredPatch"), F.lit("old").alias("oldString")).alias("toolUseResult")))
+    good = e.select(F.when(F.col("edit"), used).otherwise(said).alias("value"), "session_file")
+    bad = [
+        "not json at all", "", "   ", "{}", "[]", '{"type":"assistant","message":{"model":"opus","usage":{"input_tokens":1}}}', '{"timestamp":"2024-01-01","type":"assistant","message":{"usage":{}}}',
+        '{"timestamp":"2024-01-01T00:00:00","type":"assistant","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"system","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"model":"x"}}',
+        '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{},"content":"text"}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":1.5}}}',
+        '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":-5}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":"text"}', '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":{"structuredPatch":[]}}',
+    ]
+    return good.unionByName(s.createDataFrame([(b, "s0.jsonl") for b in bad], "value string, session_file string"))
+
+
+@query("s6_s8_x1_x5_parse_lines", f" SELECT session_file, model, date_trunc('millisecond', ts) AS ts, {', '.join(f'CAST({m} AS BIGINT) AS {m}' for m in MEASURES if m != 'cost')}, round(cost, 9) AS cost FROM u WHERE NOT edit OR added + deleted > 0")
+def _s8(s, d):
+    return logs.parse(_as_lines(s, d)).select("session_file", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), *[m for m in MEASURES if m != "cost"], F.round("cost", 9).alias("cost"))
+
+
+@query("d4_u1_root_map", " SELECT root, CAST(unnest(list_sort(list(DISTINCT cwd))) AS VARCHAR) AS cwd FROM sm GROUP BY root")
+def _d4(s, d):
+    return rollup.root_map(ad.session_map(s)).select("root", F.explode("cwds").alias("cwd"))
+
+
+@query("f11_invalid_history_dates", " SELECT event_id, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not-a-date' ELSE CAST(date AS VARCHAR) END AS DATE) AS date FROM u WHERE event_id % 7 <> 0")
+def _f11(s, d):
+    e = ad.base(s, d).select("event_id", F.when(F.col("event_id") % 7 == 0, "not-a-date").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("t"))
+    return e.select("event_id", F.expr("try_to_date(t, 'yyyy-MM-dd')").alias("date")).where("date IS NOT NULL")
+
+
+@query("f15_name_search", " SELECT root_key, name FROM g WHERE contains(lower(name), lower('E/P1'))")
+def _f15(s, d):
+    return grouping.search(ad.groups(s), "E/P1").select("root_key", "name")
+
+
+_SRC = " s0 AS (SELECT s_suppkey AS seq, 'd' || s_suppkey AS dir_name, '/home/u/logs/d' || s_suppkey AS path, ['f' || s_suppkey || '.jsonl', 'a' || s_suppkey || '.jsonl'] AS files, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE '/home/u/w/n' || s_nationkey || '/' || repeat('x', CAST(s_suppkey % 3 AS INTEGER)) END AS cwd FROM supplier), ids AS (SELECT DISTINCT cwd, cwd AS root_path, CASE WHEN CAST(regexp_extract(cwd, 'n([0-9]+)', 1) AS INTEGER) % 4 = 0 THEN NULL ELSE 'git@h:n' || CAST(regexp_extract(cwd, 'n([0-9]+)', 1) AS INTEGER) % 7 END AS remote_url FROM s0 WHERE cwd IS NOT NULL)"
+
+
+def _sources(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    b = s.read.parquet(f"{d}/supplier.parquet")
+    k = F.col("s_suppkey")
+    cwd = F.when(k % 11 == 0, F.lit(None)).otherwise(F.concat(F.lit("/home/u/w/n"), F.col("s_nationkey").cast("string"), F.lit("/"), F.expr("repeat('x', cast(s_suppkey % 3 as int))")))
+    src = b.select(k.alias("seq"), F.concat(F.lit("d"), k).alias("dir_name"), F.concat(F.lit("/home/u/logs/d"), k).alias("path"), F.array(F.concat(F.lit("f"), k, F.lit(".jsonl")), F.concat(F.lit("a"), k, F.lit(".jsonl"))).alias("session_files"), cwd.alias("cwd"), F.lit("/home/u/logs").alias("source_root"))
+    n = F.regexp_extract("cwd", "n([0-9]+)", 1).cast("int")
+    ids = src.where("cwd IS NOT NULL").select("cwd").distinct().select("cwd", F.col("cwd").alias("root_path"), F.when(n % 4 == 0, F.lit(None)).otherwise(F.concat(F.lit("git@h:n"), (n % 7).cast("string"))).alias("remote_url"))
+    return src, ids
+
+
+_GROUPED = f"""{_SRC}, r AS (SELECT s0.*, coalesce(root_path, path) AS root_path, remote_url FROM s0 LEFT JOIN ids USING (cwd)),
+ best AS (SELECT remote_url, first(root_path ORDER BY strlen(root_path), seq) AS canonical FROM r WHERE remote_url IS NOT NULL GROUP BY remote_url),
+ k AS (SELECT r.*, coalesce(canonical, root_path) AS root_key FROM r LEFT JOIN best USING (remote_url)),
+ m AS (SELECT root_key, coalesce('c' || cwd, 'n' || seq) AS one, any_value(cwd) AS cwd, list_sort(flatten(list(files))) AS files FROM k GROUP BY root_key, coalesce('c' || cwd, 'n' || seq))"""
+_GNAME = "array_to_string(list_filter(string_split(replace(root_key, '/home/u', ''), '/'), lambda x: x <> '')[-2:], '/')"
+
+
+@query("g1_a19_a24_x25_j7_groups", f"{_GROUPED} SELECT root_key, {_GNAME} AS name, CAST(sum(len(files)) AS BIGINT) AS sessions, count(*) AS n_sources, CAST(row_number() OVER (ORDER BY lower({_GNAME}), root_key) - 1 AS INTEGER) AS pos FROM m GROUP BY root_key", "")
+def _g1(s, d):
+    return grouping.group_by_identity(*_sources(s, d), home="/home/u").select("root_key", "name", "sessions", F.size("sources").cast("bigint").alias("n_sources"), "pos")
+
+
+_SQL["g1_a19_a24_x25_j7_groups"] = "WITH" + _SQL["g1_a19_a24_x25_j7_groups"]
+
+
+@query("s2_d3_session_map", f"WITH{_SRC} SELECT unnest(files) AS session_file, '/home/u/logs' AS root, coalesce(cwd, path) AS cwd FROM s0", "")
+def _d3(s, d):
+    return grouping.session_map(_sources(s, d)[0])
+
+
+@query("x26_x28_paths", " SELECT event_id, CASE WHEN k % 3 = 0 THEN '/home/u/repo' WHEN k % 3 = 1 THEN '/home/u/Repo' ELSE '/home/u/plain/x' END AS heuristic_root, '.r' || s AS display FROM u")
+def _x26(s, d):
+    k = F.col("k") % 3
+    path = F.when(k == 0, "/home/u/repo/worktrees/a/b").when(k == 1, "/home/u/Repo/Worktrees/R/feat").otherwise("/home/u/plain/x")
+    root = F.concat(F.lit("/home/u/.r"), F.col("s"), F.lit("/projects"))
+    return ad.base(s, d).select("event_id", scalars.heuristic_root(path).alias("heuristic_root"), scalars.source_display(root, "/home/u").alias("display"))
+
+
+@query("x14_duration_labels", " SELECT event_id, CASE WHEN minute >= 60 THEN (minute // 60) || 'h' || lpad(CAST(minute % 60 AS VARCHAR), 2, '0') || 'm' ELSE minute || 'm' END AS label FROM u")
+def _x14(s, d):
+    m = scalars.local_minute(F.col("ts"))
+    return ad.base(s, d).select("event_id", fmt.format_duration(m).alias("label"))
+
+
+@query("x12_version_newer", " SELECT event_id, (k % 3, k % 7, k % 5) > (k % 2, k % 6, k % 4) AS newer FROM u")
+def _x12(s, d):
+    k = F.col("k")
+    v = lambda a, b, c: F.concat_ws(".", (k % a).cast("string"), (k % b).cast("string"), (k % c).cast("string"))
+    return ad.base(s, d).select("event_id", fmt.version_newer(v(3, 7, 5), v(2, 6, 4)).alias("newer"))
+
+
+@query("x31_labels", " SELECT event_id, strftime(ts, '%b') AS month, left(strftime(ts, '%a'), 2) AS weekday FROM u")
+def _x31(s, d):
+    return ad.base(s, d).select("event_id", fmt.month_abbrev(F.col("ts")).alias("month"), fmt.weekday_label(F.col("ts")).alias("weekday"))
+
+
+@query("x11_x15_x17_number_labels")
+def _x11(s, d):
+    """Half-even labels; SQL engines differ at ties, tests hold the expected strings."""
+    return ad.base(s, d).select("event_id", fmt.format_tokens(F.col("units")).alias("tokens"), fmt.format_axis_tokens(F.col("units")).alias("axis"), fmt.format_cost(F.col("value")).alias("cost"), fmt.format_kpi_cost(F.col("value")).alias("kpi_cost"))
+
+
+@query("u2_u4_distinct_dates", " SELECT DISTINCT date FROM j")
+def _u2(s, d):
+    day = _day(s, d)
+    return day.where("input IS NOT NULL").select("date").union(day.where("output IS NOT NULL").select("date")).distinct()
+
 
+def _live(s: SparkSession, d: str):
+    from ledgerlight.plans.dashboard import Dashboard
 
-def queries() -> dict:
-    return {}
+    return Dashboard(ad.usage_events(s, d), ad.session_map(s), ad.groups(s), ad.as_of(s, d), history=_history(s, d), overrides=None)
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("d18_dashboard_kpis_with_history", f"{_MERGE}" + _KPI.format(daily=_daily_sql(source="merged")))
+def _d18(s, d):
+    return money(_live(s, d).kpis(), "total_cost")
