@@ -42,6 +42,14 @@ def shares(tokens: DataFrame) -> DataFrame:
     return s.select("root_key", "model", "share", rank.alias("rank"))
 
 
+def bar_widths(s: DataFrame, cells: int) -> DataFrame:
+    """``width`` of each model in a bar of ``cells``: rounded, at least 1; the last takes the rest."""
+    w = W.partitionBy("root_key")
+    part = F.when(F.col("rank") < F.max("rank").over(w), F.greatest(F.round(F.col("share") * cells), F.lit(1.0)))
+    rest = F.greatest(F.lit(float(cells)) - F.coalesce(F.sum("part").over(w), F.lit(0.0)), F.lit(0.0))
+    return s.withColumn("part", part).withColumn("width", F.coalesce("part", rest).cast("int")).drop("part")
+
+
 def daily_series(daily_costs: DataFrame) -> DataFrame:
     """root_key: array of (model, its date-sorted costs) in the fixed model order."""
     per = daily_costs.groupBy("root_key", "model").agg(F.array_sort(F.collect_list(F.struct("date", "cost"))).alias("series"))

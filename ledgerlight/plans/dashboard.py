@@ -39,6 +39,10 @@ class Dashboard:
             cwds = tuple(sorted({c for r in rows for c in r.cwds}))
         return replace(self, time_filter=time_filter or self.time_filter, root=root, cwds=cwds)
 
+    def roots(self) -> DataFrame:
+        """Log roots by path."""
+        return self.session_map.select("root").distinct().orderBy("root")
+
     @cached_property
     def window(self) -> Window:
         return window(self.time_filter, self.as_of)

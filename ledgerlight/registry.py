@@ -13,7 +13,7 @@ from ledgerlight.functions import fmt, scalars
 from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
 from ledgerlight.functions.timewin import TimeFilter, display_range, window
 from ledgerlight.operators import activity, cards, diff, grouping, heatmap, history, kpi, modelstats, rollup, series
-from ledgerlight.schema import LINES, MEASURES, SERIES
+from ledgerlight.schema import EVENT, LINES, MEASURES, SERIES
 from ledgerlight.sources import logs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,3 +588,53 @@ def _live(s: SparkSession, d: str):
 @query("d18_dashboard_kpis_with_history", f"{_MERGE}" + _KPI.format(daily=_daily_sql(source="merged")))
 def _d18(s, d):
     return money(_live(s, d).kpis(), "total_cost")
+
+
+# Orders, labels, streaming.
+@query("o4_f12_group_order", " SELECT root_key, CAST(row_number() OVER (ORDER BY root_key = '/home/u/code/p3', root_key = '/home/u/code/p4' DESC, lower(name)) AS INTEGER) AS place FROM (SELECT root_key, CASE WHEN root_key = '/home/u/code/p5' THEN 'Five' ELSE name END AS name FROM g)")
+def _o4(s, d):
+    o = ad.overrides()
+    g = ad.groups(s).join(o.display(s).select("root_key", F.col("name").alias("custom"), "starred", "hidden"), "root_key", "left")
+    off = F.lit(False)
+    w = W.orderBy(F.coalesce("hidden", off), F.desc(F.coalesce("starred", off)), F.lower(F.coalesce("custom", "name")))
+    return g.select("root_key", F.row_number().over(w).alias("place"))
+
+
+@query("o6_x28_roots", " SELECT root, replace(regexp_replace(root, '/projects$', ''), '/home/u/', '') AS label, CAST(row_number() OVER (ORDER BY root) AS INTEGER) AS place FROM (SELECT DISTINCT root FROM sm)")
+def _o6(s, d):
+    roots = ad.session_map(s).select("root").distinct()
+    return roots.select("root", scalars.source_display(F.col("root"), "/home/u").alias("label"), F.row_number().over(W.orderBy("root")).alias("place"))
+
+
+@query("x36_model_bar", _STATS + f", t AS ({_TOKENS}), sh AS (SELECT root_key, model, tokens / sum(tokens) OVER (PARTITION BY root_key)::DOUBLE AS share FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY root_key ORDER BY share DESC, model) AS k, count(*) OVER (PARTITION BY root_key) AS n FROM sh), w AS (SELECT *, CASE WHEN k < n THEN greatest(round(share * 40), 1) END AS w FROM r) SELECT root_key, model, CAST(coalesce(w, greatest(40 - coalesce(sum(w) OVER (PARTITION BY root_key), 0), 0)) AS INTEGER) AS width FROM w")
+def _x36(s, d):
+    return modelstats.bar_widths(modelstats.shares(_stats(s, d)["tokens"]), 40).select("root_key", "model", "width")
+
+
+@query("x18_f9_window_dates", f" SELECT event_id FROM u WHERE {_FILTERS[TimeFilter.HOUR12]}")
+def _x18(s, d):
+    w = window(TimeFilter.HOUR12, ad.as_of(s, d))
+    e = ad.base(s, d)
+    return e.where(w.has_minute(scalars.local_date(F.col("ts")), scalars.local_minute(F.col("ts")))).select("event_id")
+
+
+@query("x30_truncated_labels", " SELECT event_id, CASE WHEN length(props) <= 8 THEN props ELSE left(props, 7) || '…' END AS label FROM events", "")
+def _x30(s, d):
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", fmt.truncate_label(F.col("props"), 8).alias("label"))
+
+
+@query("t1_t3_streaming_ingest", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
+def _t1(s, d):
+    """The events as a stream of several batches; the history it leaves is the day rollup."""
+    import tempfile
+    import uuid
+
+    from ledgerlight.sources.store import load_history
+    from ledgerlight.streaming.ingest import ingest
+
+    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
+    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    ad.usage_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(f"{at}/in")
+    stream = s.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+    ingest(stream, ad.session_map(s), f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    return money(load_history(s, f"{at}/store/history"))
