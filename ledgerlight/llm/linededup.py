@@ -29,9 +29,9 @@ from ledgerlight.llm.common import stored
 LINE_WORDS = 16
 MIN_CHARS = 40
 WINDOW = 3
-#: Words that end no sentence, then the word that ends the line.
-LINE = r"(?:(?![^ \n]*[.!?] )[^ \n]* ){0,%d}(?:[^ \n]*\n|[^ \n]+ ?|$)" % (LINE_WORDS - 1)
-BLANK = r"^\s*$"
+#: Words that end no sentence, then the word that ends the line; nothing backtracks.
+LINE = r"(?:[^ \n]*+(?<![.!?]) ){0,%d}+[^ \n]*+(?: |\n|\z)" % (LINE_WORDS - 1)
+BLANKS = " \r\n\t"
 
 
 def lines(text: Column) -> Column:
@@ -46,13 +46,16 @@ def _key(doc_id: Column, text: Column) -> list[Column]:
 
 def window_rows(docs: DataFrame) -> DataFrame:
     """doc, part, i, h1, h2: every window of every document."""
-    spoken = F.filter(F.transform(lines(F.col("text")), lambda x: F.trim(F.translate(x, "\r\n\t", "   "))), lambda x: x != "")
+    raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(LINE), F.lit(0))
+    spoken = F.filter(F.transform(raw, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
+    # A line is hashed once; a window hashes its lines' hashes.
+    hashed = F.transform(spoken, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
     n = F.size("l")
     lanes = F.arrays_zip(*[F.slice("l", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"l{i}") for i in range(WINDOW)])
-    lane = [F.col(f"w.l{i}") for i in range(WINDOW)]
-    rows = docs.select(*_key(F.col("doc_id"), F.col("text")), spoken.alias("l")).where(n >= WINDOW).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
-    long_enough = sum((F.length(c) for c in lane[1:]), F.length(lane[0])) >= MIN_CHARS
-    return rows.where(long_enough).select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
+    lane = [F.col(f"w.l{i}.h") for i in range(WINDOW)]
+    size = [F.col(f"w.l{i}.n") for i in range(WINDOW)]
+    rows = docs.select(*_key(F.col("doc_id"), F.col("text")), hashed.alias("l")).where(n >= WINDOW).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
+    return rows.where(sum(size[1:], size[0]) >= MIN_CHARS).select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -71,29 +74,28 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rewritten, plus n_lines and n_removed (long)."""
+    """``docs`` with ``text`` rewritten, plus n_removed (long). Only texts that lose lines are cut up again."""
     names = docs.columns
     gone = removed_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc": "__doc", "part": "__part", "gone": "__gone"})
     j = docs.join(gone.hint("shuffle_hash"), (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == gone["__doc"]) & (F.hash(docs["text"]) == gone["__part"]), "left")
-    ls = F.filter(lines(F.col("text")), lambda x: F.trim(F.translate(x, "\r\n\t", "   ")) != "")
+    ls = F.filter(lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("__gone", i)), "")
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    n_lines = F.size(ls).cast("bigint")
-    return j.select(*[c for c in names if c != "text"], text.alias("text"), n_lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    return j.select(*[c for c in names if c != "text"], text.alias("text"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_removed, n_chars, text_md5 of the rewritten text."""
+    """doc_id, n_removed, n_chars_left and text_md5 of the rewritten text."""
     d = dedup_lines(docs.select("doc_id", "text"))
     body = F.coalesce("text", F.lit(""))
-    return d.select("doc_id", "n_lines", "n_removed", F.length(body).cast("bigint").alias("n_chars_left"), F.md5(body).alias("text_md5"))
+    return d.select("doc_id", "n_removed", F.length(body).cast("bigint").alias("n_chars_left"), F.md5(body).alias("text_md5"))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines removed; rows that lose every line go, n_chars follows the text."""
     d = dedup_lines(docs)
     changed = F.col("n_removed") > 0
-    d = d.where(~(changed & (F.trim(F.translate("text", "\r\n\t", "   ")) == "")))
+    d = d.where(~(changed & (F.btrim("text", F.lit(BLANKS)) == "")))
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return d.select(docs.columns)
