@@ -39,7 +39,8 @@ from ledgerlight.llm.common import fingerprint, fresh_path, tune
 END_ID = 1
 FRAME_BYTES = 1 << 20
 LEVEL = 3
-CACHE = 250_000
+#: Entries of a cache's generation; at most two of chunks and two of pieces are held.
+CACHE = 300_000
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -50,7 +51,11 @@ PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class ChunkCache(dict):
-    """Chunk bytes -> ids as little-endian uint32; emptied when full."""
+    """Chunk bytes -> ids as little-endian uint32.
+
+    A full cache becomes the old generation and is consulted on a miss, so frequent chunks
+    outlive the many that occur once; pieces are kept alike.
+    """
 
     def __init__(self, path: str = VOCABULARY) -> None:
         super().__init__()
@@ -60,7 +65,9 @@ class ChunkCache(dict):
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.find = regex.compile(PIECE).findall
+        self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_pieces: dict[str, bytes] = {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         table = {b: chr(b) for b in printable}
         table |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in table)}
@@ -69,20 +76,34 @@ class ChunkCache(dict):
     def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
+            got = self.old_pieces.get(p)
+            if got is not None:
+                self.pieces[p] = got
+                return got
             if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            ids = [t.id for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.byte_chars))]
+                self.old_pieces, self.pieces = self.pieces, {}
+            chars = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_chars)
+            ids = [t.id for t in self.model.tokenize(chars)]
             got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
         return got
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode()
-        if max(text) < "\u0300":
-            got = b"".join(map(self.piece, self.find(text.lower())))
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            got = struct.pack(f"<{len(ids)}I", *ids)
+        got = self.old.get(chunk)
+        if got is None:
+            text = chunk.decode()
+            if max(text) < "\u0300":
+                low = text.lower()
+                if low.isalpha():
+                    got = self.piece(low)
+                elif low[-1] in ".,!?" and low[:-1].isalpha():
+                    got = self.piece(low[:-1]) + self.piece(low[-1])
+                else:
+                    got = b"".join(map(self.piece, self.find(low)))
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         self[chunk] = got
         return got
