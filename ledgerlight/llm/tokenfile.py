@@ -220,6 +220,8 @@ def write(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end_id: int
         if writer is not None:
             writer.close()
             out.close()
+            if fs.get_file_info(name).type != pafs.FileType.NotFound:  # of an earlier attempt, equal bytes
+                fs.delete_file(name)
             fs.move(temp, name)
             yield pa.RecordBatch.from_pydict({"part": [part], "file": [f"part-{part:06d}.ltok"], "n_docs": [n], "n_tokens": [writer.n_tokens]}, schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
