@@ -19,8 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,32 +49,67 @@ def features(words: set[str]) -> set[str]:
     return words | {w[:PREFIX] + "-" for w in words if len(w) > PREFIX}
 
 
-def families(sets: list[set[str]], y: np.ndarray, most: int = 60) -> list[str]:
+def known_insults(words: set[str]) -> int:
+    return len(words & STRONG) + len(words & MILD) + len(words & FOREIGN)
+
+
+class Sample:
+    """Texts as arrays of feature numbers; the texts themselves are not kept."""
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        number: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.direct: list[bool] = []
+        for t in texts:
+            w = tokens(t)
+            self.direct.append(bool(known_insults(w)) and DIRECT.search(t.lower()) is not None)
+            own = [number.setdefault(f, len(number)) for f in features(w)]
+            self.rows.append(np.sort(np.array(own, dtype=np.int32)))
+        self.names = list(number)
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, feature) of every feature of every text."""
+        if not self.rows:
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.repeat(np.arange(len(self.rows), dtype=np.int32), [len(r) for r in self.rows]), np.concatenate(self.rows)
+
+    def having(self, fs: Iterable[str]) -> np.ndarray:
+        """How many of ``fs`` each text has."""
+        among = frozenset(fs)
+        mask = np.array([f in among for f in self.names], dtype=bool)
+        return np.array([int(mask[r].sum()) for r in self.rows], dtype=int)
+
+
+def families(sample: Sample, y: np.ndarray, most: int = 60) -> list[str]:
     """Features of labelled toxic rows that clean rows hardly have, strongest first."""
-    pos, neg = Counter(), Counter()
-    for s, t in zip(sets, y, strict=True):
-        (pos if t else neg).update(s)
+    row, col = sample.flat()
+    toxic, m = y[row] == 1, len(sample.names)
+    pos, neg = np.bincount(col[toxic], minlength=m), np.bincount(col[~toxic], minlength=m)
     n1, n0 = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     least = max(3, n1 // 200)
-    odds = {f: math.log((pos[f] + 0.5) / n1) - math.log((neg[f] + 0.5) / n0) for f in pos if pos[f] >= least and len(f) > 3}
-    return sorted((f for f in odds if odds[f] > 2.5), key=lambda f: (-odds[f] * math.log1p(pos[f]), f))[:most]
+    odds = np.log((pos + 0.5) / n1) - np.log((neg + 0.5) / n0)
+    strength = odds * np.log1p(pos)
+    found = [(-strength[i], f) for i, f in enumerate(sample.names) if pos[i] >= least and len(f) > 3 and odds[i] > 2.5]
+    return [f for _, f in sorted(found)[:most]]
 
 
-def votes(sets: list[set[str]], texts: list[str], learned: list[str], groups: int = 4) -> np.ndarray:
+def votes(sample: Sample, learned: list[str], groups: int = 4) -> np.ndarray:
     """rows x voters: 1 toxic, 0 clean, -1 abstains."""
-    cuts = [frozenset(learned[k::groups]) for k in range(groups)]
-    every = frozenset(learned)
-    out = np.full((len(sets), 6 + groups), -1, dtype=np.int8)
-    for i, (s, t) in enumerate(zip(sets, texts, strict=True)):
-        known = len(s & STRONG) + len(s & MILD) + len(s & FOREIGN)
-        out[i, 0] = 1 if s & STRONG else -1
-        out[i, 1] = 1 if s & MILD else -1
-        out[i, 2] = 1 if s & FOREIGN else -1
-        out[i, 3] = 1 if known > 1 else (0 if known == 0 else -1)
-        out[i, 4] = 1 if known and DIRECT.search(t.lower()) else -1
-        for k, c in enumerate(cuts):
-            out[i, 5 + k] = 1 if c and s & c else -1
-        out[i, 5 + groups] = 0 if not known and not s & every else -1
+    strong, mild, foreign = (sample.having(x) for x in (STRONG, MILD, FOREIGN))
+    known = strong + mild + foreign
+    out = np.full((len(sample), 6 + groups), -1, dtype=np.int8)
+    out[strong > 0, 0] = 1
+    out[mild > 0, 1] = 1
+    out[foreign > 0, 2] = 1
+    out[known > 1, 3] = 1
+    out[known == 0, 3] = 0
+    out[np.array(sample.direct, dtype=bool), 4] = 1
+    for k in range(groups):
+        out[sample.having(learned[k::groups]) > 0, 5 + k] = 1
+    out[(known == 0) & (sample.having(learned) == 0), 5 + groups] = 0
     return out
 
 
@@ -103,32 +137,23 @@ def label_model(v: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray
     return post, dist, voice
 
 
-def fit(texts: list[str], y: list[int]) -> tuple[float, dict[str, float]]:
+def fit(sample: Sample, y: list[int]) -> tuple[float, dict[str, float]]:
     """(bias, weights): the linear classifier trained on the label model's posteriors."""
-    words = [tokens(t) for t in texts]
-    sets = [features(w) for w in words]
     labels = np.array(y, dtype=int)
-    learned = families(sets, labels) if len(texts) and 0 < labels.sum() < len(labels) else []
-    if not texts or len(texts) < 20:
+    if len(sample) < 20:
         return -3.0, {w: 4.0 for w in STRONG | MILD | FOREIGN}
-    post, _, _ = label_model(votes(sets, texts, learned))
-    count, mass = Counter(), Counter()
-    for s, p in zip(sets, post.tolist(), strict=True):
-        count.update(s)
-        for f in s:
-            mass[f] += p
+    learned = families(sample, labels) if 0 < labels.sum() < len(labels) else []
+    post, _, _ = label_model(votes(sample, learned))
+    row, col = sample.flat()
+    count, mass = np.bincount(col, minlength=len(sample.names)), np.bincount(col, post[row], minlength=len(sample.names))
     base, total = post.sum(), len(post)
-    gain = {f: abs(math.log((mass[f] + 0.5) / (base + 1)) - math.log((count[f] - mass[f] + 0.5) / (total - base + 1))) * math.sqrt(min(count[f], 400)) for f in count if count[f] >= 4}
-    keep = sorted(gain, key=lambda f: (-gain[f], f))[:VOCABULARY]
+    gain = np.abs(np.log((mass + 0.5) / (base + 1)) - np.log((count - mass + 0.5) / (total - base + 1))) * np.sqrt(np.minimum(count, 400))
+    keep = [f for _, f in sorted((-gain[i], sample.names[i]) for i in np.flatnonzero(count >= 4))[:VOCABULARY]]
     # Known insults and families stay features even where the sample lacks them.
     keep = sorted(set(keep) | set(learned) | STRONG | MILD | FOREIGN)
     at = {f: i for i, f in enumerate(keep)}
-    rows, cols = [], []
-    for i, s in enumerate(sets):
-        own = [at[f] for f in s if f in at]
-        rows += [i] * len(own)
-        cols += own
-    rows, cols = np.array(rows), np.array(cols)
+    place = np.array([at.get(f, -1) for f in sample.names], dtype=np.int32)[col]
+    rows, cols = row[place >= 0], place[place >= 0]
     known = np.array([f in STRONG or f in MILD or f in FOREIGN for f in keep])
     w0 = np.where(known, 3.0, 0.0)
     w, b = w0.copy(), math.log(max(base, 1) / max(1, total - base))
@@ -151,21 +176,28 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], list[int]]:
+def sampled(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[Sample, list[int]]:
+    """The sample and its labels; the driver sees one text at a time."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out(F.col("doc_id"))).select("doc_id", "toxic").dropDuplicates(["doc_id"])
     picked = None
     for kind in (0, 1):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         picked = part if picked is None else picked.unionByName(part)
     got = docs.where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("text", "toxic")  # ``rows`` ids at most
-    got = got.orderBy(F.xxhash64("text")).limit(rows).collect()
-    return [r.text for r in got], [r.toxic for r in got]
+    y: list[int] = []
+
+    def texts() -> Iterator[str]:
+        for r in got.orderBy(F.xxhash64("text")).limit(rows).toLocalIterator():
+            y.append(r.toxic)
+            yield r.text
+
+    return Sample(texts()), y
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     tune(docs.sparkSession)
-    bias, weights = fit(*sample(docs, labels))
+    bias, weights = fit(*sampled(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = weights.get
@@ -183,7 +215,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; all columns pass through as they are."""
     tune(docs.sparkSession)
-    bias, weights = fit(*sample(docs, labels))
+    bias, weights = fit(*sampled(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = weights.get
