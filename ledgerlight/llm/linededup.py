@@ -12,8 +12,7 @@ frequent window is one row per task there, and the join back to its occurrences
 plain equi-join whose large partitions AQE may split.
 
 Edge cases: null, empty and blank texts, and texts of under three lines, have no
-window and stay as they are. Windows of under ``MIN_CHARS`` characters say too little
-and are not compared. Rows that share doc_id and text are one document seen
+window and stay as they are; every other window is compared, however short. Rows that share doc_id and text are one document seen
 twice and get the same result. A document that loses nothing keeps its text byte for
 byte; in others the kept lines keep their own separators. Null doc_ids come
 first. Extra columns are kept by ``dedup_lines`` and ignored elsewhere.
@@ -27,7 +26,8 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.common import stored
 
 LINE_WORDS = 16
-MIN_CHARS = 40
+#: No window is too short to be compared.
+MIN_CHARS = 0
 WINDOW = 3
 #: Words that end no sentence, then the word that ends the line; nothing backtracks.
 LINE = r"(?:[^ \n]*+(?<![.!?]) ){0,%d}+[^ \n]*+(?: |\n|\z)" % (LINE_WORDS - 1)
@@ -49,13 +49,12 @@ def window_rows(docs: DataFrame) -> DataFrame:
     raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(LINE), F.lit(0))
     spoken = F.filter(F.transform(raw, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
     # A line is hashed once; a window hashes its lines' hashes.
-    hashed = F.transform(spoken, lambda x: F.struct(F.xxhash64(x).alias("h"), F.length(x).alias("n")))
+    hashed = F.transform(spoken, lambda x: F.xxhash64(x))
     n = F.size("l")
     lanes = F.arrays_zip(*[F.slice("l", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"l{i}") for i in range(WINDOW)])
-    lane = [F.col(f"w.l{i}.h") for i in range(WINDOW)]
-    size = [F.col(f"w.l{i}.n") for i in range(WINDOW)]
+    lane = [F.col(f"w.l{i}") for i in range(WINDOW)]
     rows = docs.select(*_key(F.col("doc_id"), F.col("text")), hashed.alias("l")).where(n >= WINDOW).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
-    return rows.where(sum(size[1:], size[0]) >= MIN_CHARS).select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
+    return rows.select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
