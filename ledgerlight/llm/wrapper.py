@@ -5,9 +5,11 @@ Trees are first compressed: neighbouring siblings of one kind are one repeated n
 so alignment costs do not grow with a page's length. A node whose text is the same in every
 aligned page is template; a slot that varies is content. A host's wrapper is the set of
 its constant (path, text) pairs and the path of the varying slot that holds most text.
-Every page is then read whole: template nodes and the parts that are no article by their
-role (navigation, headers, footers, asides, notices, adverts, forms, comments)
-go, the rest of the content slot is the text.
+Every page is then read whole: all nodes at the slot's path are its content, whatever
+their tags or names say; template nodes and the parts inside the slot that are no article by
+their role (navigation, headers, footers, asides, notices, adverts, forms, comments)
+go, the rest is the text. Tags and names (article, main, content classes) choose only on hosts
+without a wrapper and on pages where the slot holds nothing.
 
 Sampling compares only hashes of pages before any html moves; the sample has a
 fixed number of pages per host, however many the host has. Wrappers are broadcast only
@@ -57,6 +59,7 @@ NAMES = frozenset(
 )
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 CLOSES = {t: frozenset([t]) for t in ("li", "option", "tr")} | {t: frozenset(["td", "th"]) for t in ("td", "th")} | {t: frozenset(["dt", "dd"]) for t in ("dt", "dd")}
+HEADING = re.compile("h[1-6]|p")
 SCOPE = frozenset("ul ol table dl select body html div article section nav aside header footer main td th blockquote form figure".split())
 
 
@@ -295,44 +298,59 @@ def induce(pages: list[str]) -> tuple[list[int], str]:
     for p, v in mass.items():
         parent[p.rsplit("/", 1)[0]] = parent.get(p.rsplit("/", 1)[0], 0) + v
     slot = max(parent, key=lambda p: (parent[p], p)) if parent and max(parent.values()) else ""
+    # A varying heading or paragraph beside the slot, such as the title over sections, belongs to it.
+    up = slot.rsplit("/", 1)[0]
+    while up.rsplit("/", 1)[-1].split(".", 1)[0] not in ("", "#root", "html", "body"):
+        if any(v and p.rsplit("/", 1)[0] == up and HEADING.fullmatch(p.rsplit("/", 1)[1].split(".", 1)[0]) for p, v in mass.items()):
+            slot = up
+        up = up.rsplit("/", 1)[0]
     return keys, slot
 
 
-def _find(x: Node, hit, out: list[tuple[Node, str]], path: str = "") -> None:
+def _find(x: Node, hit, out: list[tuple[Node, str]], path: str = "", roles: bool = True) -> None:
     for k in x.kids:
-        if isinstance(k, str) or is_boilerplate(k):
+        if isinstance(k, str) or roles and is_boilerplate(k):
             continue
         here = f"{path}/{x.label}"
         if hit(k, f"{here}/{k.label}"):
             out.append((k, here))
         else:
-            _find(k, hit, out, here)
+            _find(k, hit, out, here, roles)
 
 
 def main_text(html: str, constants: frozenset[int] = frozenset(), slot: str = "") -> str:
     """The article: blocks joined by an empty line."""
     if not html:
         return ""
-    root = parse(html)
-    best: list[tuple[str, str]] = []
+    return content(parse(html), constants, slot)
+
+
+def content(root: Node, constants: frozenset[int] = frozenset(), slot: str = "") -> str:
+    """The varying slot's blocks without constants; tags and roles choose only where no slot has any."""
+
+    def taken(hit, roles: bool = True) -> list[str]:
+        roots: list[tuple[Node, str]] = []
+        _find(root, hit, roots, roles=roles)
+        got: list[tuple[str, str]] = []
+        for node, path in roots:
+            blocks(node, path, got)
+        return [t for p, t in got if not constants or key(p, t) not in constants]
+
+    if slot:
+        best = taken(lambda k, p: p == slot, roles=False)
+        if best:
+            return "\n\n".join(best)
     for hit in (
         lambda k, p: k.tag == "article",
         lambda k, p: k.tag == "main" or "role=main" in k.words,
-        lambda k, p: bool(slot) and p == slot and k.tag not in ("html", "body"),
         lambda k, p: k.tag in ("div", "section", "td") and bool(k.words & CONTENT_NAMES),
     ):
-        roots: list[tuple[Node, str]] = []
-        _find(root, hit, roots)
-        for node, path in roots:
-            got: list[tuple[str, str]] = []
-            blocks(node, path, got)
-            if sum(len(t) for _, t in got) > sum(len(t) for _, t in best):
-                best = got
-        if roots:
-            break
-    else:
-        blocks(root, "", best)
-    return "\n\n".join(t for p, t in best if not constants or key(p, t) not in constants)
+        best = taken(hit)
+        if best:
+            return "\n\n".join(best)
+    got: list[tuple[str, str]] = []
+    blocks(root, "", got)
+    return "\n\n".join(t for p, t in got if not constants or key(p, t) not in constants)
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
