@@ -1,18 +1,19 @@
 """HTML main text by wrapper induction.
 
-Up to ``BUCKETS`` different pages of each host are aligned by simple tree matching.
+Up to ``SAMPLE`` different pages of each layout of a host, and as many of the whole host, are
+aligned by simple tree matching to find the slot that varies most.
 Trees are first compressed: neighbouring siblings of one kind are one repeated node,
-so alignment costs do not grow with a page's length. A node whose text is the same in every
-aligned page is template; a slot that varies is content. A host's wrapper is the set of
-its constant (path, text) pairs and the path of the varying slot that holds most text.
+so alignment costs do not grow with a page's length. Constants are counted over all
+pages: a (path, text) pair on ``LEAST`` different pages or more, and on at least half of
+those of its layout or host that have the path, is template.
 Every page is then read whole: all nodes at the slot's path are its content, whatever
 their tags or names say; template nodes and the parts inside the slot that are no article by
 their role (navigation, headers, footers, asides, notices, adverts, forms, comments)
 go, the rest is the text. Tags and names (article, main, content classes) choose only on hosts
 without a wrapper and on pages where the slot holds nothing.
 
-Sampling compares only hashes of pages before any html moves; the sample has a
-fixed number of pages per host, however many the host has. Wrappers are broadcast only
+Counts carry only hashes and combine before the shuffle; the sample has a
+fixed number of pages per layout, however many the host has. Wrappers are broadcast only
 under a counted bound, otherwise they are joined by host.
 
 Edge cases: null and empty html give an empty text; a null url has the empty host; a
@@ -30,13 +31,16 @@ from html import unescape
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import stored, tune
 from ledgerlight.llm.urlfilter import host_and_path
 
-BUCKETS = 8
+SAMPLE = 8
 LEAST = 4
+#: Path elements, from the root, that tell layouts apart.
+LAYOUT_DEPTH = 7
 #: Deeper elements hang on the last level; longer child lists are compressed by label.
 DEPTH, MOST_RUNS = 150, 64
 BROADCAST_HOSTS = 2000
@@ -353,36 +357,81 @@ def content(root: Node, constants: frozenset[int] = frozenset(), slot: str = "")
     return "\n\n".join(t for p, t in got if not constants or key(p, t) not in constants)
 
 
+def shape(root: Node) -> tuple[int, dict[int, int]]:
+    """A page's layout, a hash of the upper paths that hold its blocks, and key -> path of all blocks."""
+    got: list[tuple[str, str]] = []
+    blocks(root, "", got, keep_all=True)
+    layout = key("\n".join(sorted({"/".join(p.split("/")[:-1][:LAYOUT_DEPTH]) for p, _ in got})), "")
+    blocks(root, "", got)  # inline adverts left out, as the text is cut
+    return layout, {key(p, t): key(p, "") for p, t in got}
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """host, fp, layout, paths, keys: hashes of all blocks of each different page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        longs = pa.list_(pa.int64())
+        for b in batches:
+            got = [shape(parse(html)) for html in b.column(2).to_pylist()]
+            columns = [pa.array([x for x, _ in got], pa.int64()), pa.array([list(y.values()) for _, y in got], longs), pa.array([list(y) for _, y in got], longs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=["host", "fp", "layout", "paths", "keys"])
+
+    keyed = pages.where("html IS NOT NULL").select(host_and_path(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("fp"), "html")
+    each = keyed.mapInArrow(run, "host string, fp long, layout long, paths array<long>, keys array<long>")
+    one = each.groupBy("host", "fp").agg(F.first(F.struct("layout", "paths", "keys")).alias("x"))
+    # Every page counts in its layout and, as layout 0, in its host.
+    return stored(one.select("host", "fp", F.array("x.layout", F.lit(0).cast("bigint")).alias("layouts"), "x.paths", "x.keys"), "blocks")
+
+
+def constant_texts(parts: DataFrame) -> DataFrame:
+    """host, constants: texts on ``LEAST`` different pages or more, and on half of the pages with their path."""
+    each = parts.withColumn("layout", F.explode("layouts"))
+    have = each.select("host", "layout", F.explode(F.array_distinct("paths")).alias("path")).groupBy("host", "layout", "path").agg(F.count("*").alias("n_pages"))
+    texts = each.select("host", "layout", F.explode(F.arrays_zip("paths", "keys")).alias("x")).select("host", "layout", F.col("x.paths").alias("path"), F.col("x.keys").alias("key"))
+    often = texts.groupBy("host", "layout", "path", "key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
+    return often.join(have, ["host", "layout", "path"]).where("2 * n >= n_pages").groupBy("host").agg(F.collect_set("key").alias("constants"))
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, constants, slot: one wrapper per host."""
-    narrow = pages.where("html IS NOT NULL").select(host_and_path(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("fp"))
-    picked = stored(narrow.groupBy("host", F.pmod("fp", F.lit(BUCKETS)).alias("bucket")).agg(F.min("fp").alias("fp")).select("host", "fp"), "sampled")
-    side = F.broadcast(picked) if picked.count() <= BROADCAST_HOSTS * BUCKETS else picked
+    """host, constants, layouts, slots: one wrapper per host; slots go with layouts, 0 is any other."""
+    parts = page_blocks(pages)
+    rank = F.row_number().over(W.partitionBy("host", "layout").orderBy("fp"))
+    ranked = parts.select("host", "fp", F.explode("layouts").alias("layout")).withColumn("rank", rank).where(F.col("rank") <= SAMPLE)
+    picked = stored(ranked.groupBy("host", "fp").agg(F.collect_list("layout").alias("layouts")), "sampled")
+    side = F.broadcast(picked) if picked.count() <= BROADCAST_HOSTS * SAMPLE else picked
     keyed = pages.where("html IS NOT NULL").select(host_and_path(F.col("url"))[0].alias("host"), F.xxhash64("html").alias("fp"), "html")
-    sample = keyed.join(side, ["host", "fp"]).dropDuplicates(["host", "fp"])
+    sample = keyed.join(side, ["host", "fp"]).dropDuplicates(["host", "fp"]).select("host", "html", F.explode("layouts").alias("layout"))
 
     def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        constants, slot = induce(pdf["html"].tolist())
-        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "constants": [constants], "slot": [slot]})
+        slot = induce(pdf["html"].tolist())[1]
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "layout": [pdf["layout"].iloc[0]], "slot": [slot]})
 
-    return stored(sample.groupBy("host").applyInPandas(learn, "host string, constants array<long>, slot string"), "wrappers")
+    slots = sample.groupBy("host", "layout").applyInPandas(learn, "host string, layout long, slot string").where("slot != ''")
+    by_host = slots.groupBy("host").agg(F.collect_list(F.struct("layout", "slot")).alias("x")).select("host", F.col("x.layout").alias("layouts"), F.col("x.slot").alias("slots"))
+    return stored(by_host.join(constant_texts(parts), "host", "full").select("host", "constants", "layouts", "slots"), "wrappers")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row."""
     tune(pages.sparkSession)
     w = wrappers(pages)
-    size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("constants")), F.lit(0)).alias("c")).first()
+    held = F.coalesce(F.size("constants"), F.lit(0)) + F.coalesce(F.size("slots"), F.lit(0))
+    size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(held), F.lit(0)).alias("c")).first()
     small = size.n <= BROADCAST_HOSTS and size.c <= BROADCAST_CONSTANTS
     rows = pages.select("page_id", "url", "html", host_and_path(F.col("url"))[0].alias("host")).join(F.broadcast(w) if small else w, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, memo = [], {}
-            for html, host, constants, slot in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5).to_pylist(), strict=True):
+            for html, host, constants, layouts, slots in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6), strict=True):
                 if host not in memo:
-                    memo[host] = frozenset(constants.as_py() or ())
-                texts.append(main_text(html or "", memo[host], slot or ""))
+                    memo[host] = frozenset(constants.as_py() or ()), dict(zip(layouts.as_py() or (), slots.as_py() or (), strict=True))
+                if not html:
+                    texts.append("")
+                    continue
+                fixed, slot = memo[host]
+                root = parse(html)
+                texts.append(content(root, fixed, slot.get(shape(root)[0]) or slot.get(0, "") if slot else ""))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "host", "constants", "slot").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "host", "constants", "layouts", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
