@@ -36,7 +36,8 @@ def initial_map(slots: int, shards: int) -> list[int]:
 def rebalanced(owner: list[int], size: list[int], shards: int) -> list[int]:
     """An edit of ``owner``: slots leave shards above the mean, the largest first, and
     go to the lightest shard; then single slots move while that narrows the spread."""
-    owner = list(owner)
+    # Slots of shards that are no more go round the others before bytes are looked at.
+    owner = [o if o < shards else s % shards for s, o in enumerate(owner)]
     load, held = [0] * shards, [[] for _ in range(shards)]
     for s, o in enumerate(owner):
         load[o] += size[s]
@@ -80,6 +81,15 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return m.where(F.col("version") == v)
 
 
+def newest_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """(version, owner of each slot) of the newest map at ``path``, or None where none is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return None
+    rows = sorted((r.vslot, r.version, r.shard) for r in load_map(spark, path).collect())  # a row per slot
+    return (rows[0][1], [o for _, _, o in rows]) if rows else None
+
+
 def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, vslot: all that sharding needs of a record."""
     body = F.coalesce(F.col("text"), F.lit(""))
@@ -92,21 +102,29 @@ def sized(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot, map_version.
+
+    The newest map at ``map_path`` is edited and stored as its next version; a new path starts with version 1.
+    """
     spark = docs.sparkSession
     path = map_path or fresh_path(spark, "slot-map")
+    held = newest_map(spark, path) if map_path else None
+    if held is not None and len(held[1]) != slots:
+        raise ValueError(f"the map at {path} has {len(held[1])} slots, not {slots}")
     narrow = stored(sized(docs, slots), "sized")
     size, rows = [0] * slots, [0] * slots
     for r in narrow.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # a row per slot
         size[r.vslot], rows[r.vslot] = r.b, r.n
-    store_map(spark, path, 1, initial_map(slots, shards))
-    owner = rebalanced(initial_map(slots, shards), size, shards)
-    store_map(spark, path, 2, owner)
+    if held is None:
+        held = 1, initial_map(slots, shards)
+        store_map(spark, path, *held)
+    version, owner = held[0] + 1, rebalanced(held[1], size, shards)
+    store_map(spark, path, version, owner)
     offset, seen = [0] * slots, [0] * shards
     for s, o in enumerate(owner):
         offset[s] = seen[o]
         seen[o] += rows[s]
-    placed = load_map(spark, path).join(spark.createDataFrame(list(enumerate(offset)), "vslot int, offset long"), "vslot")
+    placed = load_map(spark, path, version).join(spark.createDataFrame(list(enumerate(offset)), "vslot int, offset long"), "vslot")
     rank = F.row_number().over(W.partitionBy("vslot").orderBy("doc_id", "size", "text_crc32")) - 1
     return (
         narrow.withColumn("rank", rank)
