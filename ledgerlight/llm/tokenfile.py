@@ -11,7 +11,8 @@ leaves one whole file.
 Documents are encoded by white-space-separated chunks, cached: the tokenizer's
 normaliser and splitter never look across ASCII white space, so ids are those of the
 whole text. A chunk below U+0300 goes through the library's BPE model piece by piece; any
-other chunk through the library's whole pipeline.
+other chunk through the library's whole pipeline. So goes a whole text that contains the
+string of an added token, which the library looks for before it splits.
 
 Edge cases: a null text is empty and holds only the end id; repeated rows are kept,
 each with its own span; null doc_ids come first; an empty table gives no rows.
@@ -62,7 +63,7 @@ class ChunkCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.find = regex.compile(PIECE).findall
         self.old: dict[bytes, bytes] = {}
@@ -109,6 +110,9 @@ class ChunkCache(dict):
         return got
 
     def encode(self, text: bytes) -> bytes:
+        if any(a in text for a in self.added):
+            ids = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(self.__getitem__, text.split()))
 
 
