@@ -10,8 +10,12 @@ pieces; the pair merging itself is the library's, ``merge_pairs`` is the plain
 form it is tested against.
 
 Edge cases: null and empty texts have no tokens; repeated rows each get a row;
-extra columns are ignored; an empty table gives no rows. Texts over a Arrow batch's
+extra columns are ignored; an empty table gives no rows. Texts over an Arrow batch's
 share are processed whole.
+
+Memory: ``digests`` encodes and decodes in one Python stage, in groups of about
+``GROUP_BYTES`` of text; the piece cache is bounded in bytes and emptied when a task ends, so an
+idle worker holds no more than the vocabulary.
 """
 
 from __future__ import annotations
@@ -21,17 +25,20 @@ import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import tune
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-CACHE = 250_000
+#: Bytes of pieces and ids that a cache may hold, with about 160 bytes of overhead an entry.
+CACHE_BYTES, ENTRY_BYTES = 48 << 20, 160
+#: Text taken through the scan at once.
+GROUP_BYTES = 4 << 20
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 #: Fixed: code points with the White_Space property.
 WHITE_SPACE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
@@ -103,7 +110,7 @@ def merge_pairs(piece: bytes, table: dict[bytes, int]) -> list[int]:
 
 
 class PieceCache(dict):
-    """Piece bytes -> ids as little-endian uint32; emptied when full."""
+    """Piece bytes -> ids as little-endian uint32; emptied when it holds ``CACHE_BYTES``."""
 
     def __init__(self, path: str = VOCABULARY) -> None:
         super().__init__()
@@ -113,23 +120,44 @@ class PieceCache(dict):
         self.bytes_of = [b""] * (max(table.values()) + 1)
         for k, v in table.items():
             self.bytes_of[v] = k
+        self.width = np.array([len(t) for t in self.bytes_of])
+        self.held = 0
         self.merge = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})._encode_single_piece
 
     def __missing__(self, piece: bytes) -> bytes:
         ids = self.merge(piece)
         got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE:
-            self.clear()
+        self.held += len(piece) + len(got) + ENTRY_BYTES
+        if self.held > CACHE_BYTES:
+            self.drop()
         self[piece] = got
         return got
 
+    def drop(self) -> None:
+        self.clear()
+        self.held = 0
+
 
 def cache_of(path: str) -> PieceCache:
+    """The worker's cache; whoever takes it drops its pieces when the task ends."""
     if path not in _tables:
         _tables[path] = PieceCache(path)
     return _tables[path]
 
 
+def grouped(texts: Iterator[bytes], most: int = GROUP_BYTES) -> Iterator[list[bytes]]:
+    """Lists of texts of about ``most`` bytes; a longer text is a list of its own."""
+    group, held = [], 0
+    for t in texts:
+        if group and held + len(t) > most:
+            yield group
+            group, held = [], 0
+        group.append(t)
+        held += len(t)
+    if group:
+        yield group
+
+
 def encode_texts(texts: list[bytes], cache: PieceCache) -> tuple[list[bytes], list[bytes]]:
     """ids and piece offsets (bytes into the text), both packed as uint32, per text."""
     whole = b"".join(texts)
@@ -155,41 +183,71 @@ def encode_texts(texts: list[bytes], cache: PieceCache) -> tuple[list[bytes], li
 SCHEMA = "doc_id long, n_bytes long, ids binary, piece_offsets binary"
 
 
+def bodies(column: pa.Array) -> Iterator[bytes]:
+    return (t.as_py() or b"" for t in column.cast(pa.binary()))
+
+
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_bytes, ids and piece_offsets (packed little-endian uint32)."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = cache_of(vocabulary)
-        for b in batches:
-            texts = [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-            ids, offsets = encode_texts(texts, cache)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], names=["doc_id", "n_bytes", "ids", "piece_offsets"])
+        try:
+            for b in batches:
+                sizes, ids, offsets = [], [], []
+                for texts in grouped(bodies(b.column(1))):
+                    got = encode_texts(texts, cache)
+                    sizes += map(len, texts)
+                    ids += got[0]
+                    offsets += got[1]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), pa.array(offsets, pa.binary())], names=["doc_id", "n_bytes", "ids", "piece_offsets"])
+        finally:
+            cache.drop()
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def decoded_bytes(ids: bytes, offsets: bytes, size: int, cache: PieceCache) -> bytes:
+    """The text's bytes; pieces must end where their offsets say."""
+    i = np.frombuffer(ids, dtype="<u4")
+    ends = np.cumsum(cache.width[i])
+    starts = np.frombuffer(offsets, dtype="<u4")
+    if (int(ends[-1]) if len(ends) else 0) != size or not np.isin(starts[1:], ends).all():
+        raise ValueError("ids and offsets disagree")
+    return b"".join(map(cache.bytes_of.__getitem__, i.tolist()))
+
+
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``encoded`` with ``decoded`` (the bytes); pieces must end where their offsets say."""
+    """``encoded`` with ``decoded`` (the bytes)."""
+    tune(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = cache_of(vocabulary).bytes_of
-        width = np.array([len(t) for t in table])
+        cache = cache_of(vocabulary)
         for b in batches:
-            out = []
-            for ids, offsets, size in zip(b.column("ids").to_pylist(), b.column("piece_offsets").to_pylist(), b.column("n_bytes").to_pylist(), strict=True):
-                i = np.frombuffer(ids, dtype="<u4")
-                ends = np.cumsum(width[i])
-                starts = np.frombuffer(offsets, dtype="<u4")
-                if (len(ends) and ends[-1] != size) or not np.isin(starts[1:], ends).all():
-                    raise ValueError("ids and offsets disagree")
-                out.append(b"".join([table[t] for t in i.tolist()]))
+            rows = zip(b.column("ids"), b.column("piece_offsets"), b.column("n_bytes"), strict=True)
+            out = [decoded_bytes(i.as_py(), o.as_py(), n.as_py(), cache) for i, o, n in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], names=[*b.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, SCHEMA + ", decoded binary")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: encoded, then decoded from the ids."""
-    d = decode(encode(docs))
-    return d.select("doc_id", F.expr("octet_length(ids) div 4").cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    tune(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = cache_of(vocabulary)
+        try:
+            for b in batches:
+                counts, of_ids, of_text = [], [], []
+                for texts in grouped(bodies(b.column(1))):
+                    for t, ids, offsets in zip(texts, *encode_texts(texts, cache), strict=True):
+                        counts.append(len(ids) // 4)
+                        of_ids.append(sha256(ids).hexdigest())
+                        of_text.append(sha256(decoded_bytes(ids, offsets, len(t), cache)).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:
+            cache.drop()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
