@@ -1,21 +1,27 @@
 """Benchmark decontamination (native): a prefix-filtered set join.
 
 A window is 13 consecutive item words (all words of a shorter item). Windows are
-sets of positioned shingles of up to three words; full containment needs one prefix
-shingle per window, and the rarest in the corpus is taken. Steps: find every
-occurrence of benchmark shingles in the documents (the only full pass that
-explodes), order shingles by their corpus frequency, join each window's rarest
-shingle with its occurrences, bound the start by the shingle's offset and the
-document's length, then verify that every shingle of the window stands at its
-place, which is exact equality of all words.
-
-The occurrence table holds only positions whose shingle is in the benchmark. The
-benchmark side is broadcast only if its counted shingles are under
-``BROADCAST_SHINGLES``; beyond that the same join shuffles.
+sets of positioned shingles of up to three words; full containment needs every
+shingle, so one prefix shingle per window is enough, and the rarest is taken. Steps:
+
+1. Count the benchmark's shingles in the corpus: each text is cut into words once, every
+   position's shingle hash meets a blocked Bloom filter of the benchmark's in generated code,
+   and only what passes is counted, combined before the shuffle. This gives the order by rarity.
+2. A window with a shingle that never occurs can't occur. Of the others only the rarest
+   shingle's hash goes into a second filter; the positions that pass it keep the
+   words around them, nothing else of the texts is written.
+3. These candidates join the windows by prefix hash, are bounded by the prefix's offset
+   and the document's length (start >= 0, start + len <= n_words), and are
+   verified by comparing all words of the item-sized window.
+
+Filters grow with what they hold up to ``BLOCKS`` words and only save work: hashes that
+pass by chance, or collide, fail in step 3. Windows are broadcast only under the counted
+``BROADCAST_WINDOWS``; beyond that the same join shuffles.
 
 Edge cases: null and word-less texts have no words and are never contaminated;
 items without words match nothing; rows that share doc_id and text get the same
 result each; extra columns are ignored; empty tables give empty or clean results.
+Very long texts are one row with as many candidates as they have prefix occurrences.
 """
 
 from __future__ import annotations
@@ -28,27 +34,34 @@ from ledgerlight.llm.common import ascii_lower, fingerprint, stored
 
 WINDOW = 13
 SHINGLE = 3
-#: Broadcast bound: so many distinct shingles of at most three words each.
-BROADCAST_SHINGLES = 200_000
+#: Broadcast bound of prefix windows (each at most a window's words) and of row ids.
+BROADCAST_WINDOWS = 100_000
 BROADCAST_IDS = 500_000
+#: Most 64-bit words of a filter, and bits aimed at for each hash it holds.
+BLOCKS = 1 << 15
+BITS_EACH = 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    parts = F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS)
-    return F.filter(parts, lambda w: w != "")
+    t = F.coalesce(text, F.lit(""))
+    # Texts of one byte a character take the short way to the same lower case.
+    low = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(ascii_lower(t))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
 
-def shingles(w: Column, k: int) -> Column:
-    """Array of k-word shingles joined by a space, by position."""
-    if k == 1:
-        return w
-    n = F.size(w)
-    return F.transform(F.arrays_zip(*[F.slice(w, i + 1, F.greatest(n - (k - 1), F.lit(0))).alias(f"w{i}") for i in range(k)]), lambda s: F.concat_ws(" ", *[s[f"w{i}"] for i in range(k)]))
+def lanes(w: Column, k: int) -> Column:
+    """Struct (w0..) of ``k`` neighbouring words at each position, and one after the last whose w0 is null."""
+    # Plain array functions: they stay in generated code, where lambdas would not.
+    return F.arrays_zip(*[(F.array_append(w, F.lit(None)) if j == 0 else F.slice(w, j + 1, F.size(w))).alias(f"w{j}") for j in range(k)])
+
+
+def lane_hash(lane: str, k: int) -> Column:
+    return F.xxhash64(F.lit(k), *[F.col(f"{lane}.w{j}") for j in range(k)])
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, key (the window's words), len: one row per window of each item."""
+    """item_id, key (the window's words), len, win: one row per window of each item."""
     items = benchmark.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     n = F.size("w")
     starts = F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1)))
@@ -57,6 +70,32 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
+class HashFilter:
+    """Blocked Bloom filter of 64-bit hashes: two bits in one word."""
+
+    def __init__(self, hashes: DataFrame, count: int) -> None:
+        self.blocks = 1
+        while self.blocks < BLOCKS and 64 * self.blocks < BITS_EACH * count:
+            self.blocks *= 2
+        h = F.col("h")
+        rows = hashes.groupBy(self.block(h).alias("b")).agg(F.bit_or(self.mask(h)).alias("m")).collect()  # a row per block
+        self.words = [0] * self.blocks
+        for r in rows:
+            self.words[r.b] = r.m
+
+    def block(self, h: Column) -> Column:
+        return F.shiftright(h, 12).bitwiseAND(F.lit(self.blocks - 1).cast("bigint")).cast("int")
+
+    @staticmethod
+    def mask(h: Column) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), x.bitwiseAND(F.lit(63).cast("bigint")).cast("int"))
+        return bit(h).bitwiseOR(bit(F.shiftright(h, 6)))
+
+    def may_hold(self, h: Column) -> Column:
+        table = F.expr("array(" + ",".join("-9223372036854775808" if w == -(2**63) else f"{w}L" for w in self.words) + ")")
+        return F.bitwise_not(F.get(table, self.block(h))).bitwiseAND(self.mask(h)) == 0
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document row."""
     return judged(docs, benchmark, window).drop("fp")
@@ -69,56 +108,64 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WIN
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]) & (fingerprint(docs["text"]) == bad["bad_fp"]), "left_anti")
 
 
+def prefixes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """key, len, win, k, off, h: each window that can occur with its rarest shingle; ``distinct`` has key, len, win."""
+    sized = distinct.withColumn("k", F.least(F.col("len"), F.lit(SHINGLE)))
+    parts = None
+    for k in range(1, SHINGLE + 1):
+        some = sized.where(F.col("k") == k).select("key", "k", "len", F.posexplode(lanes(F.col("win"), k)).alias("off", "lane")).where(F.col("off") <= F.col("len") - k)
+        some = some.select("key", "k", "off", lane_hash("lane", k).alias("h"))
+        parts = some if parts is None else parts.unionByName(some)
+    parts = stored(parts, "shingles")
+    vocabulary = parts.select("k", "h").distinct()
+    sizes = {r.k: r.n for r in vocabulary.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
+    if not sizes:
+        return sized.select("key", "len", "win", "k", F.lit(0).alias("off"), F.lit(0).cast("bigint").alias("h")).where(F.lit(False))
+    seen = HashFilter(vocabulary.select("h"), sum(sizes.values()))
+    cut = docs.select(words(F.col("text")).alias("w"))
+    passed = None
+    for k in sorted(sizes):
+        h = lane_hash("lane", k)
+        hit = cut.select(F.explode(lanes(F.col("w"), k)).alias("lane")).where(F.col("lane.w0").isNotNull() & seen.may_hold(h)).select(h.alias("h"))
+        passed = hit if passed is None else passed.unionByName(hit)
+    freq = passed.groupBy("h").agg(F.count("*").alias("df"))
+    # Rarity order; a shingle that never occurs rules its window out.
+    ranked = parts.join(freq, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rarest = ranked.groupBy("key", "k").agg(F.min(F.struct("df", "off", "h")).alias("p")).where("p.df > 0")
+    return distinct.join(rarest, "key").select("key", "len", "win", "k", F.col("p.off").alias("off"), F.col("p.h").alias("h"))
+
+
+def candidates(docs: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
+    """doc_id, fp, n_words, pos, h, at, ctx: occurrences of prefix shingles with the words around them (from ``at``).
+
+    A row of ``docs`` also has one row without h, so that its words are counted in the same pass.
+    """
+    sizes = sorted(r.k for r in prefix.select("k").distinct().collect())  # at most SHINGLE rows
+    hashes = prefix.select("h").distinct()
+    rare = HashFilter(hashes, hashes.count())
+    cut = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), words(F.col("text")).alias("w"))
+    at, out = F.greatest(F.col("pos") - (window - 1), F.lit(0)), None
+    for k in sizes or [1]:
+        end, h = F.col("lane.w0").isNull(), lane_hash("lane", k)
+        wanted = rare.may_hold(h) if sizes else F.lit(False)
+        rows = cut.select("doc_id", "fp", "w", F.posexplode(lanes(F.col("w"), k)).alias("pos", "lane"))
+        rows = rows.where(end | wanted) if out is None else rows.where(~end & wanted)
+        rows = rows.select("doc_id", "fp", F.size("w").cast("bigint").alias("n_words"), "pos", F.when(~end, h).alias("h"), at.alias("at"), F.when(~end, F.slice("w", at + 1, 2 * window)).alias("ctx"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """``contamination`` with fp, the fingerprint that tells rows of one doc_id apart."""
     all_windows = stored(windows(benchmark, window), "windows")
-    distinct = all_windows.select("key", "len", "win").dropDuplicates(["key"])
-    k = F.least(F.col("len"), F.lit(SHINGLE))
-    parts = F.when(k == 1, F.col("win"))
-    for size in range(2, SHINGLE + 1):
-        parts = parts.when(k == size, shingles(F.col("win"), size))
-    parts = stored(distinct.select("key", "len", k.alias("k"), F.posexplode(parts).alias("off", "sh")), "shingles")
-    vocabulary = parts.select("k", "sh").distinct()
-    sizes = {r.k: r.n for r in vocabulary.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most SHINGLE rows
-    keyed = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), "text")
-    found = None
-    for size, count in sorted(sizes.items()):
-        w = words(F.col("text"))
-        n = F.size(w)
-        lanes = F.arrays_zip(*[F.slice(w, i + 1, F.greatest(n - (size - 1), F.lit(0))).alias(f"w{i}") for i in range(size)])
-        lane = [F.col(f"lane.w{i}") for i in range(size)]
-        # Joined on a 64-bit hash, then on the words themselves.
-        positions = keyed.select("doc_id", "fp", F.posexplode(lanes).alias("pos", "lane")).select("doc_id", "fp", "pos", *[c.alias(f"w{i}") for i, c in enumerate(lane)], F.xxhash64(*lane).alias("h"))
-        vocab = vocabulary.where(F.col("k") == size).select("sh", F.xxhash64(*[F.split_part("sh", F.lit(" "), F.lit(i + 1)) for i in range(size)]).alias("h"))
-        vocab = F.broadcast(vocab) if count <= BROADCAST_SHINGLES else vocab
-        same = F.concat_ws(" ", *[F.col(f"w{i}") for i in range(size)]) == F.col("sh")
-        hit = positions.join(vocab, "h").where(same).select("doc_id", "fp", "pos", "sh", F.lit(size).alias("k"))
-        found = hit if found is None else found.unionByName(hit)
-    n_words = F.size(words(F.col("text"))).cast("bigint").alias("n_words")
-    counted = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), n_words)
-    if found is None:
-        found = keyed.select("doc_id", "fp", F.lit(0).alias("pos"), F.lit("").alias("sh"), F.lit(1).alias("k")).where(F.lit(False))
-    found = stored(found, "occurrences").distinct()
-    # Rarity order: the rarest shingle of a window is its prefix.
-    freq = found.groupBy("k", "sh").agg(F.count("*").alias("df"))
-    ranked = parts.join(freq, ["k", "sh"], "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # A window with a shingle that never occurs can't occur.
-    prefix = ranked.groupBy("key", "len", "k").agg(F.min(F.struct("df", "off", "sh")).alias("p")).where("p.df > 0")
-    prefix = prefix.select("key", "len", "k", F.col("p.off").alias("off"), F.col("p.sh").alias("sh"))
-    start = (F.col("pos") - F.col("off")).alias("start")
-    candidates = found.join(prefix, ["k", "sh"]).select("doc_id", "fp", "key", "len", "k", start).where("start >= 0")
-    needed = candidates.join(parts.select("key", "off", "sh"), "key").withColumn("pos", F.col("start") + F.col("off"))
-    o = found.alias("o")
-    n = needed.alias("n")
-    same = (F.col("n.fp") == F.col("o.fp")) & F.col("n.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("n.pos") == F.col("o.pos")) & (F.col("n.k") == F.col("o.k")) & (F.col("n.sh") == F.col("o.sh"))
-    verified = (
-        n.join(o, same, "left_semi")
-        .groupBy("doc_id", "fp", "key", "len", "k", "start")
-        .agg(F.count("*").alias("there"))
-        .where(F.col("there") == F.col("len") - F.col("k") + 1)
-        .select("doc_id", "fp", "key", "len", "start")
-    )
-    verified = stored(verified, "verified")
+    prefix = stored(prefixes(docs, all_windows.select("key", "len", "win").dropDuplicates(["key"])), "prefixes")
+    found = stored(candidates(docs, prefix, window), "candidates")
+    near, rows = found.where("h IS NOT NULL"), found.where("h IS NULL").select("doc_id", "fp", "n_words")
+    side = F.broadcast(prefix) if prefix.count() <= BROADCAST_WINDOWS else prefix
+    start = F.col("pos") - F.col("off")
+    bounded = near.join(side, "h").withColumn("start", start).where("start >= 0 AND start + len <= n_words")
+    verified = bounded.where(F.slice("ctx", F.col("start") - F.col("at") + 1, F.col("len")) == F.col("win"))
+    verified = stored(verified.select("doc_id", "fp", "key", "len", "start"), "verified")
     # Words inside any occurrence: merge intervals by their running end.
     by = W.partitionBy("doc_id", "fp").orderBy("start", "len").rowsBetween(W.unboundedPreceding, -1)
     end = F.col("start") + F.col("len")
@@ -127,11 +174,11 @@ def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataF
     hits = hits.groupBy("doc_id", "fp").agg(F.sum("new").alias("n_hit"))
     items = verified.select("doc_id", "fp", "key").distinct().join(all_windows.select("key", "item_id").distinct(), "key").select("doc_id", "fp", "item_id").distinct()
     items = items.groupBy("doc_id", "fp").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list(F.col("item_id").cast("string"))), ",").alias("ids"))
-    found = hits.join(items, (hits.fp == items.fp) & hits.doc_id.eqNullSafe(items.doc_id)).select(hits.doc_id, hits.fp, "n_hit", "n_items", "ids")
-    joined = counted.join(found, (counted.fp == found.fp) & counted.doc_id.eqNullSafe(found.doc_id), "left")
+    of_doc = hits.join(items, (hits.fp == items.fp) & hits.doc_id.eqNullSafe(items.doc_id)).select(hits.doc_id, hits.fp, "n_hit", "n_items", "ids")
+    joined = rows.join(of_doc, (rows.fp == of_doc.fp) & rows.doc_id.eqNullSafe(of_doc.doc_id), "left")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("bigint")
     return joined.select(
-        counted.doc_id, counted.fp, "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0)).cast("bigint").alias("n_items"),
+        rows.doc_id, rows.fp, "n_words", n_hit.alias("n_hit"), F.coalesce(F.col("n_items"), F.lit(0)).cast("bigint").alias("n_items"),
         F.sha2(F.coalesce(F.col("ids"), F.lit("")), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
