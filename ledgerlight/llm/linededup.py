@@ -48,18 +48,19 @@ def window_rows(docs: DataFrame) -> DataFrame:
     """doc, part, i, h1, h2: every window of every document."""
     raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(LINE), F.lit(0))
     spoken = F.filter(F.transform(raw, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
-    # A line is hashed once; a window hashes its lines' hashes.
+    # A line is hashed once; a window hashes its lines' hashes. No filter on the number of
+    # lines: it would be pushed below this projection and cut every text a second time.
     hashed = F.transform(spoken, lambda x: F.xxhash64(x))
     n = F.size("l")
     lanes = F.arrays_zip(*[F.slice("l", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"l{i}") for i in range(WINDOW)])
     lane = [F.col(f"w.l{i}") for i in range(WINDOW)]
-    rows = docs.select(*_key(F.col("doc_id"), F.col("text")), hashed.alias("l")).where(n >= WINDOW).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
+    rows = docs.select(*_key(F.col("doc_id"), F.col("text")), hashed.alias("l")).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
     return rows.select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc, part, gone: sorted positions, among non-blank lines, that are removed."""
-    w = window_rows(docs)
+    w = stored(window_rows(docs), "line-windows")  # used twice
     repeated = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1")
     seen = stored(w.join(repeated.drop("n"), ["h1", "h2"]), "repeated")
     # Only occurrences inside the first document need their positions compared.
