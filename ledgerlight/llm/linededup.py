@@ -1,8 +1,10 @@
 """Line dedup: overlapping three-line windows, found globally.
 
-A line is a piece of text up to a newline, the end of a sentence or
-``LINE_WORDS`` words, whichever comes first, so that paragraphs stored on one
-physical line are wrapped alike wherever they stand. Three consecutive lines that are
+A line is a piece of text up to a newline or the end of a sentence. Longer ones are cut
+by their content: from the word after ``LEAST_WORDS`` on, a line also ends with a word
+whose last letter is in ``CUT_LETTERS``, so that a paragraph without marks, stored on one
+physical line, falls into step with its copies whatever stands before it; ``MOST_WORDS`` words
+end a line that has no such word. Three consecutive lines that are
 not blank make a window, named by two 64-bit hashes of its trimmed lines. Windows
 that occur more than once keep their first occurrence, in order of (doc_id,
 position); the lines covered by later ones are merged and removed.
@@ -25,12 +27,13 @@ from pyspark.sql import functions as F
 
 from ledgerlight.llm.common import stored
 
-LINE_WORDS = 16
-#: No window is too short to be compared.
-MIN_CHARS = 0
+LEAST_WORDS, MOST_WORDS = 6, 22
+CUT_LETTERS = "dglmruy"
 WINDOW = 3
-#: Words that end no sentence, then the word that ends the line; nothing backtracks.
-LINE = r"(?:[^ \n]*+(?<![.!?]) ){0,%d}+[^ \n]*+(?: |\n|\z)" % (LINE_WORDS - 1)
+#: A sentence ends with a mark, which one quote or bracket may follow.
+GOES_ON = r"[^ \n]*+(?<![.!?…])(?<![.!?…][\"'”’»)\]])"
+#: Words that end no line, then the word that does; nothing backtracks.
+LINE = rf"(?:{GOES_ON} ){{0,{LEAST_WORDS}}}+(?:{GOES_ON}(?<![{CUT_LETTERS}]) ){{0,{MOST_WORDS - LEAST_WORDS - 1}}}+[^ \n]*+(?: |\n|\z)"
 BLANKS = " \r\n\t"
 
 
@@ -61,27 +64,32 @@ def window_rows(docs: DataFrame) -> DataFrame:
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc, part, gone: sorted positions, among non-blank lines, that are removed."""
     w = stored(window_rows(docs), "line-windows")  # used twice
-    repeated = w.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).where("n > 1")
-    seen = stored(w.join(repeated.drop("n"), ["h1", "h2"]), "repeated")
-    # Only occurrences inside the first document need their positions compared.
-    packed = F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("i")
-    first = seen.where("doc = first_doc").groupBy("h1", "h2").agg(F.min(packed).alias("first_at"))
-    own = seen.where("doc = first_doc").join(first, ["h1", "h2"]).where(packed > F.col("first_at")).select("doc", "part", "i")
-    later = seen.where("doc > first_doc").select("doc", "part", "i").unionByName(own)
-    covered = later.groupBy("doc", "part").agg(F.array_sort(F.collect_set("i")).alias("at"))
-    merged = F.array_sort(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + (WINDOW - 1))))))
+    # Tables that are joined are written first: only plain shuffles have skewed partitions split.
+    often = stored(w.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "often")
+    at = (F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("i")).alias("at")
+    seen = stored(w.join(often, "h1").select("h1", "h2", "doc", at), "repeated")
+    first = stored(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1").select("h1", "h2", "first"), "first")
+    later = seen.join(first, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first"))
+    covered = later.groupBy("doc", F.shiftright("at", 32).cast("int").alias("part")).agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))).alias("starts"))
+    merged = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (WINDOW - 1))))))
     return covered.select("doc", "part", merged.alias("gone"))
 
 
+def _marked(docs: DataFrame) -> DataFrame:
+    """``row`` (the columns of ``docs``), text (rewritten) and n_removed: no name of ``docs`` can clash."""
+    gone = removed_lines(docs.select("doc_id", "text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col("doc_id"), F.col("text")))
+    j = rows.join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
+    ls = F.filter(lines(F.col("row.text")), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("gone", i)), "")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return j.select("row", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` rewritten, plus n_removed (long). Only texts that lose lines are cut up again."""
-    names = docs.columns
-    gone = removed_lines(docs.select("doc_id", "text")).withColumnsRenamed({"doc": "__doc", "part": "__part", "gone": "__gone"})
-    j = docs.join(gone.hint("shuffle_hash"), (F.coalesce(docs["doc_id"], F.lit(-(2**63))) == gone["__doc"]) & (F.hash(docs["text"]) == gone["__part"]), "left")
-    ls = F.filter(lines(F.col("text")), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("__gone", i)), "")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept)
-    return j.select(*[c for c in names if c != "text"], text.alias("text"), F.coalesce(F.size("__gone"), F.lit(0)).cast("bigint").alias("n_removed"))
+    """``docs`` with ``text`` rewritten, plus n_removed (long), in place of a column of that name. Only texts that lose lines are cut up again."""
+    names = [c for c in docs.columns if c not in ("text", "n_removed")]
+    return _marked(docs).select(*[F.col(f"row.`{c}`") for c in names], "text", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -93,9 +101,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 def rewrite(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines removed; rows that lose every line go, n_chars follows the text."""
-    d = dedup_lines(docs)
+    d = _marked(docs)
     changed = F.col("n_removed") > 0
     d = d.where(~(changed & (F.btrim("text", F.lit(BLANKS)) == "")))
-    if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return d.select(docs.columns)
+    of = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in of:
+        of["n_chars"] = F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(of["n_chars"])
+    return d.select(*[x.alias(c) for c, x in of.items()])

@@ -164,7 +164,8 @@ def brute_lines(rows):
             if not tok:
                 continue
             line.append(tok)
-            if tok.endswith("\n") or re.search(r"[.!?] $", tok) or len(line) == 16:
+            cut = len(line) > 6 and re.search("[dglmruy] $", tok)
+            if tok.endswith("\n") or re.search(r"[.!?…][\"'”’»)\]]? $", tok) or cut or len(line) == 22:
                 out.append("".join(line))
                 line = []
         return [*out, "".join(line)] if line else out
@@ -175,8 +176,7 @@ def brute_lines(rows):
         spoken[key] = [x for x in pieces(key[1]) if x.strip(" \r\n\t")]
         ls = [x.strip(" \r\n\t") for x in spoken[key]]
         for i in range(len(ls) - 2):
-            if sum(map(len, ls[i : i + 3])) >= linededup.MIN_CHARS:
-                seen.setdefault(tuple(ls[i : i + 3]), []).append((key, i))
+            seen.setdefault(tuple(ls[i : i + 3]), []).append((key, i))
     gone = defaultdict(set)
     for places in seen.values():
         for key, i in places[1:]:
