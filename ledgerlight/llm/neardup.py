@@ -1,6 +1,7 @@
 """MinHash near-dedup: a signature-coordinate inverted join.
 
-Documents with equal shingle sets are one class; only classes go on. Each class is
+Documents with equal shingle sets are one class, under a generated long; only classes go
+on, and the smallest doc_id of a component is looked up at the end. Each class is
 posted under its ``COORDINATES`` (coordinate, value) pairs. Two classes at the
 similarity threshold agree on ``MATCHES`` coordinates but for a chance of about 1e-6, and
 classes that agree so often meet in their prefixes: of its coordinates shared with anyone,
@@ -17,8 +18,8 @@ only links that join components. Lists with the same members are done once.
 
 Edge cases: null, empty and word-less texts have no shingles, stand alone and are
 kept; a text of under five words is one shingle; exact copies and repeated rows share a
-class; null doc_ids never name a component and are never kept beside another
-row; extra columns are ignored; an empty table gives no rows.
+class; different texts may share a doc_id, each is judged by its own text; null doc_ids link
+others but never name a component and are never kept beside a row that has one; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import shingles as sh
-from ledgerlight.llm.common import stored, tune
+from ledgerlight.llm.common import fingerprint, stored, tune
 from ledgerlight.llm.components import components
 
 WORDS = 5
@@ -47,36 +48,49 @@ STEP = 16_384
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 (the set's 128-bit name) and sig per row."""
+    """doc_id, fp, n, h1, h2 (the set's 128-bit name) and sig per row."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2, sigs = [], [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
-                s = sh.shingle_set(t or b"", WORDS)
+            for t in b.column(2).cast(pa.binary()):
+                s = sh.shingle_set(t.as_py() or b"", WORDS)
                 n.append(len(s))
                 m = sh.mix(s)
                 h1.append(int(np.bitwise_xor.reduce(m) if len(s) else 0))
                 h2.append(int(np.add.reduce(m * (s | np.uint64(1))) if len(s) else 0))
                 sigs.append(sh.signature(s, COORDINATES) if len(s) else np.zeros(0, np.int32))
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "fp", "n", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sig array<int>")
+    return docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), "text").mapInArrow(run, "doc_id long, fp long, n long, h1 long, h2 long, sig array<int>")
 
 
-def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set (sorted uint64, packed) for the documents in ``ids`` (column id, distinct)."""
-    few = ids.count() <= BROADCAST_IDS
-    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi")
+def _sets(rows: DataFrame) -> DataFrame:
+    """id, set (sorted uint64, packed) of ``rows`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [sh.shingle_set(t or b"", WORDS).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
+            sets = [sh.shingle_set(t.as_py() or b"", WORDS).tobytes() for t in b.column(1).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
 
-    return rows.mapInArrow(run, "id long, set binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, set binary")
+
+
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set of the documents whose doc_id is in ``ids`` (column id, distinct)."""
+    few = ids.count() <= BROADCAST_IDS
+    return _sets(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi"))
+
+
+def class_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """id, set of the classes in ``reps`` (id, doc_id and fp of one row), one row each."""
+    few = reps.count() <= BROADCAST_IDS
+    r = (F.broadcast(reps) if few else reps).alias("r")
+    d = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), "text").alias("d")
+    rows = d.join(r, (F.col("d.fp") == F.col("r.fp")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("r.id", "d.text")
+    return _sets(rows).dropDuplicates(["id"])
 
 
 def prefix_posts(classes: DataFrame) -> DataFrame:
@@ -117,7 +131,8 @@ def confirm(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
 
 def leader_pairs(posts: DataFrame, leader: Column, comp: DataFrame | None) -> DataFrame:
     """(a, b): members with their list's leader; with ``comp``, only across components."""
-    led = posts.groupBy("key").agg(leader.alias("b"))
+    # Written first: only a join of two plain shuffles has its skewed partitions split.
+    led = stored(posts.groupBy("key").agg(leader.alias("b")), "leaders")
     pairs = posts.join(led, "key").select(F.col("id").alias("a"), "b").where("a <> b").distinct()
     if comp is not None:
         ca = comp.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
@@ -193,14 +208,22 @@ def exact_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row."""
+    return judged(docs).drop("fp", "cid")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with fp, which tells rows of one doc_id apart, and cid, the component's own name."""
     rows = stored(signatures(docs), "signatures")
-    named = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
-    classes = stored(classes, "classes")
-    reps = stored(named.join(classes.select(F.col("id").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id"]), "reps")
+    worded = rows.where("n > 0")
+    classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "fp")).alias("one"))
+    # The written table is the only one that is read, so the ids stay what they are.
+    classes = stored(classes.select("h1", "h2", "doc", F.col("one.doc_id").alias("doc_id"), F.col("one.fp").alias("fp"), F.monotonically_increasing_id().alias("id")), "classes")
+    w, c = worded.alias("w"), classes.alias("c")
+    same = (F.col("w.fp") == F.col("c.fp")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.h1") == F.col("c.h1")) & (F.col("w.h2") == F.col("c.h2"))
+    reps = stored(w.join(c, same).select("c.id", "w.n", "w.sig", "c.doc_id", "c.fp").dropDuplicates(["id"]), "reps")
     posts = stored(prefix_posts(reps), "posts")
     posts = stored(posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
-    sets = stored(shingle_sets(docs, posts.select("id").distinct()).dropDuplicates(["id"]), "sets")
+    sets = stored(class_sets(docs, stored(reps.join(posts.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "fp"), "met")), "sets")
     edges = stored(confirm(leader_pairs(posts, F.min("id"), None), reps, sets), "links")
     comp = components(edges)
     more = stored(confirm(leader_pairs(posts, F.min_by("id", F.xxhash64("id", "key")), comp), reps, sets), "links")
@@ -208,20 +231,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comp = components(edges)
     edges = edges.union(stored(exact_rest(posts, comp, sets), "links"))
     comp = components(edges)
-    of_class = classes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", F.coalesce("comp", "id").alias("component_id"))
-    out = rows.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    of_class = classes.select("id", "h1", "h2", "doc").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc", F.coalesce("comp", "id").alias("cid"))
+    of_class = stored(of_class, "of-class")
+    least = stored(of_class.groupBy("cid").agg(F.min("doc").alias("component_id")), "least")
+    out = rows.select("doc_id", "fp", "n", "h1", "h2").join(of_class.join(least, "cid").select("h1", "h2", "cid", "component_id"), ["h1", "h2"], "left")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.col("doc_id").isNull() & alone.isNull()).alias("kept"))
+    return out.select("doc_id", "fp", "cid", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.col("doc_id").isNull() & alone.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group; rows without a doc_id stay."""
-    judged = stored(near_duplicates(docs), "judged")
-    gone = judged.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = judged.where("kept AND n_shingles > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    """``docs`` with one row of each near-duplicate group; rows without a doc_id or without words stay."""
+    each = judged(docs).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cid", "doc_id", "fp", "kept").agg(F.count("*").alias("rows"))
+    each = stored(each, "judged")
+    keeper = stored(each.where("kept").groupBy("cid").agg(F.min("fp").alias("best")), "keepers")
+    each = each.join(keeper, "cid")
+    gone = stored(each.where("NOT kept OR fp <> best").select("doc_id", "fp").distinct(), "gone")
+    again = stored(each.where("kept AND fp = best AND rows > 1").select("doc_id", "fp"), "again")
+
+    def rows(side: DataFrame, how: str, df: DataFrame) -> DataFrame:
+        side = side.select(F.col("doc_id").alias("other_id"), F.col("fp").alias("other_fp"))
+        side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+        return df.join(side, (df["doc_id"] == side["other_id"]) & (fingerprint(df["text"]) == side["other_fp"]), how)
+
+    left = rows(gone, "left_anti", docs)
     if again.isEmpty():
         return left
-    again = stored(again, "again")
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(docs.columns))
+    return rows(again, "left_anti", left).unionByName(rows(again, "left_semi", left).dropDuplicates(["doc_id", "text"]))
