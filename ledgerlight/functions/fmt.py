@@ -51,5 +51,16 @@ def weekday_label(d: Column) -> Column:
 
 
 def truncate_label(s: Column, most: int) -> Column:
-    """At most ``most`` characters, the last one an ellipsis where text is cut."""
-    return F.when(F.length(s) <= most, s).otherwise(F.concat(F.left(s, F.lit(max(0, most - 1))), F.lit("…")))
+    """At most ``most`` bytes of UTF-8 before an ellipsis takes the place of one; no character is cut."""
+    if most <= 1:
+        return F.when(F.octet_length(s) <= most, s).when(s.isNotNull(), "…" if most == 1 else "")
+    raw = s.cast("binary")
+
+    def inside(n: int) -> Column:
+        """The byte after the first ``n`` continues a character."""
+        return F.hex(F.substr(raw, F.lit(n + 1), F.lit(1))).between("80", "BF")
+
+    end = F.lit(max(0, most - 4))
+    for n in range(max(0, most - 4) + 1, most):
+        end = F.when(~inside(n), F.lit(n)).otherwise(end)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.concat(F.substr(raw, F.lit(1), end).cast("string"), F.lit("…")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 from collections.abc import Callable
 from pathlib import Path
 
@@ -42,7 +43,16 @@ def only_git_child(path: Path) -> Path | None:
     return found[0] if len(found) == 1 else None
 
 
-def resolve_identity(cwd: str, remote_of: Callable[[Path], str | None] = lambda p: None) -> tuple[str, str | None]:
+def origin_url(root: Path) -> str | None:
+    """The URL of a repository's remote named origin; None without git, a repository or a remote."""
+    try:
+        run = subprocess.run(["git", "-C", str(root), "remote", "get-url", "origin"], capture_output=True, text=True, timeout=10, check=False)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return run.stdout.strip() or None if run.returncode == 0 else None
+
+
+def resolve_identity(cwd: str, remote_of: Callable[[Path], str | None] = origin_url) -> tuple[str, str | None]:
     """Root and remote of a directory, also of one that no longer exists."""
     here = Path(cwd)
     near = next((p for p in (here, *here.parents) if p.is_dir()), None)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,10 @@ from ledgerlight import adapter as ad
 from ledgerlight.functions import fmt, scalars
 from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
 from ledgerlight.functions.timewin import TimeFilter, display_range, window
-from ledgerlight.operators import activity, cards, diff, grouping, heatmap, history, kpi, modelstats, rollup, series
+from ledgerlight.operators import activity, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, rollup, series
 from ledgerlight.schema import EVENT, LINES, MEASURES, SERIES
 from ledgerlight.sources import logs
+from ledgerlight.sources.shared import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _Q: dict[str, Query] = {}
@@ -497,10 +499,19 @@ def _d4(s, d):
     return rollup.root_map(ad.session_map(s)).select("root", F.explode("cwds").alias("cwd"))
 
 
-@query("f11_invalid_history_dates", " SELECT event_id, TRY_CAST(CASE WHEN event_id % 7 = 0 THEN 'not-a-date' ELSE CAST(date AS VARCHAR) END AS DATE) AS date FROM u WHERE event_id % 7 <> 0")
+@query("f11_s9_history_json_dates", f" SELECT root, cwd, date, CAST(sum(input) AS BIGINT) AS input, CAST(sum(added) AS BIGINT) AS added, round(sum(cost), 9) AS cost FROM j WHERE event_id % 7 <> 0 GROUP BY root, cwd, date")
 def _f11(s, d):
-    e = ad.base(s, d).select("event_id", F.when(F.col("event_id") % 7 == 0, "not-a-date").otherwise(F.date_format("ts", "yyyy-MM-dd")).alias("t"))
-    return e.select("event_id", F.expr("try_to_date(t, 'yyyy-MM-dd')").alias("date")).where("date IS NOT NULL")
+    """A nested JSON history, some of its dates unreadable, written and imported."""
+    from ledgerlight.sources.store import import_history_json
+
+    t = F.when(F.col("event_id") % 7 == 0, "not-a-date").otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    e = ad.base(s, d).join(ad.session_map(s), "session_file").groupBy("root", "cwd", t.alias("t")).agg(F.sum("input").alias("input"), F.sum("added").alias("lines_added"), F.sum("cost").alias("cost"))
+    nest = lambda df, keys, k, v: df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(k), v))).alias("m"))
+    m = nest(e, ["root", "cwd"], "t", F.struct("input", "lines_added", "cost"))
+    m = nest(nest(m, ["root"], "cwd", F.col("m")), [], "root", F.col("m"))
+    at = f"{shared_dir(s)}/history-json-{uuid.uuid4().hex}"
+    m.select(F.to_json("m").alias("value")).coalesce(1).write.text(at)
+    return money(import_history_json(s, at).select("root", "cwd", "date", "input", "added", "cost"))
 
 
 @query("f15_name_search", " SELECT root_key, name FROM g WHERE contains(lower(name), lower('E/P1'))")
@@ -567,10 +578,18 @@ def _x31(s, d):
     return ad.base(s, d).select("event_id", fmt.month_abbrev(F.col("ts")).alias("month"), fmt.weekday_label(F.col("ts")).alias("weekday"))
 
 
-@query("x11_x15_x17_number_labels")
+_MK = "CASE WHEN units >= 1000000 THEN printf('%.1fM', units / 1e6) WHEN units >= 1000 THEN printf('{k}K', units / 1e3) ELSE CAST(units AS VARCHAR) END"
+
+
+@query(
+    "x11_x15_x17_number_labels",
+    f" SELECT event_id, {_MK.format(k='%.1f')} AS tokens, {_MK.format(k='%.0f')} AS axis, '$' || CASE WHEN value >= 100 THEN printf('%.0f', value) WHEN value >= 10 THEN printf('%.1f', value) ELSE printf('%.2f', value) END AS cost,"
+    " '$' || CASE WHEN value >= 100 THEN printf('%.0f', value) ELSE printf('%.2f', value) END AS kpi_cost FROM (SELECT event_id, units * (1 + event_id % 400) AS units, value FROM u)",
+)
 def _x11(s, d):
-    """Half-even labels; SQL engines differ at ties, tests hold the expected strings."""
-    return ad.base(s, d).select("event_id", fmt.format_tokens(F.col("units")).alias("tokens"), fmt.format_axis_tokens(F.col("units")).alias("axis"), fmt.format_cost(F.col("value")).alias("cost"), fmt.format_kpi_cost(F.col("value")).alias("kpi_cost"))
+    """Labels of every magnitude; ties go to the even digit of the exact value."""
+    e = ad.base(s, d).withColumn("units", F.col("units") * (1 + F.col("event_id") % 400))
+    return e.select("event_id", fmt.format_tokens(F.col("units")).alias("tokens"), fmt.format_axis_tokens(F.col("units")).alias("axis"), fmt.format_cost(F.col("value")).alias("cost"), fmt.format_kpi_cost(F.col("value")).alias("kpi_cost"))
 
 
 @query("u2_u4_distinct_dates", " SELECT DISTINCT date FROM j")
@@ -593,17 +612,12 @@ def _d18(s, d):
 # Orders, labels, streaming.
 @query("o4_f12_group_order", " SELECT root_key, CAST(row_number() OVER (ORDER BY root_key = '/home/u/code/p3', root_key = '/home/u/code/p4' DESC, lower(name)) AS INTEGER) AS place FROM (SELECT root_key, CASE WHEN root_key = '/home/u/code/p5' THEN 'Five' ELSE name END AS name FROM g)")
 def _o4(s, d):
-    o = ad.overrides()
-    g = ad.groups(s).join(o.display(s).select("root_key", F.col("name").alias("custom"), "starred", "hidden"), "root_key", "left")
-    off = F.lit(False)
-    w = W.orderBy(F.coalesce("hidden", off), F.desc(F.coalesce("starred", off)), F.lower(F.coalesce("custom", "name")))
-    return g.select("root_key", F.row_number().over(w).alias("place"))
+    return overrides.with_place(ad.groups(s), ad.overrides()).select("root_key", "place")
 
 
 @query("o6_x28_roots", " SELECT root, replace(regexp_replace(root, '/projects$', ''), '/home/u/', '') AS label, CAST(row_number() OVER (ORDER BY root) AS INTEGER) AS place FROM (SELECT DISTINCT root FROM sm)")
 def _o6(s, d):
-    roots = ad.session_map(s).select("root").distinct()
-    return roots.select("root", scalars.source_display(F.col("root"), "/home/u").alias("label"), F.row_number().over(W.orderBy("root")).alias("place"))
+    return _live(s, d).roots().select("root", scalars.source_display(F.col("root"), "/home/u").alias("label"), F.row_number().over(W.orderBy(F.monotonically_increasing_id())).alias("place"))
 
 
 @query("x36_model_bar", _STATS + f", t AS ({_TOKENS}), sh AS (SELECT root_key, model, tokens / sum(tokens) OVER (PARTITION BY root_key)::DOUBLE AS share FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY root_key ORDER BY share DESC, model) AS k, count(*) OVER (PARTITION BY root_key) AS n FROM sh), w AS (SELECT *, CASE WHEN k < n THEN greatest(round(share * 40), 1) END AS w FROM r) SELECT root_key, model, CAST(coalesce(w, greatest(40 - coalesce(sum(w) OVER (PARTITION BY root_key), 0), 0)) AS INTEGER) AS width FROM w")
@@ -618,22 +632,137 @@ def _x18(s, d):
     return e.where(w.has_minute(scalars.local_date(F.col("ts")), scalars.local_minute(F.col("ts")))).select("event_id")
 
 
-@query("x30_truncated_labels", " SELECT event_id, CASE WHEN length(props) <= 8 THEN props ELSE left(props, 7) || '…' END AS label FROM events", "")
+@query("x30_truncated_labels", "SELECT doc_id, CASE WHEN strlen(t) <= 16 THEN t ELSE left(t, list_max(list_filter(range(16), lambda k: strlen(left(t, k)) <= 15))) || '…' END AS label FROM (SELECT doc_id, split_part(text, ' ', 1) || split_part(text, ' ', 2) || split_part(text, ' ', 3) AS t FROM documents)", "")
 def _x30(s, d):
-    return s.read.parquet(f"{d}/events.parquet").select("event_id", fmt.truncate_label(F.col("props"), 8).alias("label"))
+    """The first words of texts in several scripts' letters, cut by bytes."""
+    t = F.concat(*[F.split_part("text", F.lit(" "), F.lit(i)) for i in (1, 2, 3)])
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", fmt.truncate_label(t, 16).alias("label"))
+
+
+@query("x29_source_labels", f"{_GROUPED} SELECT seq, CASE WHEN cwd IS NULL THEN dir_name WHEN starts_with(cwd, root_key || '/') THEN './' || substr(cwd, length(root_key) + 2) ELSE cwd END AS label FROM (SELECT seq, dir_name, cwd, regexp_replace(root_key, '/$', '') AS root_key FROM k)", "")
+def _x29(s, d):
+    g = grouping.group_by_identity(*_sources(s, d), home="/home/u").select(F.regexp_replace("root_key", "/$", "").alias("root_key"), F.explode("sources").alias("x"))
+    every = _sources(s, d)[0].select("seq", "dir_name", "cwd", "path")
+    # Sources of one cwd are one source of the group; each directory has its own label.
+    of = g.select("root_key", F.col("x.cwd").alias("c"), F.col("x.path").alias("p"))
+    j = every.join(of, every["cwd"].eqNullSafe(of["c"]) & (every["cwd"].isNotNull() | (every["path"] == of["p"])))
+    return j.select("seq", scalars.source_label(F.col("cwd"), F.col("root_key"), F.col("dir_name")).alias("label"))
+
+
+_SQL["x29_source_labels"] = "WITH" + _SQL["x29_source_labels"]
+
+
+# Overrides of the detected groups, through the settings' own methods.
+_CWD = "/home/u/w/n{}/{}"
+
+
+def _settings() -> overrides.Overrides:
+    o = overrides.Overrides()
+    cwds = lambda keep: [_CWD.format(n, "x" * x) for n in range(25) if keep(n) for x in range(3)]
+    for c in cwds(lambda n: n % 5 == 1):
+        if c.endswith("/x"):
+            o.extract_source(c)
+    for n in (4, 8, 12):  # directories of these nations have no remote, each is a group
+        keys = cwds(lambda m, n=n: m == n)
+        o.add_merge(keys[2], keys[1])
+        o.add_merge(keys[0], keys[2])
+    o.toggle_star(_CWD.format(4, "x"))
+    o.toggle_hidden(_CWD.format(8, "xx"))
+    for x in ("", "x", "xx"):
+        o.toggle_hidden(_CWD.format(12, x))
+        o.toggle_hidden(_CWD.format(16, x))
+    o.toggle_star(_CWD.format(16, "x"))
+    o.rename(_CWD.format(4, "xx"), "Four")
+    o.rename(_CWD.format(16, ""), "Sixteen")
+    o.rename(_CWD.format(8, ""), "Eight")
+    o.rename(_CWD.format(8, ""), "")
+    for c in cwds(lambda n: n in (20, 0) or n in (2, 5, 9, 16, 19, 23)):
+        o.add_split(c)
+    o.remove(_CWD.format(2, "x"))
+    o.add_merge(_CWD.format(24, ""), _CWD.format(24, "x"))
+    o.add_split(_CWD.format(24, "x"))  # leaves its set, which is one key and goes
+    return o
+
+
+def _overrides_sql() -> str:
+    text = lambda keys: "[" + ", ".join(f"'{k}'" for k in sorted(keys)) + "]"
+    all_of = lambda ns: [_CWD.format(n, "x" * x) for n in ns for x in range(3)]
+    splits = set(all_of([n for n in range(25) if n in (20, 0, 2, 5, 9, 16, 19, 23)])) - {_CWD.format(2, "x")} | {_CWD.format(24, "x")}
+    extracts = {_CWD.format(n, "x") for n in range(25) if n % 5 == 1}
+    sets = {n: all_of([n]) for n in (4, 8, 12)}
+    merge = " ".join(f"WHEN key IN {text(k).replace('[', '(').replace(']', ')')} THEN {n}" for n, k in sets.items())
+    stars = {_CWD.format(4, "x"), _CWD.format(16, "x")}
+    hidden = {_CWD.format(8, "xx"), *all_of([12]), _CWD.format(16, ""), _CWD.format(16, "xx")}
+    names = f"MAP {{'{_CWD.format(4, 'xx')}': 'Four', '{_CWD.format(16, '')}': 'Sixteen'}}"
+    return f"""{_GROUPED},
+ p AS (SELECT root_key, one, cwd, files, coalesce(list_contains({text(extracts)}, cwd), false) AS ex FROM m),
+ q AS (SELECT *, count(*) FILTER (NOT ex) OVER (PARTITION BY root_key) AS rest FROM p),
+ l AS (SELECT *, ex OR (list_contains({text(splits)}, root_key) AND rest > 1) AS loose FROM q),
+ gs AS (SELECT CASE WHEN loose THEN cwd ELSE root_key END AS key, loose, sum(len(files)) AS sessions, count(*) AS n_sources FROM l GROUP BY root_key, loose, CASE WHEN loose THEN one END, CASE WHEN loose THEN cwd ELSE root_key END),
+ ms AS (SELECT *, CASE {merge} END AS ms FROM gs),
+ cn AS (SELECT *, count(*) OVER (PARTITION BY ms) AS members, row_number() OVER () AS own FROM ms),
+ f AS (SELECT first(key ORDER BY strlen(key)) AS root_key, CASE WHEN any_value(ms) IS NOT NULL AND any_value(members) > 1 THEN 'merged' WHEN any_value(loose) THEN 'split' END AS origin,
+   CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(n_sources) AS BIGINT) AS n_sources, max({names}[key]) AS given, bool_or(list_contains({text(stars)}, key)) AS starred, bool_and(list_contains({text(hidden)}, key)) AS hidden
+   FROM cn GROUP BY CASE WHEN ms IS NOT NULL AND members > 1 THEN -ms ELSE own END)
+ SELECT root_key, coalesce(given, {_GNAME}) AS name, origin, sessions, n_sources, starred, hidden FROM f"""
+
+
+@query("g4_g8_overrides", "WITH" + _overrides_sql(), "")
+def _g4(s, d):
+    o = _settings()
+    g = overrides.apply_overrides(grouping.group_by_identity(*_sources(s, d), home="/home/u"), o, "/home/u")
+    return overrides.with_place(g, o).select("root_key", "name", "origin", "sessions", F.size("sources").cast("bigint").alias("n_sources"), "starred", "hidden")
+
+
+# Log files: roots, directories, the first lines' cwd, file names, and the events in them.
+_HOMES = (".config/claude", ".claude", ".x-claude")
+
+
+@query(
+    "s1_s7_o8_u1_discovery",
+    " SELECT root, dir_name, cwd, n_files, n_events, units FROM (SELECT CASE s // 12 " + " ".join(f"WHEN {i} THEN '{h}'" for i, h in enumerate(_HOMES)) + " END AS root, 'p' || (s % 6) AS dir_name,"
+    " CASE WHEN s % 2 = 1 THEN '/home/u/code/p' || (s % 6) END AS cwd, count(DISTINCT s) AS n_files, count(*) FILTER (NOT edit OR added + deleted > 0) AS n_events, CAST(sum(input) AS BIGINT) AS units FROM u GROUP BY ALL)",
+)
+def _s1(s, d):
+    """The adapter's lines written as log files, found again and read.
+
+    Two files a directory, one of them deeper; the cwd stands in the first lines of odd
+    sessions and behind the lines that are looked at in even ones.
+    """
+    from pathlib import Path
+
+    base = shared_dir(s)
+    if not base.startswith(("file:", "/")):
+        raise ValueError("discovery reads a mounted file system; the shared folder is none")
+    home = Path("/" + base.split(":", 1)[-1].lstrip("/")) / f"home-{uuid.uuid4().hex}"
+    (home / ".claude-less").mkdir(parents=True)
+    user = lambda k: f'{{"type":"user","cwd":"/home/u/code/p{k % 6}"}}'
+    opened: dict[str, object] = {}
+    for r in _as_lines(s, d).toLocalIterator():  # log files are written on one machine
+        f = opened.get(r.session_file)
+        if f is None:
+            k = int(r.session_file[1:].split(".")[0])
+            folder = home / _HOMES[k // 12] / "projects" / f"p{k % 6}" / ("deep" if k % 12 > 5 else "")
+            folder.mkdir(parents=True, exist_ok=True)
+            f = opened[r.session_file] = (folder / r.session_file).open("w", encoding="utf-8")
+            f.write("\n".join([user(k)] if k % 2 else ["{}"] * logs.HEAD_LINES + [user(k)]) + "\n")
+        f.write(r.value.replace("\n", " ") + "\n")
+    for f in opened.values():
+        f.close()
+    found = logs.discover(s, logs.find_roots(home))
+    paths = [r.path for r in found.select("path").collect()]  # directories
+    e = logs.read_events(s, paths).join(grouping.session_map(found), "session_file").groupBy("root", F.col("cwd").alias("place")).agg(F.count("*").alias("n_events"), F.sum("input").alias("units"))
+    places = found.select(F.col("source_root").alias("root"), scalars.effective_root(F.col("cwd"), F.col("path")).alias("place"), "dir_name", "cwd", F.size("session_files").cast("bigint").alias("n_files"))
+    return places.join(e, ["root", "place"]).select(scalars.source_display(F.col("root"), str(home)).alias("root"), "dir_name", "cwd", "n_files", "n_events", "units")
 
 
 @query("t1_t3_streaming_ingest", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
 def _t1(s, d):
     """The events as a stream of several batches; the history it leaves is the day rollup."""
-    import tempfile
-    import uuid
-
     from ledgerlight.sources.store import load_history
     from ledgerlight.streaming.ingest import ingest
 
-    base = s.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
-    at = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     ad.usage_events(s, d).withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(f"{at}/in")
     stream = s.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     ingest(stream, ad.session_map(s), f"{at}/store", f"{at}/checkpoint").awaitTermination()

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.functions.lines import count_diff_lines, patch_lines
+from ledgerlight.functions.lines import diff_counts, patch_lines
 from ledgerlight.functions.pricing import compute_cost
 from ledgerlight.schema import MEASURES, RAW, SOURCES, struct
 from pyspark.sql import types as T
@@ -82,41 +82,39 @@ def instant(text: Column) -> Column:
 def parse(lines: DataFrame) -> DataFrame:
     """Events of ``lines`` (value, session_file): a line of a wrong shape or type is dropped whole.
 
-    Both kinds of line become events in one pass: the narrow schema is all that is decoded.
+    One pass: the narrow schema is all that is decoded, and each line once. Decoded fields and line
+    counts leave through generators, below which no later filter or column can be pushed
+    and evaluated again.
     """
     schema = T.StructType([*RAW.fields, T.StructField("_corrupt", T.StringType())])
-    j = lines.where(F.trim("value") != "").select("session_file", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("j"))
-    j = j.where("j IS NOT NULL AND j._corrupt IS NULL").select("session_file", "j.*").withColumn("ts", instant(F.col("timestamp"))).where("ts IS NOT NULL")
-    usage = F.col("message.usage")
+    decoded = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    j = lines.where(F.trim("value") != "").select("session_file", F.inline(F.array(decoded)))
+    usage, r = F.col("message.usage"), F.col("toolUseResult")
+    zero = F.lit(0).cast("bigint")
+    said = (F.col("type") == "assistant") & usage.isNotNull()
+    used = (F.col("type") == "user") & r["structuredPatch"].isNotNull()
     sound = F.lit(True)
     for c in COUNTERS:
-        sound = sound & (F.coalesce(usage[c], F.lit(0)) >= 0)
-    j = j.where(sound)
-    zero = F.lit(0).cast("bigint")
-    of = {c: F.coalesce(usage[c], zero) for c in COUNTERS}
-    model = F.coalesce(F.col("message.model"), F.lit(""))
+        sound = sound & (F.coalesce(usage[c], zero) >= 0)
+    j = j.where(F.col("_corrupt").isNull() & (said | used) & sound)
+    # What an edit or a patch changed: added, deleted, and whether it was a whole file.
+    counts = "struct<added:bigint,deleted:bigint,whole:boolean>"
     edits = F.filter(F.coalesce(F.col("message.content"), F.array().cast(RAW["message"].dataType["content"].dataType)), lambda b: (b["type"] == "tool_use") & (b["name"] == "Edit") & b["input"].isNotNull())
-    diffs = F.transform(edits, lambda b: F.struct(*[x.alias(n) for x, n in zip(count_diff_lines(b["input"]["old_string"], b["input"]["new_string"]), ("a", "d"), strict=True)]))
-    total = lambda arr, part: F.aggregate(arr, zero, lambda acc, x: acc + x[part])
-    said = j.where((F.col("type") == "assistant") & usage.isNotNull()).withColumn("diffs", diffs)
-    added, deleted = total(F.col("diffs"), "a"), total(F.col("diffs"), "d")
-    said = said.select(
-        "ts", model.alias("model"), of[COUNTERS[0]].alias("input"), of[COUNTERS[1]].alias("output"), of[COUNTERS[2]].alias("cache_read"), of[COUNTERS[3]].alias("cache_creation"),
-        compute_cost(model, F.col("costUSD"), of[COUNTERS[0]], of[COUNTERS[1]], of[COUNTERS[2]]).alias("cost"),
-        (added + deleted).alias("suggested"), zero.alias("accepted"), added.alias("added"), deleted.alias("deleted"), "session_file",
-    )
-    r = F.col("toolUseResult")
-    used = j.where((F.col("type") == "user") & r["structuredPatch"].isNotNull()).withColumns({"plus": patch_lines(r["structuredPatch"], "+"), "minus": patch_lines(r["structuredPatch"], "-")})
-    used = used.where("plus > 0 OR minus > 0")
-    is_write = r["oldString"].isNull() & r["content"].isNotNull()
-    wa, wd = count_diff_lines(r["originalFile"], r["content"])
-    used = used.withColumns({"added": F.when(is_write, wa).otherwise(F.col("plus")), "deleted": F.when(is_write, wd).otherwise(F.col("minus")), "w": is_write})
+    diffs = F.transform(edits, lambda b: diff_counts(b["input"]["old_string"], b["input"]["new_string"]))
+    none = F.struct(zero.alias("added"), zero.alias("removed"))
+    edited = F.aggregate(diffs, none, lambda acc, x: F.struct((acc["added"] + x["added"]).alias("added"), (acc["removed"] + x["removed"]).alias("removed")), lambda acc: F.struct(acc["added"], acc["removed"], F.lit(False)).cast(counts))
+    whole = r["oldString"].isNull() & r["content"].isNotNull()
+    plus, minus = patch_lines(r["structuredPatch"], "+"), patch_lines(r["structuredPatch"], "-")
+    change = F.when(plus + minus > 0, F.when(whole, F.transform(F.array(diff_counts(r["originalFile"], r["content"])), lambda x: F.struct(x["added"], x["removed"], F.lit(True)).cast(counts))[0]).otherwise(F.struct(plus, minus, F.lit(False)).cast(counts)))
+    kept = ["session_file", instant(F.col("timestamp")).alias("ts"), "costUSD", F.coalesce(F.col("message.model"), F.lit("")).alias("model"), said.alias("said"), usage.alias("usage")]
+    e = j.select(*kept, F.inline(F.array(F.when(said, edited).otherwise(change)))).where("ts IS NOT NULL AND added IS NOT NULL")
+    of = [F.when(F.col("said"), F.coalesce(F.col("usage")[c], zero)).otherwise(zero) for c in COUNTERS]
     done = F.col("added") + F.col("deleted")
-    used = used.select(
-        "ts", F.lit("").alias("model"), *[zero.alias(c) for c in MEASURES[:4]], F.lit(0.0).alias("cost"),
-        F.when(F.col("w"), done).otherwise(zero).alias("suggested"), done.alias("accepted"), "added", "deleted", "session_file",
+    return e.select(
+        "ts", F.when(F.col("said"), F.col("model")).otherwise("").alias("model"), *[x.alias(m) for x, m in zip(of, MEASURES[:4], strict=True)],
+        F.when(F.col("said"), compute_cost(F.col("model"), F.col("costUSD"), *of[:3])).otherwise(F.lit(0.0)).alias("cost"),
+        F.when(F.col("said") | F.col("whole"), done).otherwise(zero).alias("suggested"), F.when(F.col("said"), zero).otherwise(done).alias("accepted"), "added", "deleted", "session_file",
     )
-    return said.unionByName(used)
 
 
 def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:

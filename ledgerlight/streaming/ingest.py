@@ -37,9 +37,9 @@ def ingest(events: DataFrame, session_map: DataFrame, store: str, checkpoint: st
         spark = df.sparkSession
         # Overwriting a batch's own folder makes a retry exact.
         df.withColumn("day", local_date(F.col("ts"))).write.mode("overwrite").partitionBy("day").parquet(f"{store}/events/batch={number}")
-        days = [r.day for r in spark.read.parquet(f"{store}/events/batch={number}").select("day").distinct().collect()] if not df.isEmpty() else []
-        if days:  # the calendar days of one micro-batch
-            kept = spark.read.schema(STORED).option("basePath", f"{store}/events").parquet(f"{store}/events").where(F.col("day").isin(days))
+        days = spark.read.schema(STORED).parquet(f"{store}/events/batch={number}").select("day").distinct() if not df.isEmpty() else None
+        if days is not None:  # the touched days prune the partitions that are read
+            kept = spark.read.schema(STORED).option("basePath", f"{store}/events").parquet(f"{store}/events").join(days, "day", "left_semi")
             update_history(spark, f"{store}/history", day_rollup(kept.drop("day", "batch"), session_map))
 
     writer = events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)

@@ -315,3 +315,57 @@ def test_dashboard_views(spark):
         assert v.kpis().count() == 1 and v.heatmap().count() > 0
     assert b.view(TimeFilter.TODAY).model_costs(10).columns == ["root_key", "model", "i", "value"]
     assert b.view(TimeFilter.ALL, root="/nowhere").daily.count() == 0
+
+
+def test_a_writer_that_dies_leaves_the_old_history(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/h"
+    store.update_history(spark, path, spark.createDataFrame([day(input=5)], DAY))
+
+    def dies(*_):
+        raise OSError("between the two writes")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "point", dies)
+        with pytest.raises(OSError, match="between"):
+            store.update_history(spark, path, spark.createDataFrame([day(input=9)], DAY))
+    assert [r.input for r in store.load_history(spark, path).collect()] == [5]
+    for n in (6, 7, 8):
+        store.update_history(spark, path, spark.createDataFrame([day(input=n)], DAY))
+    assert [r.input for r in store.load_history(spark, path).collect()] == [8]
+    assert len([p for p in (tmp_path / "h").iterdir() if p.name.startswith("v-")]) <= 3  # newest, one older, one never pointed at
+
+
+def test_labels_are_cut_by_bytes(spark):
+    def cut(s, most):
+        if len(s.encode()) <= most:
+            return s
+        return "" if most < 1 else s.encode()[: most - 1].decode(errors="ignore") + "…"
+
+    texts = ["", "a", "abcdef", "éééé", "日本語テキスト", "a😀b😀", "ñandú y más"]
+    for most in range(9):
+        got = spark.createDataFrame([(t,) for t in texts], "s string").select("s", fmt.truncate_label(F.col("s"), most).alias("x")).collect()
+        assert {r.s: r.x for r in got} == {t: cut(t, most) for t in texts}, most
+
+
+def test_line_difference_is_a_multiset(spark):
+    from collections import Counter
+
+    from ledgerlight.functions.lines import count_diff_lines
+
+    pairs = [("x\nx", "x"), (None, "a\nb\n"), ("a\r\nb", "b\na"), ("", ""), ("\n\n", "\n"), ("p\nq\np\np", "p\nr\nr"), ("a\n" * 3000, "b\n" * 2000 + "a\n")]
+    got = spark.createDataFrame(pairs, "old string, new string").select(*count_diff_lines(F.col("old"), F.col("new"))).collect()
+    lines = lambda t: Counter((t or "").replace("\r\n", "\n").split("\n")[: -1 if (t or "").endswith("\n") or not t else None])
+    assert [tuple(r) for r in got] == [((lines(b) - lines(a)).total(), (lines(a) - lines(b)).total()) for a, b in pairs]
+
+
+def test_restructure_changes_nothing_given(tmp_path):
+    from ledgerlight.operators.overrides import restructure
+
+    source = lambda c: {"seq": 0, "dir_name": "d", "path": "/l", "cwd": c, "source_root": "/l", "session_files": ["s"]}
+    groups = [{"root_key": k, "name": k, "remote_url": None, "sources": [source(k)], "sessions": 1, "origin": None} for k in ("/a/long", "/b")]
+    o = Overrides(merges=[["/a/long", "/b"]], hidden={"/a/long"}, stars={"/a/long"}, renames={"/a/long": "N"})
+    out, after = restructure(groups, o)
+    assert [(g["root_key"], g["name"], g["sessions"]) for g in out] == [("/b", "N", 2)]
+    assert o == Overrides(merges=[["/a/long", "/b"]], hidden={"/a/long"}, stars={"/a/long"}, renames={"/a/long": "N"})
+    assert (after.hidden, after.stars, after.renames) == (set(), {"/b"}, {"/b": "N"})
+    assert grouping.origin_url(tmp_path) is None
