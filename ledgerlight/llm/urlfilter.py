@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.common import ascii_lower
+from ledgerlight.llm.common import ascii_lower, stored
 
 #: (verdict, host, path); a rule fits the host and its subdomains.
 RULES = (
@@ -30,16 +30,19 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Canonical URLs of listed sites: trackers, spam, gambling and pill shops.
-LISTED = (
-    "ads-track.example.org/",
-    "casino-win.example.org/",
-    "cheap-pills.example.com/",
-    "free-bets.example.com/",
-    "spam-farm.example.org/",
-)
-BLOCKS = 4096
+#: Trackers, spam, adult sites, gambling and pill shops, each under every ending it may have.
+SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+ENDINGS = ("example.com", "example.net", "example.org")
+#: Their canonical URLs; ``filter_urls`` takes any list as a table.
+LISTED = tuple(f"{site}.{end}/" for site in SITES for end in ENDINGS)
 BITS = 4
+BITS_EACH = 24
+MOST_BLOCKS = 1 << 15
+
+
+def blocks_for(keys: int) -> int:
+    """64-bit words of a filter of ``keys`` keys."""
+    return min(MOST_BLOCKS, max(64, -(-BITS_EACH * keys // 64)))
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -72,7 +75,7 @@ def _mask(key: Column) -> Column:
     return m
 
 
-def bloom_blocks(listed: DataFrame, blocks: int = BLOCKS) -> list[int]:
+def bloom_blocks(listed: DataFrame, blocks: int) -> list[int]:
     """The filter's words: at most ``blocks`` rows reach the driver."""
     rows = listed.select(_block(F.col("key"), blocks).alias("b"), _mask(F.col("key")).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect()
     words = [0] * blocks
@@ -92,9 +95,11 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
     return (null, null) if name is None else (name, verdict)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocks: int = BLOCKS) -> DataFrame:
+def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, blocks: int | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict for each row of ``pages``; ``listed`` has ``key``."""
-    words = bloom_blocks(listed, blocks)
+    known = listed.where("key IS NOT NULL").select("key").distinct()
+    blocks = blocks or blocks_for(known.count())
+    words = bloom_blocks(known, blocks)
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
@@ -104,8 +109,10 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     base = base.withColumns({"rule": rule, "ruled": ruled})
     # Rules win over the list, so only URLs without one are looked up.
     flagged = base.withColumn("maybe", F.col("ruled").isNull() & possible)
+    if any(words):
+        flagged = stored(flagged.withColumn("url", F.when(F.col("maybe"), F.col("url"))), "flagged")
     probes = flagged.where("maybe").select("url", F.explode(keys).alias("key")).distinct()
-    hits = probes.join(listed.select("key").distinct(), "key").select("url").distinct().withColumn("hit", F.lit(True))
+    hits = probes.join(known, "key").select("url").distinct().withColumn("hit", F.lit(True))
     verdict = F.coalesce("ruled", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict")
     exact = flagged.where("maybe").join(hits, "url", "left").select("page_id", "host", "path", "rule", verdict)
     clear = flagged.where(~F.col("maybe")).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"))
