@@ -18,12 +18,13 @@ def components(edges: DataFrame) -> DataFrame:
     nodes = live.select(F.col("lo").alias("node")).union(live.select("hi")).distinct()
     label = nodes.select("node", F.col("node").alias("comp"))
     while not live.isEmpty():
-        # Half of a star's nodes may hook below one node: joined tables are written first, as only a
-        # join of two plain shuffles has its skewed partitions split.
-        up = stored(live.groupBy("hi").agg(F.min("lo").alias("up")), "hooks")
+        # Half of all nodes may hook below one node. The hooks are written before they meet themselves,
+        # as only a join of two plain shuffles has its skewed partitions split.
+        hooks = stored(live.groupBy("hi").agg(F.min("lo").alias("up")), "hooks")
+        above, up = hooks.select(F.col("hi").alias("up"), F.col("up").alias("top")), hooks
         for _ in range(2):
-            above = up.select(F.col("hi").alias("up"), F.col("up").alias("top"))
-            up = stored(up.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up")), "hooks")
+            up = up.join(above, "up", "left").select("hi", F.coalesce("top", "up").alias("up"))
+        up = stored(up, "jumps")
         label = stored(label.join(up.withColumnRenamed("hi", "comp"), "comp", "left").select("node", F.coalesce("up", "comp").alias("comp")), "labels")
         lo = live.join(up.select(F.col("hi").alias("lo"), F.col("up").alias("a")), "lo", "left").select(F.coalesce("a", "lo").alias("a"), "hi")
         both = lo.join(up.withColumnRenamed("up", "b"), "hi").select("a", "b")
