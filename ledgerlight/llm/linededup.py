@@ -81,7 +81,11 @@ def _marked(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col("doc_id"), F.col("text")))
     j = rows.join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
     ls = F.filter(lines(F.col("row.text")), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    kept = F.array_join(F.filter(ls, lambda x, i: ~F.array_contains("gone", i)), "")
+    # The lines leave through a generator, so that they are cut once and not for each kept one; the kept
+    # positions are a set difference, linear in the lines of a text.
+    j = j.select("row", "gone", F.inline(F.array(F.struct(F.when(F.col("gone").isNotNull(), ls).alias("ls")))))
+    left = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("ls", i)), "")
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     return j.select("row", text.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"))
 
