@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.pricing import normalize_model
 from ledgerlight.functions.scalars import local_date, local_minute
 from ledgerlight.functions.timewin import Window
-from ledgerlight.operators.activity import active_minutes, pooled_active_minutes
+from ledgerlight.operators.activity import active_minutes, pooled_active_minutes, sums
 from ledgerlight.schema import LINES, MEASURES, SERIES
 
 
@@ -23,10 +23,6 @@ def attach(events: DataFrame, session_map: DataFrame) -> DataFrame:
     return events.join(session_map, "session_file").withColumns({"date": local_date(F.col("ts")), "minute": local_minute(F.col("ts"))})
 
 
-def sums(names: Sequence[str]) -> list[Column]:
-    return [F.sum(m).alias(m) for m in names]
-
-
 def scoped(df: DataFrame, root: str | None, cwds: Sequence[str] | None) -> DataFrame:
     """Rows of one root and of a project's cwds; an unknown root gives no rows."""
     if root is not None:
@@ -36,18 +32,30 @@ def scoped(df: DataFrame, root: str | None, cwds: Sequence[str] | None) -> DataF
     return df
 
 
+def session_rollup(events: DataFrame, session_map: DataFrame) -> DataFrame:
+    """root, cwd, model family, date, session, minute: sums of nine measures; what every other rollup can be made of."""
+    e = attach(events, session_map).withColumn("model", normalize_model(F.col("model")))
+    return e.groupBy("root", "cwd", "model", "date", F.col("session_file").alias("session"), "minute").agg(*sums(MEASURES))
+
+
+def days(rows: DataFrame, gap: int = 5) -> DataFrame:
+    """The day rollup of rows with root, cwd, date, session, minute and the measures."""
+    return active_minutes(rows, gap, MEASURES)
+
+
 def day_rollup(events: DataFrame, session_map: DataFrame, gap: int = 5) -> DataFrame:
     """root, cwd, date: sums of nine measures and the active minutes."""
-    e = attach(events, session_map)
-    keys = ["root", "cwd", "date"]
-    active = active_minutes(e.select(*keys, F.col("session_file").alias("session"), "minute"), gap)
-    return e.groupBy(*keys).agg(*sums(MEASURES)).join(active, keys, "left")
+    return days(attach(events, session_map).withColumnRenamed("session_file", "session"), gap)
+
+
+def by_minute(rows: DataFrame) -> DataFrame:
+    """The minute rollup of rows with root, cwd, model, date, minute and the measures."""
+    return rows.groupBy("root", "cwd", "model", "date", "minute").agg(*sums(MEASURES))
 
 
 def minute_rollup(events: DataFrame, session_map: DataFrame) -> DataFrame:
     """root, cwd, model family, date, minute: sums of nine measures."""
-    e = attach(events, session_map).withColumn("model", normalize_model(F.col("model")))
-    return e.groupBy("root", "cwd", "model", "date", "minute").agg(*sums(MEASURES))
+    return by_minute(attach(events, session_map).withColumn("model", normalize_model(F.col("model"))))
 
 
 def daily(day: DataFrame, root: str | None = None, cwds: Sequence[str] | None = None) -> DataFrame:
@@ -68,9 +76,7 @@ def daily_from_minutes(minute: DataFrame, w: Window) -> DataFrame:
 def subday(index: DataFrame, w: Window, gap: int = 5) -> DataFrame:
     """The day rollup of a window that starts inside a day; sessions are pooled."""
     rows = index.where(w.has_minute(F.col("date"), F.col("minute")))
-    keys = ["root", "cwd", "date"]
-    active = pooled_active_minutes(rows.select(*keys, "minute"), gap)
-    return rows.groupBy(*keys).agg(*sums(MEASURES)).join(active, keys, "left")
+    return pooled_active_minutes(rows, gap, MEASURES)
 
 
 def root_map(session_map: DataFrame) -> DataFrame:

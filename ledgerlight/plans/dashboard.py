@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
-from datetime import datetime
+import uuid
+from dataclasses import dataclass, field, replace
+from datetime import date, datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.timewin import TimeFilter, Window, display_range, window
 from ledgerlight.operators import cards, heatmap, history, kpi, modelstats, rollup, series
 from ledgerlight.operators.overrides import Overrides, apply_overrides
+from ledgerlight.sources.shared import shared_dir
 
 
 @dataclass(frozen=True)
@@ -19,7 +21,8 @@ class Dashboard:
     """Live events, history and groups at ``as_of``; ``view`` sets filter, root and project.
 
     Day windows read the merged history, windows inside a day the live minute rollup; model
-    statistics are always live.
+    statistics are always live. The log is read once for all views: the rollup that they share is
+    written to the shared folder at the first question.
     """
 
     events: DataFrame
@@ -31,6 +34,8 @@ class Dashboard:
     time_filter: TimeFilter = TimeFilter.ALL
     root: str | None = None
     cwds: tuple[str, ...] | None = None
+    #: What all views of one instant share.
+    kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
     def view(self, time_filter: TimeFilter | None = None, root: str | None = None, project: str | None = None) -> Dashboard:
         cwds = None
@@ -55,15 +60,25 @@ class Dashboard:
     def shown_groups(self) -> DataFrame:
         return apply_overrides(self.groups, self.settings) if self.settings.any else self.groups
 
+    @property
+    def rolled(self) -> DataFrame:
+        """The session rollup, written once."""
+        if "rolled" not in self.kept:
+            spark, at = self.events.sparkSession, f"{shared_dir(self.events.sparkSession)}/rollup-{uuid.uuid4().hex}"
+            df = rollup.session_rollup(self.events, self.session_map)
+            df.write.parquet(at)
+            self.kept["rolled"] = spark.read.schema(df.schema).parquet(at)
+        return self.kept["rolled"]
+
     @cached_property
     def day(self) -> DataFrame:
-        live = rollup.day_rollup(self.events, self.session_map)
+        live = rollup.days(self.rolled)
         return live if self.history is None else history.merge(self.history, live)
 
     @cached_property
     def index(self) -> DataFrame:
-        """The minute rollup; callers that ask several questions may cache it."""
-        return rollup.minute_rollup(self.events, self.session_map)
+        """The minute rollup."""
+        return rollup.by_minute(self.rolled)
 
     @cached_property
     def minutes(self) -> DataFrame:
@@ -100,9 +115,15 @@ class Dashboard:
             return heatmap.weekly(self.minutes, self.as_of)
         return heatmap.calendar(self.daily, measure, *self.range(), self.as_of, self.thresholds(), screen_weeks)
 
+    def first_date(self) -> date | None:
+        """The first day of the root and project, from dates alone: no rollup is made for it."""
+        dates = self.rolled.select("root", "cwd", "date")
+        if self.history is not None:
+            dates = dates.unionByName(self.history.select("root", "cwd", "date"))
+        return rollup.scoped(dates, self.root, self.cwds).agg(F.min("date")).first()[0]
+
     def range(self):
-        first = self.daily.agg(F.min("date")).first()[0] if self.time_filter is TimeFilter.ALL else None
-        return display_range(self.time_filter, self.as_of, first)
+        return display_range(self.time_filter, self.as_of, self.first_date() if self.time_filter is TimeFilter.ALL else None)
 
     def model_costs(self, width: int) -> DataFrame:
         """root_key, model, i, value: cost per model at the window's granularity, ``width`` points."""

@@ -62,6 +62,11 @@ def _index(s: SparkSession, d: str) -> DataFrame:
     return rollup.minute_rollup(ad.usage_events(s, d), ad.session_map(s))
 
 
+def _first(s: SparkSession, d: str):
+    """The first day with events."""
+    return rollup.attach(ad.base(s, d), ad.session_map(s)).agg(F.min("date")).first()[0]
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily tokens, cost and lines by root and cwd, with active minutes."""
     return money(_day(spark, sf_dir))
@@ -378,7 +383,7 @@ _LEVEL = "CASE WHEN value = 0 THEN 0 WHEN value <= t[1] THEN 1 WHEN value <= t[2
  SELECT days.date, CAST((days.date - s) // 7 AS INTEGER) AS week, CAST((days.date - s) % 7 AS INTEGER) AS weekday, value, CAST({_LEVEL} AS INTEGER) AS level FROM days LEFT JOIN (SELECT date, input AS value FROM dl) x USING (date), th""")
 def _b7(s, d):
     day, at = rollup.daily(_day(s, d)), ad.as_of(s, d)
-    first, last = display_range(TimeFilter.ALL, at, day.agg(F.min("date")).first()[0])
+    first, last = display_range(TimeFilter.ALL, at, _first(s, d))
     return heatmap.calendar(day, "input", first, last, at, heatmap.thresholds(day))
 
 
@@ -401,7 +406,7 @@ _KEYS = ("root_key", "model")
 
 def _dense(s: SparkSession, d: str) -> tuple[DataFrame, int]:
     daily, at = _stats(s, d)["daily"], ad.as_of(s, d)
-    first, last = display_range(TimeFilter.ALL, at, rollup.daily(_day(s, d)).agg(F.min("date")).first()[0])
+    first, last = display_range(TimeFilter.ALL, at, _first(s, d))
     return series.dense_daily(daily, "cost", first, last, _KEYS), (last - first).days + 1
 
 

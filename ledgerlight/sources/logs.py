@@ -7,6 +7,7 @@ import os
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.lines import diff_counts, patch_lines
@@ -127,11 +128,16 @@ _HEAD = struct(type=T.StringType(), cwd=T.StringType())
 def cwd_by_source(spark: SparkSession, root: str) -> DataFrame:
     """path, cwd by Spark alone: the first user cwd of each directory's first file with one.
 
-    For roots on a shared store; lines need their number, so files are read whole.
+    For roots on a shared store. A file may be split; lines of a split are numbered in the order
+    they are read, and a row per split gives the lines before it, so no file is held whole.
     """
-    whole = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root, wholetext=True)
-    file = F.col("_metadata.file_path").alias("file")
-    lines = whole.select(file, F.posexplode(F.slice(F.split("value", "\n"), 1, HEAD_LINES)).alias("line", "value")).where(F.contains("value", F.lit('"cwd"')))
-    head = lines.withColumn("j", F.from_json("value", _HEAD)).where("j.type = 'user' AND j.cwd IS NOT NULL")
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root).select(*meta, "value", F.monotonically_increasing_id().alias("at"))
+    head = F.when(F.contains("value", F.lit('"cwd"')), F.from_json("value", _HEAD))
+    user = (F.col("type") == "user") & F.col("cwd").isNotNull()
+    hit = F.min(F.when(user, F.struct("at", "cwd")))
+    splits = text.select("file", "block", "at", F.inline(F.array(head))).groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), hit.alias("hit"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = splits.withColumn("line", before + F.col("hit.at") - F.col("first")).where(F.col("line") < HEAD_LINES)
     folder = F.regexp_extract("file", "^(" + root.rstrip("/").replace("\\", "\\\\") + "/[^/]+)/", 1) if "://" in root else F.regexp_extract("file", r"^(.*" + root.rstrip("/") + "/[^/]+)/", 1)
-    return head.groupBy(folder.alias("path")).agg(F.min_by("j.cwd", F.struct("file", "line")).alias("cwd"))
+    return found.groupBy(folder.alias("path")).agg(F.min_by("hit.cwd", F.struct("file", "line")).alias("cwd"))

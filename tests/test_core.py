@@ -369,3 +369,43 @@ def test_restructure_changes_nothing_given(tmp_path):
     assert o == Overrides(merges=[["/a/long", "/b"]], hidden={"/a/long"}, stars={"/a/long"}, renames={"/a/long": "N"})
     assert (after.hidden, after.stars, after.renames) == (set(), {"/b"}, {"/b": "N"})
     assert grouping.origin_url(tmp_path) is None
+
+
+def test_changes_are_merged_and_gathered_up(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/h"
+    monkeypatch.setattr(store, "CHANGES", 2)
+    want = {}
+    for n in range(7):
+        rows = [day(d="2026-01-01", input=10 - n, output=n), day(d=f"2026-01-{n + 2:02}", input=n)]
+        store.update_history(spark, path, spark.createDataFrame(rows, DAY))
+        want |= {"2026-01-01": (10, n), f"2026-01-{n + 2:02}": (n, 0)}
+        assert {str(r.date): (r.input, r.output) for r in store.load_history(spark, path).collect()} == want
+    assert len([p for p in (tmp_path / "h").iterdir() if p.name.startswith("v-")]) == 2
+    assert len([p for p in (tmp_path / "h" / "changes").iterdir() if p.name.startswith("c-")]) <= 4  # of the newest and one older version
+
+
+def test_heads_of_split_files(spark, tmp_path):
+    root = tmp_path / "logs"
+    for name, at in (("in", 30), ("out", 31)):
+        (root / name).mkdir(parents=True)
+        lines = ["x" * 300] * at + ['{"type":"user","cwd":"/here"}'] + ["y"] * 400
+        (root / name / "a.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = [(r.path.rsplit("/", 1)[1], r.cwd) for r in logs.cwd_by_source(spark, str(root)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == [("in", "/here")]
+
+
+def test_views_share_one_pass_over_the_log(spark):
+    from ledgerlight import adapter as ad
+    from ledgerlight.plans.dashboard import Dashboard
+
+    d = "/root/testdata/sf0.001"
+    b = Dashboard(ad.usage_events(spark, d), ad.session_map(spark), ad.groups(spark), ad.as_of(spark, d))
+    v = b.view(TimeFilter.ALL, root="/home/u/.r1/projects")
+    assert v.rolled is b.rolled
+    assert b.first_date() == b.daily.agg(F.min("date")).first()[0] and v.first_date() == v.daily.agg(F.min("date")).first()[0]
+    rows = rollup.day_rollup(b.events, b.session_map).orderBy("root", "cwd", "date").collect()
+    assert [tuple(r)[:3] + (r.input, r.active_minutes) for r in rows] == [tuple(r)[:3] + (r.input, r.active_minutes) for r in b.day.orderBy("root", "cwd", "date").collect()]
