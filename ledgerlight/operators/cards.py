@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -67,15 +67,20 @@ def ordered(c: DataFrame) -> DataFrame:
     return c.withColumn("rank", F.row_number().over(W.orderBy(F.desc("starred"), F.desc("total_cost"), "pos")))
 
 
+def _quartiles(over: WindowSpec | None = None) -> Column:
+    """The interpolated quartiles of positive efficiencies, over a window or as an aggregate."""
+    q = F.percentile(F.when(F.col("efficiency") > 0, F.col("efficiency")), F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
+    return F.coalesce(q if over is None else q.over(over), F.array(*[F.lit(x) for x in DEFAULT_QUARTILES]))
+
+
 def efficiency_quartiles(c: DataFrame) -> DataFrame:
     """One row: q, the interpolated quartiles of positive efficiencies."""
-    q = F.percentile("efficiency", F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
-    return c.where("efficiency > 0").agg(F.when(F.count("*") > 0, q).otherwise(F.array(*[F.lit(x) for x in DEFAULT_QUARTILES])).alias("q"))
+    return c.agg(_quartiles().alias("q"))
 
 
 def with_gauge(c: DataFrame) -> DataFrame:
-    """``bars`` against the quartiles of all cards, before any paging."""
-    return c.crossJoin(efficiency_quartiles(c)).withColumn("bars", gauge_bars(F.col("efficiency"), F.col("q"))).drop("q")  # one row beside each card
+    """``bars`` against the quartiles of all cards, before any paging; a row per project meets one window, so cards are made once."""
+    return c.withColumn("bars", gauge_bars(F.col("efficiency"), _quartiles(W.partitionBy())))
 
 
 def page(c: DataFrame, offset: int, size: int) -> DataFrame:
