@@ -40,8 +40,12 @@ from ledgerlight.llm.common import fingerprint, fresh_path, tune
 END_ID = 1
 FRAME_BYTES = 1 << 20
 LEVEL = 3
-#: Entries of a cache's generation; at most two of chunks and two of pieces are held.
-CACHE = 300_000
+#: Entries of a generation of chunks, and of pieces of mixed chunks; at most two of each are held.
+CACHE, PIECES = 550_000, 50_000
+#: One of these after letters is a piece of its own.
+MARKS = b".,!?"
+#: Characters below this one neither combine nor are composed.
+COMBINING = "\u0300"
 #: Fixed values of the public seekable format.
 SKIPPABLE_INDEX = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -74,35 +78,49 @@ class ChunkCache(dict):
         table |= {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in table)}
         self.byte_chars = table  # the byte-level alphabet
 
+    def ids(self, p: str) -> bytes:
+        """Ids of one piece by the BPE model, uncached."""
+        chars = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_chars)
+        ids = [t.id for t in self.model.tokenize(chars)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
             got = self.old_pieces.get(p)
-            if got is not None:
-                self.pieces[p] = got
-                return got
-            if len(self.pieces) >= CACHE:
+            if got is None:
+                got = self.ids(p)
+            if len(self.pieces) >= PIECES:
                 self.old_pieces, self.pieces = self.pieces, {}
-            chars = p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.byte_chars)
-            ids = [t.id for t in self.model.tokenize(chars)]
-            got = self.pieces[p] = struct.pack(f"<{len(ids)}I", *ids)
+            self.pieces[p] = got
         return got
 
+    def letters(self, low: str, itself: bool) -> bytes:
+        """Ids of lower-case letters: ``itself`` if they are the chunk that is missed. Some letters' lower case is beyond ``COMBINING``."""
+        return self.ids(low) if itself or max(low) >= COMBINING else self[low.encode()]
+
     def __missing__(self, chunk: bytes) -> bytes:
         got = self.old.get(chunk)
         if got is None:
-            text = chunk.decode()
-            if max(text) < "\u0300":
-                low = text.lower()
-                if low.isalpha():
-                    got = self.piece(low)
-                elif low[-1] in ".,!?" and low[:-1].isalpha():
-                    got = self.piece(low[:-1]) + self.piece(low[-1])
-                else:
-                    got = b"".join(map(self.piece, self.find(low)))
+            # Bytes are letters only where they are ASCII. A run of letters is one piece, and a chunk of its own.
+            if chunk.isalpha():
+                low = chunk.lower()
+                got = self.ids(low.decode()) if low == chunk else self[low]
+            elif chunk[-1] in MARKS and chunk[:-1].isalpha():
+                got = self[chunk[:-1].lower()] + self.piece(chr(chunk[-1]))
             else:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                got = struct.pack(f"<{len(ids)}I", *ids)
+                text = chunk.decode()
+                if max(text) < COMBINING:
+                    low = text.lower()
+                    if low.isalpha():
+                        got = self.letters(low, low == text)
+                    elif low[-1] in ".,!?" and low[:-1].isalpha():
+                        got = self.letters(low[:-1], False) + self.piece(low[-1])
+                    else:
+                        got = b"".join(map(self.piece, self.find(low)))
+                else:
+                    ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                    got = struct.pack(f"<{len(ids)}I", *ids)
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
