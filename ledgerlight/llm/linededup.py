@@ -13,11 +13,14 @@ Aggregates carry only longs, so counts combine before the shuffle; a very
 frequent window is one row per task there, and the join back to its occurrences is a
 plain equi-join whose large partitions AQE may split.
 
+Rows are named by 128 bits of (doc_id, text), a missing doc_id apart from every present one, so
+that rows are told apart however many share a doc_id or have none.
+
 Edge cases: null, empty and blank texts, and texts of under three lines, have no
 window and stay as they are; every other window is compared, however short. Rows that share doc_id and text are one document seen
 twice and get the same result. A document that loses nothing keeps its text byte for
 byte; in others the kept lines keep their own separators. Null doc_ids come
-first. Extra columns are kept by ``dedup_lines`` and ignored elsewhere.
+first; texts of one doc_id, or of none, come in the order of their names. Extra columns are kept by ``dedup_lines`` and ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -42,13 +45,14 @@ def lines(text: Column) -> Column:
     return F.filter(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LINE), F.lit(0)), lambda x: x != "")
 
 
-def _key(doc_id: Column, text: Column) -> list[Column]:
-    """(doc, part): the id, nulls first, and 31 bits that tell texts of one id apart."""
-    return [F.coalesce(doc_id, F.lit(-(2**63))).alias("doc"), F.hash(text).alias("part")]
+def _name(doc_id: Column, text: Column) -> list[Column]:
+    """(t1, t2): 128 bits that name a row by its doc_id, or the lack of one, and its text."""
+    parts = (doc_id, doc_id.isNull(), text)
+    return [F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit(7), *parts).alias("t2")]
 
 
 def window_rows(docs: DataFrame) -> DataFrame:
-    """doc, part, i, h1, h2: every window of every document."""
+    """doc, t1, t2, i, h1, h2: every window of every document."""
     raw = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(LINE), F.lit(0))
     spoken = F.filter(F.transform(raw, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != "")
     # A line is hashed once; a window hashes its lines' hashes. No filter on the number of
@@ -57,29 +61,29 @@ def window_rows(docs: DataFrame) -> DataFrame:
     n = F.size("l")
     lanes = F.arrays_zip(*[F.slice("l", i + 1, F.greatest(n - (WINDOW - 1), F.lit(0))).alias(f"l{i}") for i in range(WINDOW)])
     lane = [F.col(f"w.l{i}") for i in range(WINDOW)]
-    rows = docs.select(*_key(F.col("doc_id"), F.col("text")), hashed.alias("l")).select("doc", "part", F.posexplode(lanes).alias("i", "w"))
-    return rows.select("doc", "part", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
+    rows = docs.select(F.col("doc_id").alias("doc"), *_name(F.col("doc_id"), F.col("text")), hashed.alias("l")).select("doc", "t1", "t2", F.posexplode(lanes).alias("i", "w"))
+    return rows.select("doc", "t1", "t2", "i", F.xxhash64(*lane).alias("h1"), F.xxhash64(F.lit(7), *lane).alias("h2"))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc, part, gone: sorted positions, among non-blank lines, that are removed."""
+    """t1, t2, gone: sorted positions, among non-blank lines, that are removed."""
     w = stored(window_rows(docs), "line-windows")  # used twice
     # Tables that are joined are written first: only plain shuffles have skewed partitions split.
     often = stored(w.groupBy("h1").agg(F.count("*").alias("n")).where("n > 1").select("h1"), "often")
-    at = (F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("i")).alias("at")
-    seen = stored(w.join(often, "h1").select("h1", "h2", "doc", at), "repeated")
-    first = stored(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).where("n > 1").select("h1", "h2", "first"), "first")
-    later = seen.join(first, ["h1", "h2"]).where(F.struct("doc", "at") > F.col("first"))
-    covered = later.groupBy("doc", F.shiftright("at", 32).cast("int").alias("part")).agg(F.array_sort(F.collect_set(F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))).alias("starts"))
+    place = ["doc", "t1", "t2", "i"]  # null doc_ids come first in a struct's order
+    seen = stored(w.join(often, "h1").select("h1", "h2", *place), "repeated")
+    first = stored(seen.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*place)).alias("first")).where("n > 1").select("h1", "h2", "first"), "first")
+    later = seen.join(first, ["h1", "h2"]).where(F.struct(*place) > F.col("first"))
+    covered = later.groupBy("t1", "t2").agg(F.array_sort(F.collect_set("i")).alias("starts"))
     merged = F.array_sort(F.array_distinct(F.flatten(F.transform("starts", lambda i: F.sequence(i, i + (WINDOW - 1))))))
-    return covered.select("doc", "part", merged.alias("gone"))
+    return covered.select("t1", "t2", merged.alias("gone"))
 
 
 def _marked(docs: DataFrame) -> DataFrame:
     """``row`` (the columns of ``docs``), text (rewritten) and n_removed: no name of ``docs`` can clash."""
     gone = removed_lines(docs.select("doc_id", "text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_key(F.col("doc_id"), F.col("text")))
-    j = rows.join(gone.hint("shuffle_hash"), ["doc", "part"], "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_name(F.col("doc_id"), F.col("text")))
+    j = rows.join(gone.hint("shuffle_hash"), ["t1", "t2"], "left")
     ls = F.filter(lines(F.col("row.text")), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     # The lines leave through a generator, so that they are cut once and not for each kept one; the kept
     # positions are a set difference, linear in the lines of a text.
