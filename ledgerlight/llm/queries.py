@@ -1,10 +1,10 @@
-"""Registered queries of the ten operators and the pipeline, with their SQL."""
+"""Registered queries of the operators and the pipeline, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import bytebpe, decontaminate, linededup, neardup, quality, sharding, tokenfile, toxicity, urlfilter, wrapper
+from ledgerlight.llm import bytebpe, decontaminate, linededup, neardup, quality, repair, sharding, tokenfile, toxicity, urlfilter, wrapper
 from ledgerlight.llm.common import read
 
 
@@ -48,7 +48,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(read(spark, sf_dir, "pages"))
 
 
-OPERATORS = (op1_token_files, op2_decontaminate, op3_quality, op4_line_dedup, op5_near_dedup, op6_url_filter, op7_sharding, op8_byte_bpe, op9_toxicity, op10_html_text)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(read(spark, sf_dir, "conversations"))
+
+
+OPERATORS = (
+    op1_token_files, op2_decontaminate, op3_quality, op4_line_dedup, op5_near_dedup, op6_url_filter, op7_sharding, op8_byte_bpe, op9_toxicity, op10_html_text,
+    op13_conversation_repair,
+)
 
 
 def queries() -> dict:
