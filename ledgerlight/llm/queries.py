@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import bytebpe, decontaminate, linededup, merkle, neardup, quality, repair, sharding, tokenfile, toxicity, urlfilter, wrapper
+from ledgerlight.llm import bytebpe, decontaminate, linededup, merkle, neardup, quality, repair, sharding, substrings, tokenfile, toxicity, urlfilter, wrapper
 from ledgerlight.llm.common import read
 
 
@@ -52,13 +52,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(read(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(read(spark, sf_dir, "conversations"))
 
 
 OPERATORS = (
     op1_token_files, op2_decontaminate, op3_quality, op4_line_dedup, op5_near_dedup, op6_url_filter, op7_sharding, op8_byte_bpe, op9_toxicity, op10_html_text,
-    op11_merkle_manifest, op13_conversation_repair,
+    op11_merkle_manifest, op12_substring_dedup, op13_conversation_repair,
 )
 
 
