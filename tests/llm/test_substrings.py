@@ -102,7 +102,7 @@ def test_very_long_texts_in_pieces(spark, monkeypatch):
     body = " ".join(r.choice(w) for _ in range(400_000))
     rows = [(1, body), (2, "start here " + body[1000:]), (3, "z" * 3_000_000)]
     assert Counter(map(tuple, substrings.report(spark.createDataFrame(rows, SCHEMA)).collect())) == Counter(x[:4] for x in brute(rows))
-    few = rows[1][1].split(" ")[:400]
+    few = words(rows[1][1])[:400]
     whole = substrings.word_hashes(" ".join(few).encode())
     monkeypatch.setattr(substrings, "PIECE", 7)
     assert len(whole) == 400 and (substrings.word_hashes(" ".join(few).encode()) == whole).all()
