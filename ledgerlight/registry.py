@@ -729,36 +729,38 @@ _HOMES = (".config/claude", ".claude", ".x-claude")
     " CASE WHEN s % 2 = 1 THEN '/home/u/code/p' || (s % 6) END AS cwd, count(DISTINCT s) AS n_files, count(*) FILTER (NOT edit OR added + deleted > 0) AS n_events, CAST(sum(input) AS BIGINT) AS units FROM u GROUP BY ALL)",
 )
 def _s1(s, d):
-    """The adapter's lines written as log files, found again and read.
+    """The adapter's lines written as log files, found again and read, all by Spark.
 
     Two files a directory, one of them deeper; the cwd stands in the first lines of odd
     sessions and behind the lines that are looked at in even ones.
     """
-    from pathlib import Path
-
-    base = shared_dir(s)
-    if not base.startswith(("file:", "/")):
-        raise ValueError("discovery reads a mounted file system; the shared folder is none")
-    home = Path("/" + base.split(":", 1)[-1].lstrip("/")) / f"home-{uuid.uuid4().hex}"
-    (home / ".claude-less").mkdir(parents=True)
-    user = lambda k: f'{{"type":"user","cwd":"/home/u/code/p{k % 6}"}}'
-    opened: dict[str, object] = {}
-    for r in _as_lines(s, d).toLocalIterator():  # log files are written on one machine
-        f = opened.get(r.session_file)
-        if f is None:
-            k = int(r.session_file[1:].split(".")[0])
-            folder = home / _HOMES[k // 12] / "projects" / f"p{k % 6}" / ("deep" if k % 12 > 5 else "")
-            folder.mkdir(parents=True, exist_ok=True)
-            f = opened[r.session_file] = (folder / r.session_file).open("w", encoding="utf-8")
-            f.write("\n".join([user(k)] if k % 2 else ["{}"] * logs.HEAD_LINES + [user(k)]) + "\n")
-        f.write(r.value.replace("\n", " ") + "\n")
-    for f in opened.values():
-        f.close()
-    found = logs.discover(s, logs.find_roots(home))
-    paths = [r.path for r in found.select("path").collect()]  # directories
-    e = logs.read_events(s, paths).join(grouping.session_map(found), "session_file").groupBy("root", F.col("cwd").alias("place")).agg(F.count("*").alias("n_events"), F.sum("input").alias("units"))
-    places = found.select(F.col("source_root").alias("root"), scalars.effective_root(F.col("cwd"), F.col("path")).alias("place"), "dir_name", "cwd", F.size("session_files").cast("bigint").alias("n_files"))
-    return places.join(e, ["root", "place"]).select(scalars.source_display(F.col("root"), str(home)).alias("root"), "dir_name", "cwd", "n_files", "n_events", "units")
+    home = f"{shared_dir(s)}/home-{uuid.uuid4().hex}"
+    _write_logs(s, d, home)
+    files = logs.log_files(s, home)
+    events = logs.parse(logs.read_lines(s, f"{home}/{logs.ROOTS}"))
+    e = events.join(logs.session_map_of_files(files), "session_file").groupBy("root", F.col("cwd").alias("place")).agg(F.count("*").alias("n_events"), F.sum("input").alias("units"))
+    places = logs.directory_cwds(files).select(F.col("source_root").alias("root"), scalars.effective_root(F.col("cwd"), F.col("path")).alias("place"), "dir_name", "cwd", "n_files")
+    return places.join(e, ["root", "place"]).select(scalars.source_display(F.col("root"), home.split(":", 1)[-1].replace("///", "/")).alias("root"), "dir_name", "cwd", "n_files", "n_events", "units")
+
+
+def _write_logs(s: SparkSession, d: str, home: str) -> None:
+    """One log file a session below ``home``: Spark writes the lines; the files, as many as the adapter has sessions, get their names."""
+    k = F.regexp_extract("session_file", "[0-9]+", 0).cast("int")
+    lines = _as_lines(s, d).select("session_file", F.translate("value", "\n", " ").alias("value"), F.lit(logs.HEAD_LINES + 1).alias("at"))
+    names = lines.select("session_file").distinct()
+    user = F.concat(F.lit('{"type":"user","cwd":"/home/u/code/p'), (k % 6).cast("string"), F.lit('"}'))
+    before = F.explode(F.sequence(F.when(k % 2 == 1, logs.HEAD_LINES).otherwise(0), F.lit(logs.HEAD_LINES)))
+    heads = names.select("session_file", user.alias("user"), before.alias("at")).select("session_file", F.when(F.col("at") == logs.HEAD_LINES, F.col("user")).otherwise("{}").alias("value"), "at")
+    written = f"{home}-written"
+    lines.unionByName(heads).repartition("session_file").sortWithinPartitions("session_file", "at").select("session_file", "value").write.partitionBy("session_file").text(written)
+    path = s._jvm.org.apache.hadoop.fs.Path
+    fs = path(written).getFileSystem(s._jsc.hadoopConfiguration())
+    fs.mkdirs(path(f"{home}/.claude-less"))
+    for n in range(ad.SESSIONS):
+        for part in fs.globStatus(path(f"{written}/session_file=s{n}.jsonl/part-*")) or []:
+            folder = f"{home}/{_HOMES[n // 12]}/projects/p{n % 6}{'/deep' if n % 12 > 5 else ''}"
+            fs.mkdirs(path(folder))
+            fs.rename(part.getPath(), path(f"{folder}/s{n}.jsonl"))
 
 
 @query("t1_t3_streaming_ingest", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")

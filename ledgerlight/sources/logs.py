@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.lines import diff_counts, patch_lines
 from ledgerlight.functions.pricing import compute_cost
+from ledgerlight.functions.scalars import effective_root
 from ledgerlight.schema import MEASURES, RAW, SOURCES, struct
 from pyspark.sql import types as T
 
@@ -122,22 +125,93 @@ def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return parse(read_lines(spark, paths))
 
 
-_HEAD = struct(type=T.StringType(), cwd=T.StringType())
+#: ``cwd`` as a variant: a number is not taken for its text.
+_HEAD = "type string, cwd variant"
 
 
-def cwd_by_source(spark: SparkSession, root: str) -> DataFrame:
-    """path, cwd by Spark alone: the first user cwd of each directory's first file with one.
+def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
+    """file, block, at, value: lines with the split they stand in; ``at`` grows by one a line within it."""
+    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths)
+    return raw.select(*meta, "value", F.monotonically_increasing_id().alias("at"))
+
+
+def first_cwds(texts: DataFrame) -> DataFrame:
+    """file, line, cwd: the first user line with a cwd among each file's first lines.
 
-    For roots on a shared store. A file may be split; lines of a split are numbered in the order
+    A file may be split; lines of a split are numbered in the order
     they are read, and a row per split gives the lines before it, so no file is held whole.
     """
-    meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root).select(*meta, "value", F.monotonically_increasing_id().alias("at"))
     head = F.when(F.contains("value", F.lit('"cwd"')), F.from_json("value", _HEAD))
-    user = (F.col("type") == "user") & F.col("cwd").isNotNull()
-    hit = F.min(F.when(user, F.struct("at", "cwd")))
-    splits = text.select("file", "block", "at", F.inline(F.array(head))).groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), hit.alias("hit"))
+    user = (F.col("type") == "user") & (F.schema_of_variant("cwd") == "STRING")
+    hit = F.min(F.when(user, F.struct("at", F.try_variant_get("cwd", "$", "string").alias("cwd"))))
+    splits = texts.select("file", "block", "at", F.inline(F.array(head))).groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"), hit.alias("hit"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     found = splits.withColumn("line", before + F.col("hit.at") - F.col("first")).where(F.col("line") < HEAD_LINES)
+    return found.groupBy("file").agg(F.min("line").alias("line"), F.min_by("hit.cwd", "line").alias("cwd"))
+
+
+def cwd_by_source(spark: SparkSession, root: str) -> DataFrame:
+    """path, cwd by Spark alone: the first user cwd of each directory's first file with one. For roots on a shared store."""
+    found = first_cwds(_texts(spark, root, "*.jsonl"))
     folder = F.regexp_extract("file", "^(" + root.rstrip("/").replace("\\", "\\\\") + "/[^/]+)/", 1) if "://" in root else F.regexp_extract("file", r"^(.*" + root.rstrip("/") + "/[^/]+)/", 1)
-    return found.groupBy(folder.alias("path")).agg(F.min_by("hit.cwd", F.struct("file", "line")).alias("cwd"))
+    return found.groupBy(folder.alias("path")).agg(F.min_by("cwd", F.struct("file", "line")).alias("cwd"))
+
+
+#: The log roots below a home directory, as a glob that Hadoop file systems expand.
+ROOTS = "{.config/claude,.*claude*}/projects"
+FILES = struct(source_root=T.StringType(), rank=T.IntegerType(), dir_name=T.StringType(), path=T.StringType(), file=T.StringType(), place=T.StringType(), own_cwd=T.StringType())
+
+
+def log_files(spark: SparkSession, home: str, pattern: str = "*.jsonl") -> DataFrame:
+    """A row per log file below a home directory on any store that Spark reads; no rows where there is no root.
+
+    source_root, rank (0 and 1: the two preferred roots, 2: others), dir_name and path of the directory
+    below the root, file, place (orders files by the names along their paths), own_cwd (the cwd in the file's own head).
+
+    Spark lists the files, in parallel, and reads the heads; nothing passes the driver but that listing.
+    Spark leaves out files of no bytes and names that begin with a dot or an underscore below a root.
+    """
+    at = f"{home.rstrip('/')}/{ROOTS}"
+    try:
+        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(at).select("path", F.col("_metadata.file_path").alias("file_url"))
+        heads = first_cwds(_texts(spark, at, pattern))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], FILES)
+    name = F.regexp_replace("path", "^file:/+", "/")
+    root = r"^(/(\.config/claude|\.[^/]*claude[^/]*)/projects)/([^/]+)/.+"
+    tail = F.substring("name", len(re.sub("^file:/+", "/", home.rstrip("/"))) + 1, 1 << 30)  # the home itself may hold such names
+    rows = listed.withColumn("name", name).withColumn("tail", tail).where(F.rlike("tail", F.lit(root)))
+    rows = rows.withColumn("base", F.substring("name", 1, len(re.sub("^file:/+", "/", home.rstrip("/")))))
+    part = {i: F.regexp_extract("tail", root, i) for i in (1, 2, 3)}
+    rows = rows.select(
+        F.concat("base", part[1]).alias("source_root"), F.when(part[2] == ".config/claude", 0).when(part[2] == ".claude", 1).otherwise(2).alias("rank"), part[3].alias("dir_name"),
+        F.concat("base", part[1], F.lit("/"), part[3]).alias("path"), F.col("name").alias("file"), F.translate("name", "/", "\x01").alias("place"), "file_url",
+    )
+    return rows.join(heads.select(F.col("file").alias("file_url"), F.col("cwd").alias("own_cwd")), "file_url", "left").select(FILES.names)
+
+
+_DIRECTORY = ["rank", "source_root", "dir_name", "path"]
+
+
+def directory_cwds(files: DataFrame) -> DataFrame:
+    """A row per directory with logs: cwd (of its first file that has one), n_files."""
+    first = F.min_by("own_cwd", F.when(F.col("own_cwd").isNotNull(), F.col("place")))
+    return files.groupBy(*_DIRECTORY).agg(first.alias("cwd"), F.count("*").alias("n_files"))
+
+
+def session_map_of_files(files: DataFrame) -> DataFrame:
+    """session_file, root, cwd of all log files; of equal names the last directory's. No directory's files meet in one row."""
+    of = files.join(directory_cwds(files).select("path", "cwd"), "path").withColumn("cwd", effective_root(F.col("cwd"), F.col("path")))
+    last = F.max_by(F.struct("source_root", "cwd"), F.struct("rank", "source_root", "dir_name", "place"))
+    return of.groupBy(F.element_at(F.split("file", "/"), -1).alias("session_file")).agg(last.alias("x")).select("session_file", F.col("x.source_root").alias("root"), F.col("x.cwd").alias("cwd"))
+
+
+def sources_of_files(files: DataFrame) -> DataFrame:
+    """The rows of ``discover`` from log files: seq follows roots and directory names and has gaps."""
+    first = F.min_by("own_cwd", F.when(F.col("own_cwd").isNotNull(), F.col("place")))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("place", "file"))), lambda x: x["file"])
+    rows = files.groupBy(*_DIRECTORY).agg(own.alias("session_files"), first.alias("cwd"))
+    return rows.orderBy("rank", "source_root", "dir_name").select(F.monotonically_increasing_id().alias("seq"), *SOURCES.names)
