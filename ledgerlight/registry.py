@@ -13,7 +13,7 @@ from ledgerlight import adapter as ad
 from ledgerlight.functions import fmt, scalars
 from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
 from ledgerlight.functions.timewin import TimeFilter, display_range, window
-from ledgerlight.operators import activity, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, rollup, series
+from ledgerlight.operators import activity, bitmaps, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, rollup, series
 from ledgerlight.schema import EVENT, LINES, MEASURES, SERIES
 from ledgerlight.sources import logs
 from ledgerlight.sources.shared import shared_dir
@@ -196,6 +196,28 @@ def _w2b(s, d):
     return activity.session_window_minutes(rollup.attach(ad.compressed_events(s, d), ad.session_map(s)).select(*KEYS, "ts"))
 
 
+def _bits(s: SparkSession, d: str) -> DataFrame:
+    """Minute bitmaps of the compressed events, merged from four parts, two of which overlap."""
+    e = rollup.attach(ad.compressed_events(s, d), ad.session_map(s)).withColumn("session", F.col("session_file"))
+    return bitmaps.merged(*[bitmaps.bitmaps(e.where(F.col("input") % 5 >= i).where(F.col("input") % 5 <= i + 2)) for i in (0, 1, 2)], bitmaps.bitmaps(e.where("input % 5 = 4")))
+
+
+@query("w1_bitmap_active_minutes", _W1.format(session="session_file", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _w1b(s, d):
+    return bitmaps.active_minutes(_bits(s, d))
+
+
+@query("w2_bitmap_pooled_minutes", _W1.format(session="0", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _w2bits(s, d):
+    return bitmaps.pooled_active_minutes(_bits(s, d))
+
+
+@query("a6_bitmap_subday_minutes", f"{_pooled(_FILTERS[TimeFilter.HOUR12])} SELECT * FROM act")
+def _a6b(s, d):
+    e = rollup.attach(ad.usage_events(s, d), ad.session_map(s)).withColumn("session", F.col("session_file"))
+    return bitmaps.pooled_active_minutes(bitmaps.within(bitmaps.bitmaps(e), window(TimeFilter.HOUR12, ad.as_of(s, d))))
+
+
 def _history(s: SparkSession, d: str) -> DataFrame:
     """A made-up past: odd days only, some measures higher, and one deleted project."""
     day = _day(s, d).where(F.dayofmonth("date") % 2 == 1)
@@ -774,3 +796,46 @@ def _t1(s, d):
     stream = s.readStream.schema(EVENT).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
     ingest(stream, ad.session_map(s), f"{at}/store", f"{at}/checkpoint").awaitTermination()
     return money(load_history(s, f"{at}/store/history"))
+
+
+def _event_files(s: SparkSession, e: DataFrame, at: str) -> DataFrame:
+    """Events written to some files and read as a stream, one file a batch."""
+    e.withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(f"{at}/in")
+    return s.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+
+
+@query("t2_j1_live_session_map", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
+def _t2(s, d):
+    """Events of all sessions come in three batches; the second run of the stream first hears of half the sessions."""
+    from ledgerlight.streaming import live
+
+    at = f"{shared_dir(s)}/live-{uuid.uuid4().hex}"
+    events = _event_files(s, ad.usage_events(s, d), at)
+    known, own = ad.session_map(s), F.regexp_extract("session_file", "[0-9]+", 0).cast("int") % 2
+    before = s.conf.get(live.PROVIDER, None)
+    s.conf.set(live.PROVIDER, live.ROCKSDB)
+    try:
+        for half in (0, 1):
+            known.where(own == half).coalesce(1).write.mode("append").parquet(f"{at}/sessions")
+            sessions = s.readStream.schema(known.schema).parquet(f"{at}/sessions")
+            live.ingest_live(events, sessions, f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    finally:
+        if before is None:
+            s.conf.unset(live.PROVIDER)
+        else:
+            s.conf.set(live.PROVIDER, before)
+    return money(live.live_days(s, f"{at}/store"))
+
+
+@query("t5_w1_stream_activity", _W1.format(session="session_file", minute=_SQUEEZE, rows="j") + " SELECT * FROM act")
+def _t5(s, d):
+    """Minute bitmaps out of a stateful stream in three batches; the clusters are those of all events."""
+    from ledgerlight.streaming import live
+
+    at = f"{shared_dir(s)}/activity-{uuid.uuid4().hex}"
+    days = ad.compressed_events(s, d).agg(F.datediff(F.max("ts"), F.min("ts"))).first()[0] + 2  # files follow no order of time
+    stream = _event_files(s, ad.compressed_events(s, d), at).join(ad.session_map(s), "session_file")
+    sink = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/bits/batch={n}")
+    out = live.activity_stream(stream, f"{days} days").writeStream.outputMode("update").foreachBatch(sink)
+    out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return bitmaps.active_minutes(bitmaps.merged(s.read.schema(f"{live.BITS}, batch int").parquet(f"{at}/bits")))
