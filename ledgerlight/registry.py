@@ -736,9 +736,8 @@ def _overrides_sql() -> str:
 
 @query("g4_g8_overrides", "WITH" + _overrides_sql(), "")
 def _g4(s, d):
-    o = _settings()
-    g = overrides.apply_overrides(grouping.group_by_identity(*_sources(s, d), home="/home/u"), o, "/home/u")
-    return overrides.with_place(g, o).select("root_key", "name", "origin", "sessions", F.size("sources").cast("bigint").alias("n_sources"), "starred", "hidden")
+    g = overrides.regrouped(grouping.group_by_identity(*_sources(s, d), home="/home/u"), _settings(), "/home/u")
+    return g.select("root_key", "name", "origin", "sessions", F.size("sources").cast("bigint").alias("n_sources"), "starred", "hidden")
 
 
 # Log files: roots, directories, the first lines' cwd, file names, and the events in them.
