@@ -48,6 +48,11 @@ def day_rollup(events: DataFrame, session_map: DataFrame, gap: int = 5) -> DataF
     return days(attach(events, session_map).withColumnRenamed("session_file", "session"), gap)
 
 
+def day_sums(events: DataFrame, session_map: DataFrame) -> DataFrame:
+    """The day rollup without active minutes: one aggregate, no windows; all that the daily series needs."""
+    return attach(events, session_map).groupBy("root", "cwd", "date").agg(*sums(MEASURES))
+
+
 def by_minute(rows: DataFrame) -> DataFrame:
     """The minute rollup of rows with root, cwd, model, date, minute and the measures."""
     return rows.groupBy("root", "cwd", "model", "date", "minute").agg(*sums(MEASURES))

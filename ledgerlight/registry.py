@@ -58,6 +58,10 @@ def _day(s: SparkSession, d: str) -> DataFrame:
     return rollup.day_rollup(ad.usage_events(s, d), ad.session_map(s))
 
 
+def _sums(s: SparkSession, d: str) -> DataFrame:
+    return rollup.day_sums(ad.usage_events(s, d), ad.session_map(s))
+
+
 def _index(s: SparkSession, d: str) -> DataFrame:
     return rollup.minute_rollup(ad.usage_events(s, d), ad.session_map(s))
 
@@ -124,17 +128,17 @@ def _daily_sql(where: str = "true", source: str = "j") -> str:
 
 @query("a3_daily_tokens", _daily_sql())
 def _a3(s, d):
-    return money(rollup.daily(_day(s, d)))
+    return money(rollup.daily(_sums(s, d)))
 
 
 @query("a3_f1_f2_daily_of_root_and_project", _daily_sql(f"root = '{ROOT}' AND cwd IN ({', '.join(repr(c) for c in CWDS)})"))
 def _a3f(s, d):
-    return money(rollup.daily(_day(s, d), ROOT, CWDS))
+    return money(rollup.daily(_sums(s, d), ROOT, CWDS))
 
 
 @query("f3_f4_unknown_root_or_cwd", _daily_sql("false"))
 def _f3(s, d):
-    return money(rollup.daily(_day(s, d), "/nowhere").unionByName(rollup.daily(_day(s, d), None, ["/nowhere"])))
+    return money(rollup.daily(_sums(s, d), "/nowhere").unionByName(rollup.daily(_sums(s, d), None, ["/nowhere"])))
 
 
 @query("a4_minute_tokens", f" SELECT date, CAST(minute AS INTEGER) AS minute, {_sum(SERIES)} FROM j GROUP BY date, minute")
@@ -158,7 +162,7 @@ _IDS = {TimeFilter.ALL: "f5_all", TimeFilter.LAST_MONTH: "f8_last_month", TimeFi
 def _windowed(f: TimeFilter):
     def run(s: SparkSession, d: str) -> DataFrame:
         w = window(f, ad.as_of(s, d))
-        out = rollup.daily_from_minutes(rollup.minutes(_index(s, d)), w) if f.is_subday else rollup.daily(_day(s, d)).where(w.has_date(F.col("date")))
+        out = rollup.daily_from_minutes(rollup.minutes(_index(s, d)), w) if f.is_subday else rollup.daily(_sums(s, d)).where(w.has_date(F.col("date")))
         return money(out)
 
     return run
@@ -361,7 +365,7 @@ _DL = f", dl AS ({_daily_sql()})"
 
 @query("a20_a21_thresholds", _DL + " SELECT c AS measure, CAST(i AS INTEGER) AS rank, CAST(t[i] AS BIGINT) AS value FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, {_TH.format(c=c, t='dl')} AS t" for c in ("input", "output", "accepted")) + "), (SELECT unnest([1, 2, 3, 4]) AS i)")
 def _a20(s, d):
-    t = heatmap.thresholds(rollup.daily(_day(s, d)))
+    t = heatmap.thresholds(rollup.daily(_sums(s, d)))
     rows = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("t")) for c in ("input", "output", "accepted")])
     return t.select(F.explode(rows).alias("x")).select("x.measure", F.posexplode("x.t").alias("rank", "value")).withColumn("rank", F.col("rank") + 1)
 
@@ -404,7 +408,7 @@ _LEVEL = "CASE WHEN value = 0 THEN 0 WHEN value <= t[1] THEN 1 WHEN value <= t[2
  days AS (SELECT s, CAST(unnest(generate_series(s, today, INTERVAL 1 DAY)) AS DATE) AS date FROM st)
  SELECT days.date, CAST((days.date - s) // 7 AS INTEGER) AS week, CAST((days.date - s) % 7 AS INTEGER) AS weekday, value, CAST({_LEVEL} AS INTEGER) AS level FROM days LEFT JOIN (SELECT date, input AS value FROM dl) x USING (date), th""")
 def _b7(s, d):
-    day, at = rollup.daily(_day(s, d)), ad.as_of(s, d)
+    day, at = rollup.daily(_sums(s, d)), ad.as_of(s, d)
     first, last = display_range(TimeFilter.ALL, at, _first(s, d))
     return heatmap.calendar(day, "input", first, last, at, heatmap.thresholds(day))
 
@@ -413,12 +417,12 @@ def _b7(s, d):
  sm2 AS (SELECT *, avg(value) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS smoothed FROM v)
  SELECT i, date, value, round(smoothed, 6) AS smoothed, round(cbrt(smoothed), 6) AS scaled, round(greatest(max(cbrt(smoothed)) OVER (), 1.0), 6) AS top FROM sm2""")
 def _w4(s, d):
-    return money(heatmap.trend(rollup.daily(_day(s, d)), "output", 28, ad.as_of(s, d)), "smoothed", "scaled", "top", places=6)
+    return money(heatmap.trend(rollup.daily(_sums(s, d)), "output", 28, ad.as_of(s, d)), "smoothed", "scaled", "top", places=6)
 
 
 @query("x21_j11_accept_rate_by_day", _DL + " SELECT date, CAST(trunc(least(coalesce(accepted, 0) / suggested::DOUBLE * 100, 100.0)) AS BIGINT) AS rate FROM dl WHERE suggested > 0")
 def _x21(s, d):
-    return rollup.daily(_day(s, d)).where("suggested > 0").select("date", scalars.accept_rate(F.coalesce("accepted", F.lit(0)), F.col("suggested")).alias("rate"))
+    return rollup.daily(_sums(s, d)).where("suggested > 0").select("date", scalars.accept_rate(F.coalesce("accepted", F.lit(0)), F.col("suggested")).alias("rate"))
 
 
 # Chart series.
@@ -621,7 +625,7 @@ def _x11(s, d):
 
 @query("u2_u4_distinct_dates", " SELECT DISTINCT date FROM j")
 def _u2(s, d):
-    day = _day(s, d)
+    day = _sums(s, d)
     return day.where("input IS NOT NULL").select("date").union(day.where("output IS NOT NULL").select("date")).distinct()
 
 
