@@ -1,0 +1,84 @@
+"""The history's commit log: writers at the same time, numbers, and what stays after many updates."""
+
+from concurrent.futures import ThreadPoolExecutor
+from datetime import date, timedelta
+
+from ledgerlight.schema import DAY
+from ledgerlight.sources import store
+
+
+def row(k, value):
+    return ("r", "/p", date(2024, 1, 1) + timedelta(days=k), value, *[0] * 3, 0.0, *[0] * 4, 0)
+
+
+def held(spark, path):
+    return {(r.date - date(2024, 1, 1)).days: r.input for r in store.load_history(spark, path).collect()}
+
+
+def test_writers_at_the_same_time_lose_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHANGES", 3)
+    path = f"file://{tmp_path}/h"
+
+    def write(k):
+        store.update_history(spark, path, spark.createDataFrame([row(k, 100 + k), row(0, 100 + k)], DAY))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(24)))
+    assert held(spark, path) == {k: 100 + k for k in range(1, 24)} | {0: 123}
+    numbers = [e.n for e in store.Log(spark, path).entries()]
+    assert len(set(numbers)) == len(numbers)
+
+
+def test_reads_cost_the_same_after_many_updates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "CHANGES", 3)
+    path, most = f"file://{tmp_path}/h", 0
+    for k in range(30):
+        store.update_history(spark, path, spark.createDataFrame([row(k, k)], DAY))
+        entries = store.Log(spark, path).entries()
+        most = max(most, len(entries))
+        assert len(store.in_force(entries)) <= 4
+    assert most <= 2 * 5 + 1 and len(list((tmp_path / "h" / "changes").iterdir())) <= most
+    assert held(spark, path) == {k: k for k in range(30)}
+    assert len([p for p in (tmp_path / "h").iterdir() if p.name.startswith("v-")]) == 2
+
+
+def test_a_number_is_claimed_once(spark, tmp_path):
+    log = store.Log(spark, f"file://{tmp_path}/h")
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda k: log.claim(7, f"changes/c-{k}"), range(16)))
+    (winner,) = [k for k, x in enumerate(won) if x]
+    assert log.entries() == [store.Entry(7, f"changes/c-{winner}")]
+    assert [p.name for p in (tmp_path / "h" / "log").iterdir() if not p.name.endswith(".crc")] == [f"{7:020d}"]
+
+
+def test_a_save_replaces_what_it_saw_and_keeps_what_came_since(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/h"
+    store.update_history(spark, path, spark.createDataFrame([row(0, 9), row(1, 9)], DAY))
+    real = store.point
+
+    def slow(log, version, upto=None):
+        monkeypatch.setattr(store, "point", real)
+        store.update_history(spark, path, spark.createDataFrame([row(2, 5)], DAY))  # another writer, before the claim
+        real(log, version, upto)
+
+    monkeypatch.setattr(store, "point", slow)
+    store.save_history(spark.createDataFrame([row(0, 1)], DAY), path)
+    assert held(spark, path) == {0: 1, 2: 5}
+    assert not store.gather(spark, f"file://{tmp_path}/none")
+
+
+def test_gathering_yields_to_a_faster_writer(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/h"
+    store.update_history(spark, path, spark.createDataFrame([row(0, 1)], DAY))
+    real = store.load_history
+
+    def slow(s, p):
+        out = real(s, p)
+        monkeypatch.setattr(store, "load_history", real)
+        store.update_history(spark, path, spark.createDataFrame([row(1, 2)], DAY))
+        return out
+
+    monkeypatch.setattr(store, "load_history", slow)
+    assert not store.gather(spark, path)
+    assert held(spark, path) == {0: 1, 1: 2} and not [p for p in (tmp_path / "h").iterdir() if p.name.startswith("v-")]
+    assert store.gather(spark, path) and held(spark, path) == {0: 1, 1: 2}
