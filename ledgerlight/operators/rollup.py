@@ -18,9 +18,14 @@ from ledgerlight.operators.activity import active_minutes, pooled_active_minutes
 from ledgerlight.schema import LINES, MEASURES, SERIES
 
 
+def dated(events: DataFrame) -> DataFrame:
+    """Events with their local date and minute."""
+    return events.withColumns({"date": local_date(F.col("ts")), "minute": local_minute(F.col("ts"))})
+
+
 def attach(events: DataFrame, session_map: DataFrame) -> DataFrame:
     """Events with their root, cwd, local date and minute; unknown sessions are dropped."""
-    return events.join(session_map, "session_file").withColumns({"date": local_date(F.col("ts")), "minute": local_minute(F.col("ts"))})
+    return dated(events.join(session_map, "session_file"))
 
 
 def scoped(df: DataFrame, root: str | None, cwds: Sequence[str] | None) -> DataFrame:

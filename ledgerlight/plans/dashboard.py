@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerlight.functions.timewin import TimeFilter, Window, display_range, window
 from ledgerlight.operators import cards, heatmap, history, kpi, modelstats, rollup, series
 from ledgerlight.operators.overrides import Overrides, apply_overrides
+from ledgerlight.plans.index import MinuteIndex
 from ledgerlight.sources.shared import shared_dir
 
 
@@ -22,7 +23,8 @@ class Dashboard:
 
     Day windows read the merged history, windows inside a day the live minute rollup; model
     statistics are always live. The log is read once for all views: the rollup that they share is
-    written to the shared folder at the first question.
+    written to the shared folder at the first question. With ``index_path``, it is the maintained index there, of which
+    only the dates whose events have changed are written.
     """
 
     events: DataFrame
@@ -34,6 +36,7 @@ class Dashboard:
     time_filter: TimeFilter = TimeFilter.ALL
     root: str | None = None
     cwds: tuple[str, ...] | None = None
+    index_path: str | None = None
     #: What all views of one instant share.
     kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
 
@@ -63,6 +66,10 @@ class Dashboard:
     @property
     def rolled(self) -> DataFrame:
         """The session rollup, written once."""
+        if "rolled" not in self.kept and self.index_path is not None:
+            index = MinuteIndex(self.events.sparkSession, self.index_path)
+            index.refresh(self.events, self.session_map)
+            self.kept["rolled"] = index.rows()
         if "rolled" not in self.kept:
             spark, at = self.events.sparkSession, f"{shared_dir(self.events.sparkSession)}/rollup-{uuid.uuid4().hex}"
             df = rollup.session_rollup(self.events, self.session_map)

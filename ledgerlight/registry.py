@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -121,6 +122,18 @@ def _a2(s, d):
     return money(_index(s, d))
 
 
+@query("a2_d6_maintained_index", f"{_IDX} SELECT root, cwd, model, date, CAST(minute AS INTEGER) AS minute, {', '.join(f'round({m}, 9) AS {m}' if m == 'cost' else f'CAST({m} AS BIGINT) AS {m}' for m in MEASURES)} FROM idx")
+def _a2m(s, d):
+    """The index as three instants leave it: the first events, an edit of one day, all events."""
+    from ledgerlight.plans.index import MinuteIndex
+
+    index, events, sessions, at = MinuteIndex(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}"), ad.usage_events(s, d), ad.session_map(s), ad.as_of(s, d)
+    index.refresh(events.where(F.col("ts") < F.lit(at - timedelta(days=9))), sessions)
+    index.refresh(events.where(F.to_date("ts") != F.lit(at.date() - timedelta(days=12))), sessions)
+    index.refresh(events, sessions)
+    return money(rollup.by_minute(index.rows()))
+
+
 def _daily_sql(where: str = "true", source: str = "j") -> str:
     cols = ", ".join(f"CAST(nullif(sum({m}), 0) AS BIGINT) AS {m}" if m in LINES else f"round(sum({m}), 9) AS {m}" if m == "cost" else f"CAST(sum({m}) AS BIGINT) AS {m}" for m in SERIES)
     return f" SELECT date, {cols} FROM {source} WHERE {where} GROUP BY date"
