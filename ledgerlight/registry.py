@@ -523,12 +523,19 @@ def _as_lines(s: SparkSession, d: str) -> DataFrame:
     patch = F.concat(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("added") + 1), lambda i: F.lit("+x")), F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("deleted") + 1), lambda i: F.lit("-y")))
     exact = F.filter(patch, lambda x, i: (i != 0) & (i != F.col("added") + 1))
     used = F.to_json(F.struct(at.alias("timestamp"), F.lit("user").alias("type"), F.struct(F.array(F.struct(F.concat(F.array(F.lit(" c")), exact).alias("lines"))).alias("structuredPatch"), F.lit("old").alias("oldString")).alias("toolUseResult")))
-    good = e.select(F.when(F.col("edit"), used).otherwise(said).alias("value"), "session_file")
+    line = F.when(F.col("edit"), used).otherwise(said)
+    # Fields that nobody declared may come twice.
+    line = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"other":1,"other":{"type":1,"type":2},'), F.substring(line, 2, 1 << 30))).otherwise(line)
+    good = e.select(line.alias("value"), "session_file")
     bad = [
         "not json at all", "", "   ", "{}", "[]", '{"type":"assistant","message":{"model":"opus","usage":{"input_tokens":1}}}', '{"timestamp":"2024-01-01","type":"assistant","message":{"usage":{}}}',
         '{"timestamp":"2024-01-01T00:00:00","type":"assistant","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"system","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"model":"x"}}',
         '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{},"content":"text"}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":1.5}}}',
         '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":-5}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":"text"}', '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":{"structuredPatch":[]}}',
+        *[f'{{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{{"model":"opus","usage":{{"input_tokens":1}}}}}}{rest}' for rest in (" x", "]", "}", ",", ",{}", ' "end of line"', ',"end of line"', '],["x"', "{}")],
+        '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","type":"assistant","message":{"usage":{"input_tokens":1}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":1,"input_tokens":1}}}',
+        '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":1},"content":[{"type":"text"},{"type":"tool_use","input":{"old_string":"a","old_string":"a"}}]}}',
+        '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":{"structuredPatch":[{"lines":["+a"],"lines":["+a"]}]}}', "{'timestamp':'2024-01-01T00:00:00Z','type':'assistant','message':{'usage':{'input_tokens':1}}}",
     ]
     return good.unionByName(s.createDataFrame([(b, "s0.jsonl") for b in bad], "value string, session_file string"))
 

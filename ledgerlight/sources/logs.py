@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
@@ -83,16 +84,50 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(INSTANT), F.try_to_timestamp(F.upper(text)))
 
 
+#: What stands behind the object when a line is wrapped in an array; nothing else may.
+_END = "end of line"
+STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
+
+def _twice(obj: Column, kind: T.StructType) -> Column:
+    """Whether the JSON object has a declared field twice, at any declared depth; other fields may."""
+
+    def of(c: Column, t: T.DataType) -> Column | None:
+        if isinstance(t, T.StructType):
+            return _twice(c, t)
+        if isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType):
+            return F.exists(F.from_json(c, "array<string>"), lambda x: _twice(x, t.elementType))
+        return None
+
+    keys = F.filter(F.json_object_keys(obj), lambda k: k.isin(kind.names))
+    found = [F.size(keys) > F.size(F.array_distinct(keys))]
+    found += [x for f in kind.fields if (x := of(F.get_json_object(obj, f"$.{f.name}"), f.dataType)) is not None]
+    return reduce(Column.__or__, [F.coalesce(x, F.lit(False)) for x in found])
+
+
+def strict(value: Column) -> Column:
+    """Whether a line is one JSON object with nothing behind it and no declared field twice.
+
+    One strict reading of the wrapped line tells nearly all lines: it refuses every doubled field. What it
+    refuses is looked at again, as a field that is not declared may be doubled.
+    """
+    wrapped = F.concat(F.lit("["), value, F.lit(f',"{_END}"]'))
+    v = F.try_parse_json(wrapped)
+    plain = F.coalesce((F.try_variant_get(v, "$[1]", "string") == _END) & F.try_variant_get(v, "$[2]", "variant").isNull(), F.lit(False))
+    alone = F.size(F.from_json(wrapped, "array<string>", STRICT)) == 2
+    return F.when(v.isNotNull(), plain).otherwise(F.coalesce(alone, F.lit(False)) & ~_twice(value, RAW))
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """Events of ``lines`` (value, session_file): a line of a wrong shape or type is dropped whole.
+    """Events of ``lines`` (value, session_file): a line of a wrong shape or type is dropped whole, as is one with text behind its object or a declared field twice.
 
     One pass: the narrow schema is all that is decoded, and each line once. Decoded fields and line
     counts leave through generators, below which no later filter or column can be pushed
     and evaluated again.
     """
     schema = T.StructType([*RAW.fields, T.StructField("_corrupt", T.StringType())])
-    decoded = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    j = lines.where(F.trim("value") != "").select("session_file", F.inline(F.array(decoded)))
+    decoded = F.from_json("value", schema, STRICT | {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    j = lines.where(F.trim("value") != "").select("session_file", "value", F.inline(F.array(decoded)))
     usage, r = F.col("message.usage"), F.col("toolUseResult")
     zero = F.lit(0).cast("bigint")
     said = (F.col("type") == "assistant") & usage.isNotNull()
@@ -100,7 +135,8 @@ def parse(lines: DataFrame) -> DataFrame:
     sound = F.lit(True)
     for c in COUNTERS:
         sound = sound & (F.coalesce(usage[c], zero) >= 0)
-    j = j.where(F.col("_corrupt").isNull() & (said | used) & sound)
+    # The sieve asks for decoded fields, so that it stays above the generator and sees only lines that count.
+    j = j.where(F.when(F.col("_corrupt").isNull() & (said | used) & sound, strict(F.col("value"))).otherwise(F.lit(False)))
     # What an edit or a patch changed: added, deleted, and whether it was a whole file.
     counts = "struct<added:bigint,deleted:bigint,whole:boolean>"
     edits = F.filter(F.coalesce(F.col("message.content"), F.array().cast(RAW["message"].dataType["content"].dataType)), lambda b: (b["type"] == "tool_use") & (b["name"] == "Edit") & b["input"].isNotNull())
