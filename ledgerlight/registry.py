@@ -545,11 +545,6 @@ def _s8(s, d):
     return logs.parse(_as_lines(s, d)).select("session_file", "model", F.col("ts").cast("timestamp_ntz").alias("ts"), *[m for m in MEASURES if m != "cost"], F.round("cost", 9).alias("cost"))
 
 
-@query("d4_u1_root_map", " SELECT root, CAST(unnest(list_sort(list(DISTINCT cwd))) AS VARCHAR) AS cwd FROM sm GROUP BY root")
-def _d4(s, d):
-    return rollup.root_map(ad.session_map(s)).select("root", F.explode("cwds").alias("cwd"))
-
-
 @query("f11_s9_history_json_dates", f" SELECT root, cwd, date, CAST(sum(input) AS BIGINT) AS input, CAST(sum(added) AS BIGINT) AS added, round(sum(cost), 9) AS cost FROM j WHERE event_id % 7 <> 0 GROUP BY root, cwd, date")
 def _f11(s, d):
     """A nested JSON history, some of its dates unreadable, written and imported."""
@@ -565,11 +560,6 @@ def _f11(s, d):
     return money(import_history_json(s, at).select("root", "cwd", "date", "input", "added", "cost"))
 
 
-@query("f15_name_search", " SELECT root_key, name FROM g WHERE contains(lower(name), lower('E/P1'))")
-def _f15(s, d):
-    return grouping.search(ad.groups(s), "E/P1").select("root_key", "name")
-
-
 _SRC = " s0 AS (SELECT s_suppkey AS seq, 'd' || s_suppkey AS dir_name, '/home/u/logs/d' || s_suppkey AS path, ['f' || s_suppkey || '.jsonl', 'a' || s_suppkey || '.jsonl'] AS files, CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE '/home/u/w/n' || s_nationkey || '/' || repeat('x', CAST(s_suppkey % 3 AS INTEGER)) END AS cwd FROM supplier), ids AS (SELECT DISTINCT cwd, cwd AS root_path, CASE WHEN CAST(regexp_extract(cwd, 'n([0-9]+)', 1) AS INTEGER) % 4 = 0 THEN NULL ELSE 'git@h:n' || CAST(regexp_extract(cwd, 'n([0-9]+)', 1) AS INTEGER) % 7 END AS remote_url FROM s0 WHERE cwd IS NOT NULL)"
 
 
@@ -661,16 +651,6 @@ def _d18(s, d):
 
 
 # Orders, labels, streaming.
-@query("o4_f12_group_order", " SELECT root_key, CAST(row_number() OVER (ORDER BY root_key = '/home/u/code/p3', root_key = '/home/u/code/p4' DESC, lower(name)) AS INTEGER) AS place FROM (SELECT root_key, CASE WHEN root_key = '/home/u/code/p5' THEN 'Five' ELSE name END AS name FROM g)")
-def _o4(s, d):
-    return overrides.with_place(ad.groups(s), ad.overrides()).select("root_key", "place")
-
-
-@query("o6_x28_roots", " SELECT root, replace(regexp_replace(root, '/projects$', ''), '/home/u/', '') AS label, CAST(row_number() OVER (ORDER BY root) AS INTEGER) AS place FROM (SELECT DISTINCT root FROM sm)")
-def _o6(s, d):
-    return _live(s, d).roots().select("root", scalars.source_display(F.col("root"), "/home/u").alias("label"), F.row_number().over(W.orderBy(F.monotonically_increasing_id())).alias("place"))
-
-
 @query("x36_model_bar", _STATS + f", t AS ({_TOKENS}), sh AS (SELECT root_key, model, tokens / sum(tokens) OVER (PARTITION BY root_key)::DOUBLE AS share FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY root_key ORDER BY share DESC, model) AS k, count(*) OVER (PARTITION BY root_key) AS n FROM sh), w AS (SELECT *, CASE WHEN k < n THEN greatest(round(share * 40), 1) END AS w FROM r) SELECT root_key, model, CAST(coalesce(w, greatest(40 - coalesce(sum(w) OVER (PARTITION BY root_key), 0), 0)) AS INTEGER) AS width FROM w")
 def _x36(s, d):
     return modelstats.bar_widths(modelstats.shares(_stats(s, d)["tokens"]), 40).select("root_key", "model", "width")
@@ -764,6 +744,54 @@ def _g4(s, d):
     return g.select("root_key", "name", "origin", "sessions", F.size("sources").cast("bigint").alias("n_sources"), "starred", "hidden")
 
 
+# Groups, orders and roots of the sources that ``supplier`` gives.
+_KEYS_OF = f"{_GROUPED}, gk AS (SELECT root_key, {_GNAME} AS name FROM (SELECT DISTINCT root_key FROM m))"
+
+
+def _supplied(s: SparkSession, d: str) -> DataFrame:
+    return grouping.group_by_identity(*_sources(s, d), home="/home/u")
+
+
+@query("f15_name_search", f"WITH{_KEYS_OF} SELECT root_key, name FROM gk WHERE contains(lower(name), lower('N1'))", "")
+def _f15(s, d):
+    return grouping.search(_supplied(s, d), "N1").select("root_key", "name")
+
+
+@query("o4_f12_group_order", f"WITH{_KEYS_OF} SELECT root_key, CAST(row_number() OVER (ORDER BY root_key IN ('/home/u/w/n4/x', '/home/u/logs/d22'), root_key IN ('/home/u/w/n8/', '/home/u/w/n4/') DESC, lower(CASE WHEN root_key = '/home/u/w/n12/x' THEN 'Aa' ELSE name END)) AS INTEGER) AS place FROM gk", "")
+def _o4(s, d):
+    o = overrides.Overrides(stars={_CWD.format(8, ""), _CWD.format(4, "")}, hidden={_CWD.format(4, "x"), "/home/u/logs/d22"}, renames={_CWD.format(12, "x"): "Aa"})
+    return overrides.with_place(_supplied(s, d), o).select("root_key", "place")
+
+
+_ROOTED = f"{_SRC}, sr AS (SELECT s0.*, '/home/u/.r' || (s_nationkey % 5) || '/projects' AS root FROM s0 JOIN supplier ON s_suppkey = seq)"
+
+
+def _rooted_map(s: SparkSession, d: str) -> DataFrame:
+    """The session map of the supplier's sources under five log roots."""
+    nation = s.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("seq"), F.concat(F.lit("/home/u/.r"), (F.col("s_nationkey") % 5).cast("string"), F.lit("/projects")).alias("source_root"))
+    return grouping.session_map(_sources(s, d)[0].drop("source_root").join(nation, "seq"))
+
+
+@query("d4_u1_root_map", f"WITH{_ROOTED} SELECT DISTINCT root, coalesce(cwd, path) AS cwd FROM sr", "")
+def _d4(s, d):
+    return rollup.root_map(_rooted_map(s, d)).select("root", F.explode("cwds").alias("cwd"))
+
+
+@query("o6_x28_roots", f"WITH{_ROOTED} SELECT root, replace(regexp_replace(root, '/projects$', ''), '/home/u/', '') AS label, CAST(row_number() OVER (ORDER BY root) AS INTEGER) AS place FROM (SELECT DISTINCT root FROM sr)", "")
+def _o6(s, d):
+    from ledgerlight.plans.dashboard import Dashboard
+
+    b = Dashboard(ad.usage_events(s, d), _rooted_map(s, d), _supplied(s, d), ad.as_of(s, d))
+    return b.roots().select("root", scalars.source_display(F.col("root"), "/home/u").alias("label"), F.row_number().over(W.orderBy(F.monotonically_increasing_id())).alias("place"))
+
+
+@query("f18_cwds_without_group", (_STATS + _TOKENS).replace("unnest(cwds) AS cwd FROM g)", "unnest(cwds) AS cwd FROM g WHERE root_key NOT IN ('/home/u/code/p5', '/home/u/code/shared', '/home/u/code/p1'))"))
+def _f18(s, d):
+    """Events of projects that no group holds are in no model's figures."""
+    some = ad.groups(s).where(~F.col("root_key").isin("/home/u/code/p5", "/home/u/code/shared", "/home/u/code/p1"))
+    return modelstats.model_stats(_index(s, d), modelstats.cwd_bridge(some), window(TimeFilter.ALL, ad.as_of(s, d)))["tokens"]
+
+
 # Log files: roots, directories, the first lines' cwd, file names, and the events in them.
 _HOMES = (".config/claude", ".claude", ".x-claude")
 
