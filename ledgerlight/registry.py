@@ -526,7 +526,7 @@ def _as_lines(s: SparkSession, d: str) -> DataFrame:
     line = F.when(F.col("edit"), used).otherwise(said)
     # Fields that nobody declared may come twice.
     line = F.when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"other":1,"other":{"type":1,"type":2},'), F.substring(line, 2, 1 << 30))).otherwise(line)
-    good = e.select(line.alias("value"), "session_file")
+    good = e.select(line.alias("value"), "session_file", "event_id")
     bad = [
         "not json at all", "", "   ", "{}", "[]", '{"type":"assistant","message":{"model":"opus","usage":{"input_tokens":1}}}', '{"timestamp":"2024-01-01","type":"assistant","message":{"usage":{}}}',
         '{"timestamp":"2024-01-01T00:00:00","type":"assistant","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"system","message":{"usage":{}}}', '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"model":"x"}}',
@@ -537,7 +537,7 @@ def _as_lines(s: SparkSession, d: str) -> DataFrame:
         '{"timestamp":"2024-01-01T00:00:00Z","type":"assistant","message":{"usage":{"input_tokens":1},"content":[{"type":"text"},{"type":"tool_use","input":{"old_string":"a","old_string":"a"}}]}}',
         '{"timestamp":"2024-01-01T00:00:00Z","type":"user","toolUseResult":{"structuredPatch":[{"lines":["+a"],"lines":["+a"]}]}}', "{'timestamp':'2024-01-01T00:00:00Z','type':'assistant','message':{'usage':{'input_tokens':1}}}",
     ]
-    return good.unionByName(s.createDataFrame([(b, "s0.jsonl") for b in bad], "value string, session_file string"))
+    return good.unionByName(s.createDataFrame([(b, "s0.jsonl", None) for b in bad], "value string, session_file string, event_id long"))
 
 
 @query("s6_s8_x1_x5_parse_lines", f" SELECT session_file, model, date_trunc('millisecond', ts) AS ts, {', '.join(f'CAST({m} AS BIGINT) AS {m}' for m in MEASURES if m != 'cost')}, round(cost, 9) AS cost FROM u WHERE NOT edit OR added + deleted > 0")
@@ -816,16 +816,17 @@ def _s1(s, d):
     return places.join(e, ["root", "place"]).select(scalars.source_display(F.col("root"), home.split(":", 1)[-1].replace("///", "/")).alias("root"), "dir_name", "cwd", "n_files", "n_events", "units")
 
 
-def _write_logs(s: SparkSession, d: str, home: str) -> None:
+def _write_logs(s: SparkSession, d: str, home: str, more: DataFrame | None = None) -> None:
     """One log file a session below ``home``: Spark writes the lines; the files, as many as the adapter has sessions, get their names."""
     k = F.regexp_extract("session_file", "[0-9]+", 0).cast("int")
-    lines = _as_lines(s, d).select("session_file", F.translate("value", "\n", " ").alias("value"), F.lit(logs.HEAD_LINES + 1).alias("at"))
+    lines = _as_lines(s, d).withColumn("value", F.translate("value", "\n", " "))
+    lines = (lines if more is None else lines.unionByName(more)).select("session_file", "value", (F.coalesce("event_id", F.lit(0)) + logs.HEAD_LINES + 1).alias("at"))
     names = lines.select("session_file").distinct()
     user = F.concat(F.lit('{"type":"user","cwd":"/home/u/code/p'), (k % 6).cast("string"), F.lit('"}'))
     before = F.explode(F.sequence(F.when(k % 2 == 1, logs.HEAD_LINES).otherwise(0), F.lit(logs.HEAD_LINES)))
-    heads = names.select("session_file", user.alias("user"), before.alias("at")).select("session_file", F.when(F.col("at") == logs.HEAD_LINES, F.col("user")).otherwise("{}").alias("value"), "at")
+    heads = names.select("session_file", user.alias("user"), before.alias("at")).select("session_file", F.when(F.col("at") == logs.HEAD_LINES, F.col("user")).otherwise("{}").alias("value"), F.col("at").cast("bigint").alias("at"))
     written = f"{home}-written"
-    lines.unionByName(heads).repartition("session_file").sortWithinPartitions("session_file", "at").select("session_file", "value").write.partitionBy("session_file").text(written)
+    lines.unionByName(heads).repartition("session_file").sortWithinPartitions("session_file", "at", "value").select("session_file", "value").write.partitionBy("session_file").text(written)
     path = s._jvm.org.apache.hadoop.fs.Path
     fs = path(written).getFileSystem(s._jsc.hadoopConfiguration())
     fs.mkdirs(path(f"{home}/.claude-less"))
@@ -836,6 +837,35 @@ def _write_logs(s: SparkSession, d: str, home: str) -> None:
             fs.rename(part.getPath(), path(f"{folder}/s{n}.jsonl"))
 
 
+_CUT = "(SELECT CAST(quantile_disc(event_id, 0.5) AS BIGINT) FROM u WHERE s = 5)"
+
+
+@query(
+    "s6_s7_tolerant_scan",
+    f" SELECT session_file, reason, CAST(count(*) FILTER (ok AND (NOT edit OR added + deleted > 0)) AS BIGINT) AS n_events, CAST(coalesce(sum(input) FILTER (ok), 0) AS BIGINT) AS units FROM (SELECT *, CASE s WHEN 5 THEN 'invalid' WHEN 7 THEN 'unread' END AS reason, s <> 7 AND NOT (s = 5 AND event_id > {_CUT}) AS ok FROM u) GROUP BY ALL",
+)
+def _s6(s, d):
+    """Log files of which one holds bytes that are no text half-way, one vanishes once it is listed, and one ends in mid-line."""
+    home = f"{shared_dir(s)}/home-{uuid.uuid4().hex}"
+    of = ad.base(s, d).where("s = 5").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)").cast("bigint").alias("event_id"))
+    # The bad line stands behind the event of that number: ties of the order go by the text.
+    invalid = of.select(F.concat(F.lit("~"), F.unhex(F.lit("C3FF")).cast("string")).alias("value"), F.lit("s5.jsonl").alias("session_file"), "event_id")
+    ends = s.createDataFrame([('{"timestamp":"2024-01-01T00:00:00Z","type":"assist', "s9.jsonl", 1 << 60)], "value string, session_file string, event_id long")
+    _write_logs(s, d, home, invalid.unionByName(ends))
+    at = f"{home}/{logs.ROOTS}"
+    scheme = F.lit("file:" if home.startswith(("file:", "/")) else "")
+    logs.log_files(s, home).select(F.concat(scheme, F.col("file")).alias("file")).write.parquet(f"{home}-listed")
+    listed = s.read.parquet(f"{home}-listed")
+    lines, missed = logs.tolerant_lines(s, at), logs.left_out(s, at, listed)
+    path = s._jvm.org.apache.hadoop.fs.Path
+    gone = path(f"{home}/{_HOMES[0]}/projects/p1/deep/s7.jsonl")
+    gone.getFileSystem(s._jsc.hadoopConfiguration()).delete(gone, False)
+    name = F.element_at(F.split("file", "/"), -1).alias("session_file")
+    e = logs.parse(lines).groupBy("session_file").agg(F.count("*").alias("n_events"), F.sum("input").alias("units"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return listed.select(name).join(e, "session_file", "left").join(missed.select(name, "reason"), "session_file", "left").select("session_file", "reason", zero("n_events"), zero("units"))
+
+
 @query("t1_t3_streaming_ingest", f"{_DAY} SELECT root, cwd, date, {_sum(MEASURES)}, any_value(active_minutes) AS active_minutes FROM day JOIN act USING (root, cwd, date) GROUP BY root, cwd, date")
 def _t1(s, d):
     """The events as a stream of several batches; the history it leaves is the day rollup."""

@@ -157,6 +157,36 @@ def parse(lines: DataFrame) -> DataFrame:
     )
 
 
+def tolerant_lines(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl") -> DataFrame:
+    """value, session_file, file of every line that can be read.
+
+    A file that is gone or can't be read any further keeps the lines before that, and one with bytes that are no UTF-8
+    those before the first such line, as a reader would that goes through it line by line. Lines are compared by the split they
+    stand in and their order there; only the first bad line of a file is kept for that, so no file is held whole.
+    """
+    texts = _texts(spark, paths, pattern, tolerant=True)
+    bad = first_invalid(texts).select(F.col("file").alias("f"), F.col("bad"))
+    kept = texts.join(bad, texts["file"] == bad["f"], "left").where(F.col("bad").isNull() | (F.struct("block", "at") < F.col("bad")))
+    return kept.select("value", F.element_at(F.split("file", "/"), -1).alias("session_file"), "file")
+
+
+def first_invalid(texts: DataFrame) -> DataFrame:
+    """file, bad (block, at) of the first line that is no UTF-8, for files that have one."""
+    return texts.where(~F.is_valid_utf8("value")).groupBy("file").agg(F.min(F.struct("block", "at")).alias("bad"))
+
+
+def left_out(spark: SparkSession, paths: str | list[str], listed: DataFrame, pattern: str = "*.jsonl") -> DataFrame:
+    """file, reason (``unread``: no line of it came; ``invalid``: cut at a line that is no UTF-8), lines (left out; null for unread ones).
+
+    ``listed`` has the column file: the URLs of the files that should be there, as ``_metadata.file_path`` gives them.
+    """
+    texts = _texts(spark, paths, pattern, tolerant=True)
+    bad = first_invalid(texts).select(F.col("file").alias("f"), "bad")
+    cut = texts.join(bad, texts["file"] == bad["f"]).where(F.struct("block", "at") >= F.col("bad")).groupBy("file").agg(F.count("*").alias("lines"))
+    gone = listed.select("file").distinct().join(texts.select("file").distinct(), "file", "left_anti")
+    return cut.select("file", F.lit("invalid").alias("reason"), "lines").unionByName(gone.select("file", F.lit("unread").alias("reason"), F.lit(None).cast("bigint").alias("lines")))
+
+
 def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     return parse(read_lines(spark, paths))
 
@@ -165,10 +195,14 @@ def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:
 _HEAD = "type string, cwd variant"
 
 
-def _texts(spark: SparkSession, paths: str | list[str], pattern: str) -> DataFrame:
-    """file, block, at, value: lines with the split they stand in; ``at`` grows by one a line within it."""
+def _texts(spark: SparkSession, paths: str | list[str], pattern: str, tolerant: bool = False) -> DataFrame:
+    """file, block, at, value: lines with the split they stand in; ``at`` grows by one a line within it.
+
+    ``tolerant``: files that vanish or break while they are read give what was read.
+    """
     meta = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(paths)
+    lenient = str(tolerant).lower()
+    raw = spark.read.options(recursiveFileLookup="true", pathGlobFilter=pattern, ignoreMissingFiles=lenient, ignoreCorruptFiles=lenient).text(paths)
     return raw.select(*meta, "value", F.monotonically_increasing_id().alias("at"))
 
 
@@ -206,12 +240,12 @@ def log_files(spark: SparkSession, home: str, pattern: str = "*.jsonl") -> DataF
     below the root, file, place (orders files by the names along their paths), own_cwd (the cwd in the file's own head).
 
     Spark lists the files, in parallel, and reads the heads; nothing passes the driver but that listing.
-    Spark leaves out files of no bytes and names that begin with a dot or an underscore below a root.
+    Files that vanish meanwhile are left out. Spark leaves out files of no bytes and names that begin with a dot or an underscore below a root.
     """
     at = f"{home.rstrip('/')}/{ROOTS}"
     try:
-        listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(at).select("path", F.col("_metadata.file_path").alias("file_url"))
-        heads = first_cwds(_texts(spark, at, pattern))
+        listed = spark.read.format("binaryFile").options(recursiveFileLookup="true", pathGlobFilter=pattern, ignoreMissingFiles="true").load(at).select("path", F.col("_metadata.file_path").alias("file_url"))
+        heads = first_cwds(_texts(spark, at, pattern, tolerant=True))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
