@@ -14,7 +14,7 @@ from ledgerlight import adapter as ad
 from ledgerlight.functions import fmt, scalars
 from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
 from ledgerlight.functions.timewin import TimeFilter, display_range, window
-from ledgerlight.operators import activity, bitmaps, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, rollup, series
+from ledgerlight.operators import activity, bitmaps, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, repositories, rollup, series
 from ledgerlight.schema import EVENT, LINES, MEASURES, SERIES
 from ledgerlight.sources import logs
 from ledgerlight.sources.shared import shared_dir
@@ -588,6 +588,40 @@ def _g1(s, d):
 _SQL["g1_a19_a24_x25_j7_groups"] = "WITH" + _SQL["g1_a19_a24_x25_j7_groups"]
 
 
+_ANC = "SELECT {of}, k, '/' || array_to_string(list_filter(string_split({of}, '/'), lambda x: x <> '')[:k], '/') AS path FROM (SELECT {of}, unnest(range(len(list_filter(string_split({of}, '/'), lambda x: x <> '')) + 1)) AS k FROM (SELECT DISTINCT {of} FROM {rows}))"
+
+
+@query(
+    "g2_g3_s13_identities",
+    f"""WITH c AS (SELECT DISTINCT CASE WHEN s_nationkey % 7 = 6 THEN '/gone/n' || s_nationkey || '/worktrees/' ELSE '/home/u/w/n' || s_nationkey || '/' END || repeat('x', CAST(s_suppkey % 3 AS INTEGER)) AS cwd FROM supplier),
+ n AS (SELECT n_nationkey AS k, '/home/u/w/n' || n_nationkey AS p FROM nation),
+ dirs AS (SELECT unnest(['/', '/home', '/home/u', '/home/u/w']) AS path UNION SELECT p FROM n WHERE k % 5 <> 3 UNION SELECT p || '/x' FROM n WHERE k % 2 = 0 AND k % 5 <> 3),
+ marks AS (SELECT p AS path, CASE WHEN k % 4 = 1 THEN '/home/u/w/n' || (k - 1) END AS leads_to FROM n WHERE k % 4 < 2 UNION ALL SELECT p || '/x', NULL FROM n WHERE k % 4 = 2),
+ remotes AS (SELECT p AS root, 'git@h:n' || k AS url FROM n WHERE k % 4 = 0 UNION ALL SELECT p || '/x', 'git@h:x' || k FROM n WHERE k % 8 = 2),
+ h AS (SELECT cwd, regexp_replace(cwd, '/$', '') AS here FROM c),
+ nr AS (SELECT here, max_by(path, k) AS near FROM ({_ANC.format(of='here', rows='h')}) JOIN dirs USING (path) GROUP BY here),
+ hn AS (SELECT h.*, near, near IS NULL OR (near <> here AND near = '/') AS lost FROM h LEFT JOIN nr USING (here)),
+ ab AS (SELECT near, max_by(coalesce(leads_to, path), k) AS above FROM ({_ANC.format(of='near', rows='hn')}) JOIN marks USING (path) GROUP BY near),
+ be AS (SELECT regexp_replace(path, '/[^/]*$', '') AS near, min(path) AS below FROM marks GROUP BY 1 HAVING count(*) = 1),
+ r AS (SELECT cwd, lost, CASE WHEN NOT lost THEN coalesce(above, below) END AS root FROM hn LEFT JOIN ab USING (near) LEFT JOIN be USING (near))
+ SELECT cwd, coalesce(root, CASE WHEN lost THEN regexp_replace(cwd, '/worktrees/.*$', '') ELSE cwd END) AS root_path, url AS remote_url FROM r LEFT JOIN remotes USING (root)""",
+    "",
+)
+def _g2(s, d):
+    """Directories of the suppliers' sources against facts about the nations' directories."""
+    b, n = s.read.parquet(f"{d}/supplier.parquet"), s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("k"))
+    nation = F.col("s_nationkey").cast("string")
+    top = F.when(F.col("s_nationkey") % 7 == 6, F.concat(F.lit("/gone/n"), nation, F.lit("/worktrees/"))).otherwise(F.concat(F.lit("/home/u/w/n"), nation, F.lit("/")))
+    cwds = b.select(F.concat(top, F.expr("repeat('x', cast(s_suppkey % 3 as int))")).alias("cwd"))
+    at = lambda k, rest="": F.concat(F.lit("/home/u/w/n"), k.cast("string"), F.lit(rest))
+    k, none = F.col("k"), F.lit(None).cast("string")
+    here = n.where("k % 5 <> 3")
+    dirs = s.createDataFrame([("/",), ("/home",), ("/home/u",), ("/home/u/w",)], "path string").union(here.select(at(k))).union(here.where("k % 2 = 0").select(at(k, "/x")))
+    marks = n.where("k % 4 < 2").select(at(k).alias("path"), F.when(k % 4 == 1, at(k - 1)).alias("leads_to")).union(n.where("k % 4 = 2").select(at(k, "/x"), none))
+    remotes = n.where("k % 4 = 0").select(at(k).alias("path"), F.concat(F.lit("git@h:n"), k).alias("url")).union(n.where("k % 8 = 2").select(at(k, "/x"), F.concat(F.lit("git@h:x"), k)))
+    return repositories.identities(cwds, dirs, marks, remotes)
+
+
 @query("s2_d3_session_map", f"WITH{_SRC} SELECT unnest(files) AS session_file, '/home/u/logs' AS root, coalesce(cwd, path) AS cwd FROM s0", "")
 def _d3(s, d):
     return grouping.session_map(_sources(s, d)[0])
