@@ -7,9 +7,9 @@ so alignment costs do not grow with a page's length. Constants are counted over
 pages: a (path, text) pair on ``LEAST`` different pages or more, and on at least half of
 those of its layout or host that have the path, is template.
 Every page is then read whole: all nodes at the slot's path are its content, whatever
-their tags or names say; template nodes and the parts inside the slot that are no article by
-their role (navigation, headers, footers, asides, notices, adverts, forms, comments)
-go, the rest is the text. Tags and names (article, main, content classes) choose only on hosts
+their tags or names say; template nodes go, found by counting all blocks, menus and footers too. Of what varies inside the slot
+only controls, adverts, comments and parts made of links go (``is_foreign``): a heading in the article's own header,
+an aside and a section stay whatever their name. Tags and names choose only on hosts
 without a wrapper and on pages where the slot holds nothing.
 
 Counts carry only hashes and combine before the shuffle; the sample has a
@@ -25,7 +25,7 @@ repeated rows each get a row; extra columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import unescape
 
 import pandas as pd
@@ -61,6 +61,11 @@ NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert sidebar side aside nav navbar navigation menu menus breadcrumb breadcrumbs "
     "header masthead footer comment comments commentlist disqus reply replies respond share sharing social related recommended newsletter subscribe subscription signup popup modal overlay widget login search toolbar pagination pager".split()
 )
+#: Of these tags and names what varies from page to page is still no article: controls, adverts and readers' comments.
+NEVER_TAGS = BOILERPLATE - {"header", "aside"}
+NEVER_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments commentlist disqus reply replies respond".split())
+#: So many links and nothing else are a menu, whatever its name.
+MENU_LINKS = 3
 CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 CLOSES = {t: frozenset([t]) for t in ("li", "option", "tr")} | {t: frozenset(["td", "th"]) for t in ("td", "th")} | {t: frozenset(["dt", "dd"]) for t in ("dt", "dd")}
 HEADING = re.compile("h[1-6]|p")
@@ -68,10 +73,11 @@ SCOPE = frozenset("ul ol table dl select body html div article section nav aside
 
 
 class Node:
-    __slots__ = ("kids", "label", "tag", "words")
+    __slots__ = ("kids", "label", "mass", "tag", "words")
 
     def __init__(self, tag: str, label: str, words: frozenset[str]) -> None:
         self.tag, self.label, self.words, self.kids = tag, label, words, []
+        self.mass: tuple[int, int, int] | None = None
 
 
 def _open(name: str, attrs: str) -> Node:
@@ -147,13 +153,54 @@ def is_boilerplate(x: Node) -> bool:
     return any(w.startswith("role=") and w[5:] in ROLES for w in x.words)
 
 
+def mass(x: Node) -> tuple[int, int, int]:
+    """(characters of text, those of them in links, links) at and below a node; counted once a node."""
+    if x.mass is None:
+        chars = linked = links = 0
+        for k in x.kids:
+            if isinstance(k, str):
+                chars += sum(map(len, k.split()))
+            elif k.tag not in RAW:
+                a, b, c = mass(k)
+                chars, linked, links = chars + a, linked + b, links + c
+        x.mass = (chars, chars, 1) if x.tag == "a" else (chars, linked, links)
+    return x.mass
+
+
+def is_menu(x: Node) -> bool:
+    """Links and nothing else, three or more."""
+    chars, linked, links = mass(x)
+    return links >= MENU_LINKS and linked == chars
+
+
+def is_foreign(x: Node) -> bool:
+    """Whether a part of the varying slot is no article.
+
+    Its constancy is looked at elsewhere; this is about parts that vary. Controls, adverts and comments go; what is
+    named like a header, sidebar or notice goes only if links are half of it or more, so that an article's own header, aside or
+    section stays; and links alone, three or more, are a menu under any name.
+    """
+    if x.tag in ("html", "body", "article", "main"):
+        return any(w.startswith("role=") and w[5:] in ROLES for w in x.words)
+    if x.tag in NEVER_TAGS or x.words & NEVER_NAMES or any(w.startswith("role=") and w[5:] in ROLES for w in x.words):
+        return True
+    if x.tag in BOILERPLATE or x.words & NAMES:
+        chars, linked, _ = mass(x)
+        return 2 * linked >= chars
+    return x.tag not in INLINE and is_menu(x)
+
+
+def _none(_: Node) -> bool:
+    return False
+
+
 def squeeze(parts: list[str]) -> str:
     text = "".join(parts)
     return " ".join((unescape(text) if "&" in text else text).split())
 
 
-def blocks(x: Node, path: str, out: list[tuple[str, str]], keep_all: bool = False) -> None:
-    """(path, text) of every block below ``x`` in page order, without boilerplate unless ``keep_all``."""
+def blocks(x: Node, path: str, out: list[tuple[str, str]], drop: Callable[[Node], bool] = is_boilerplate) -> None:
+    """(path, text) of every block below ``x`` in page order, without the parts to ``drop``."""
     here = f"{path}/{x.label}"
     flow: list[str] = []
 
@@ -170,18 +217,18 @@ def blocks(x: Node, path: str, out: list[tuple[str, str]], keep_all: bool = Fals
                 flow.append(k)
             elif k.tag == "br" or k.tag == "wbr":
                 flow.append("\n" if k.tag == "br" else "")
-            elif not keep_all and is_boilerplate(k) or k.tag in RAW:
+            elif k.tag in RAW or drop(k):
                 if k.tag not in INLINE and k.tag not in RAW:
                     flush()
             elif k.tag in INLINE:
                 if any(not isinstance(z, str) and z.tag not in INLINE for z in k.kids):
                     flush()
-                    blocks(k, here, out, keep_all)
+                    blocks(k, here, out, drop)
                 else:
                     visit(k)
             else:
                 flush()
-                blocks(k, here, out, keep_all)
+                blocks(k, here, out, drop)
 
     visit(x)
     flush()
@@ -332,16 +379,17 @@ def main_text(html: str, constants: frozenset[int] = frozenset(), slot: str = ""
 def content(root: Node, constants: frozenset[int] = frozenset(), slot: str = "") -> str:
     """The varying slot's blocks without constants; tags and roles choose only where no slot has any."""
 
-    def taken(hit, roles: bool = True) -> list[str]:
+    def taken(hit, induced: bool = False) -> list[str]:
         roots: list[tuple[Node, str]] = []
-        _find(root, hit, roots, roles=roles)
+        _find(root, hit, roots, roles=not induced)
         got: list[tuple[str, str]] = []
         for node, path in roots:
-            blocks(node, path, got)
+            if not (induced and is_menu(node)):
+                blocks(node, path, got, is_foreign if induced else is_boilerplate)
         return [t for p, t in got if not constants or key(p, t) not in constants]
 
     if slot:
-        best = taken(lambda k, p: p == slot, roles=False)
+        best = taken(lambda k, p: p == slot, induced=True)
         if best:
             return "\n\n".join(best)
     for hit in (
@@ -360,10 +408,12 @@ def content(root: Node, constants: frozenset[int] = frozenset(), slot: str = "")
 def shape(root: Node) -> tuple[int, dict[int, int]]:
     """A page's layout, a hash of the upper paths that hold its blocks, and key -> path of all blocks."""
     got: list[tuple[str, str]] = []
-    blocks(root, "", got, keep_all=True)
+    blocks(root, "", got, _none)
     layout = key("\n".join(sorted({"/".join(p.split("/")[:-1][:LAYOUT_DEPTH]) for p, _ in got})), "")
-    blocks(root, "", got)  # inline adverts left out, as the text is cut
-    return layout, {key(p, t): key(p, "") for p, t in got}
+    # All blocks count, menus and footers too; those with inline parts left out also as a text is cut.
+    blocks(root, "", got)
+    blocks(root, "", got, is_foreign)
+    return layout, {key(p, t): key(p, "") for p, t in set(got)}
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
