@@ -405,12 +405,17 @@ def content(root: Node, constants: frozenset[int] = frozenset(), slot: str = "")
     return "\n\n".join(t for p, t in got if not constants or key(p, t) not in constants)
 
 
-def shape(root: Node) -> tuple[int, dict[int, int]]:
-    """A page's layout, a hash of the upper paths that hold its blocks, and key -> path of all blocks."""
+def layout_of(root: Node) -> tuple[int, list[tuple[str, str]]]:
+    """A page's layout, a hash of the upper paths that hold its blocks, and all its blocks."""
     got: list[tuple[str, str]] = []
     blocks(root, "", got, _none)
-    layout = key("\n".join(sorted({"/".join(p.split("/")[:-1][:LAYOUT_DEPTH]) for p, _ in got})), "")
-    # All blocks count, menus and footers too; those with inline parts left out also as a text is cut.
+    return key("\n".join(sorted({"/".join(p.split("/")[:-1][:LAYOUT_DEPTH]) for p, _ in got})), ""), got
+
+
+def shape(root: Node) -> tuple[int, dict[int, int]]:
+    """A page's layout, and key -> path of all blocks."""
+    layout, got = layout_of(root)
+    # Menus and footers count too; blocks with inline parts left out also as a text is cut.
     blocks(root, "", got)
     blocks(root, "", got, is_foreign)
     return layout, {key(p, t): key(p, "") for p, t in set(got)}
@@ -481,7 +486,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     continue
                 fixed, slot = memo[host]
                 root = parse(html)
-                texts.append(content(root, fixed, slot.get(shape(root)[0]) or slot.get(0, "") if slot else ""))
+                texts.append(content(root, fixed, slot.get(layout_of(root)[0]) or slot.get(0, "") if slot else ""))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return rows.select("page_id", "url", "html", "host", "constants", "layouts", "slots").mapInArrow(run, "page_id long, url string, text string, n_chars long")
