@@ -71,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op6_url_filter": urlfilter.sql()}
+    return {"op6_url_filter": urlfilter.sql(), "op12_substring_dedup": substrings.sql()}

@@ -288,3 +288,14 @@ def report(docs: DataFrame) -> DataFrame:
     rows = _with_pieces(docs, ["doc_id"])
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(stage, f"row {kind}, n_words long, n_removed long, kept_sha256 string").select("row.doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def sql() -> str:
+    """DuckDB's rows of ``report`` over ``documents`` with distinct doc_ids."""
+    return f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ v AS (SELECT doc_id, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW})),
+ f AS (SELECT x, min(doc_id) AS least FROM v GROUP BY x HAVING count(*) > 1),
+ c AS (SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS j FROM v JOIN f USING (x) WHERE least < doc_id),
+ l AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+ k AS (SELECT doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY l.j) FILTER (c.j IS NULL) AS kept FROM l LEFT JOIN c USING (doc_id, j) GROUP BY doc_id)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
