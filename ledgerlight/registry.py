@@ -14,7 +14,7 @@ from ledgerlight import adapter as ad
 from ledgerlight.functions import fmt, scalars
 from ledgerlight.functions.pricing import MODEL_ORDER, normalize_model
 from ledgerlight.functions.timewin import TimeFilter, display_range, window
-from ledgerlight.operators import activity, bitmaps, cards, diff, grouping, heatmap, history, kpi, modelstats, overrides, repositories, rollup, series
+from ledgerlight.operators import activity, bitmaps, cards, diff, grouping, heatmap, history, kpi, labels, modelstats, overrides, repositories, rollup, series
 from ledgerlight.schema import EVENT, LINES, MEASURES, SERIES
 from ledgerlight.sources import logs
 from ledgerlight.sources.shared import shared_dir
@@ -954,3 +954,63 @@ def _t5(s, d):
     out = live.activity_stream(stream, f"{days} days").writeStream.outputMode("update").foreachBatch(sink)
     out.option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return bitmaps.active_minutes(bitmaps.merged(s.read.schema(f"{live.BITS}, batch int").parquet(f"{at}/bits")))
+
+
+# Labels: one chart for each user.
+_CHARTS = """, ch AS (SELECT user_id, CAST(min(ts) AS DATE) AS first, CAST(max(ts) AS DATE) AS last, max(hour(ts) * 60 + minute(ts)) AS top, max(ts) AS at_ FROM events GROUP BY user_id)"""
+
+
+def _charts(s: SparkSession, d: str) -> DataFrame:
+    minute = (F.hour("ts") * 60 + F.minute("ts")).cast("int")
+    day = F.to_date("ts")
+    return ad.base(s, d).groupBy("user_id").agg(F.min(day).alias("first"), F.max(day).alias("last"), F.max(minute).alias("top"), F.max("ts").alias("at_"))
+
+
+def _placed_sql(gap: int) -> str:
+    """Of cd (user_id, i, col, label), in the order of i, what leaves ``gap`` columns to the last one kept: row after row."""
+    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS rn FROM cd),
+ fo AS (SELECT user_id, rn, i, col, label, true AS kept, col + length(label) AS e FROM rk WHERE rn = 1
+   UNION ALL SELECT rk.user_id, rk.rn, rk.i, rk.col, rk.label, rk.col >= fo.e + {gap}, CASE WHEN rk.col >= fo.e + {gap} THEN rk.col + length(rk.label) ELSE fo.e END
+   FROM fo JOIN rk ON rk.user_id = fo.user_id AND rk.rn = fo.rn + 1)"""
+
+
+_AXIS = 60
+
+
+@query("b14_date_axis", _CHARTS + f""", c AS (SELECT *, last - first + 1 AS n, least({_AXIS // 8}, last - first + 1) AS k FROM ch),
+ x AS (SELECT user_id, first, n, k, CAST(unnest(range(k)) AS INTEGER) AS i FROM c), y AS (SELECT *, CASE WHEN k <= 1 THEN 0 ELSE i * (n - 1) // (k - 1) END AS p FROM x)
+ SELECT user_id, i, CAST(least(floor((p + 0.5::DOUBLE) * ({_AXIS}::DOUBLE / n)), {_AXIS - 6}) AS INTEGER) AS col, strftime(first + CAST(p AS INTEGER), '%b %d') AS label FROM y""")
+def _b14_dates(s, d):
+    return labels.date_axis(_charts(s, d), _AXIS, ("user_id",))
+
+
+def _time_sql(bucket: int, n: int, total: int, width: int) -> str:
+    at = lambda p, size: f"CAST(least(floor(({p} + 0.5::DOUBLE) * ({width}::DOUBLE / {n})), {width} - {size}) AS INTEGER)"
+    if bucket < 30:
+        k = min(max(width // 6, 1), n)
+        return _CHARTS + f""", x AS (SELECT user_id, greatest(top - {total}, 0) AS s, CAST(i AS INTEGER) AS i, i * {n - 1} // {max(k - 1, 1)} AS p FROM ch, range({k}) r(i)),
+ y AS (SELECT *, s + p * {bucket} AS m FROM x) SELECT user_id, i, {at('p', 5)} AS col, printf('%02d:%02d', m // 60, m % 60) AS label FROM y"""
+    return _CHARTS + f""", x AS (SELECT user_id, greatest(top - {total}, 0) + i * {bucket} AS m, CAST(i AS INTEGER) AS i FROM ch, range({n}) r(i)),
+ y AS (SELECT *, CAST(m // 60 AS VARCHAR) AS label FROM x WHERE m % 60 < 30), cd AS (SELECT user_id, i, {at('i', 'length(label)')} AS col, label FROM y)""" + _placed_sql(labels.HOUR_GAP) + " SELECT user_id, i, col, label FROM fo WHERE kept"
+
+
+for _f, _name, _w in ((TimeFilter.TODAY, "today", 31), (TimeFilter.HOUR12, "hour12", 40), (TimeFilter.HOUR1, "hour1", 50)):
+    _g = series.GRANULARITY[_f]
+    query(f"b14_time_axis_{_name}", _time_sql(_g.bucket, _g.total // _g.bucket, _g.total, _w), "RECURSIVE " + ad.SQL)(
+        lambda s, d, g=_g, w=_w: labels.time_axis(_charts(s, d).withColumn("start", F.greatest(F.col("top") - g.total, F.lit(0))), g.bucket, g.total // g.bucket, w, ("user_id",))
+    )
+
+
+@query("b15_month_labels", _CHARTS + """, st AS (SELECT user_id, first - CAST(dayofweek(first) AS INTEGER) AS s, last FROM ch), x AS (SELECT user_id, s + CAST(i AS INTEGER) * 7 AS w, CAST(i AS INTEGER) AS i FROM st, range(60) r(i) WHERE i <= (last - s) // 7),
+ cd AS (SELECT user_id, i, 3 + i AS col, strftime(w, '%b') AS label FROM x WHERE i = 0 OR month(w) <> month(w - 7))""" + _placed_sql(1) + " SELECT user_id, i, col, left(label, 20 - col) AS label FROM fo WHERE kept AND col < 20", "RECURSIVE " + ad.SQL)
+def _b15_months(s, d):
+    c = _charts(s, d).withColumn("start", F.expr("date_sub(first, dayofweek(first) - 1)"))
+    return labels.months(c.withColumn("weeks", F.expr("datediff(last, start) div 7 + 1")), 3, 1, ("user_id",), 20)
+
+
+_COLUMNS = {"today": (heatmap.TODAY, "i"), "hours12": (heatmap.HOURS12, "(hour(at_ - INTERVAL 11 HOUR) + i) % 24"), "hour1": (heatmap.HOUR1, "i")}
+for _name, (_mode, _label) in _COLUMNS.items():
+    _sql = _CHARTS + f", cd AS (SELECT user_id, CAST(i AS INTEGER) AS i, CAST(4 + i * 2 AS INTEGER) AS col, CAST({_label} AS VARCHAR) AS label FROM ch, range({_mode.columns}) r(i))" + _placed_sql(1)
+    query(f"b15_columns_{_name}", _sql + " SELECT user_id, i, col, left(label, 30 - col) AS label FROM fo WHERE kept AND col < 30", "RECURSIVE " + ad.SQL)(
+        lambda s, d, m=_mode: labels.columns(_charts(s, d).withColumn("start", F.expr("at_ - INTERVAL 11 HOURS")), m, 4, 2, ("user_id",), 30)
+    )
