@@ -2,11 +2,11 @@
 
 A URL's canonical keys are ``suffix/`` for its host and every parent domain and
 ``host + path`` without a trailing slash. Each listed key sets ``BITS`` bits in
-one 64-bit block, so a probe touches one word. The filter has a fixed number of
-blocks whatever the list's length, is carried as one literal array and probed in
-codegen; URLs with a possible hit go to an exact join with the list, which
-removes the filter's false positives. A saturated filter only sends more rows
-to the join.
+one 64-bit block, so a probe touches one word. The filter has ``BITS_EACH`` bits for
+each key counted. Up to ``LITERAL_BLOCKS`` words are one literal array that a page's row
+meets in place; larger filters are a table of words, at most ``MOST_BLOCKS``, that each key
+of an undecided URL meets by a broadcast hash join. Keys with a possible hit go to an exact
+join with the list, which removes the filter's false positives.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no
 rule and is allowed. Repeated rows each get a row. Extra columns are ignored.
@@ -37,7 +37,9 @@ ENDINGS = ("example.com", "example.net", "example.org")
 LISTED = tuple(f"{site}.{end}/" for site in SITES for end in ENDINGS)
 BITS = 4
 BITS_EACH = 24
-MOST_BLOCKS = 1 << 15
+#: 64-bit words: most in a literal, most in all (some 100 MB as a broadcast).
+LITERAL_BLOCKS = 1 << 15
+MOST_BLOCKS = 1 << 21
 
 
 def blocks_for(keys: int) -> int:
@@ -75,15 +77,26 @@ def _mask(key: Column) -> Column:
     return m
 
 
+def bloom_table(listed: DataFrame, blocks: int) -> DataFrame:
+    """b, m: the filter's words that aren't 0, at most ``blocks``."""
+    return listed.select(_block(F.col("key"), blocks).alias("b"), _mask(F.col("key")).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m"))
+
+
 def bloom_blocks(listed: DataFrame, blocks: int) -> list[int]:
-    """The filter's words: at most ``blocks`` rows reach the driver."""
-    rows = listed.select(_block(F.col("key"), blocks).alias("b"), _mask(F.col("key")).alias("m")).groupBy("b").agg(F.bit_or("m").alias("m")).collect()
+    """All words in order, for a literal: at most ``blocks`` rows reach the driver."""
     words = [0] * blocks
-    for r in rows:
+    for r in bloom_table(listed, blocks).collect():
         words[r.b] = r.m
     return words
 
 
+def possible_hits(probes: DataFrame, table: DataFrame, blocks: int) -> DataFrame:
+    """The rows of ``probes`` (url, key) that a filter of ``table``'s words lets pass."""
+    key = F.col("key")
+    met = probes.withColumn("b", _block(key, blocks)).join(F.broadcast(table), "b")  # at most MOST_BLOCKS words
+    return met.where(F.col("m").bitwiseAND(_mask(key)) == _mask(key)).select("url", "key")
+
+
 def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
     """(rule, verdict) of the longest rule that fits; nulls where none does."""
     name, verdict = None, None
@@ -99,14 +112,20 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str,
     """page_id, host, path, rule, verdict for each row of ``pages``; ``listed`` has ``key``."""
     known = listed.where("key IS NOT NULL").select("key").distinct()
     blocks = blocks or blocks_for(known.count())
-    words = bloom_blocks(known, blocks)
     host, path = host_and_path(F.col("url"))
     base = pages.select("page_id", "url").withColumns({"host": host, "path": path})
     rule, ruled = longest_rule(F.col("host"), F.col("path"), rules)
-    filt = F.expr("array(" + ",".join(f"{w}L" if w > -(2**63) else "-9223372036854775808" for w in words) + ")")
     keys = canonical_keys(F.col("host"), F.col("path"))
-    possible = F.exists(keys, lambda k: F.element_at(filt, _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k)) if any(words) else F.lit(False)
     base = base.withColumns({"rule": rule, "ruled": ruled})
+    if blocks > LITERAL_BLOCKS:
+        open_keys = base.where("ruled IS NULL").select("url", F.explode(keys).alias("key"))
+        passed = possible_hits(open_keys, stored(bloom_table(known, blocks), "filter"), blocks).distinct()
+        hits = stored(passed.join(known, "key").select("url").distinct(), "hits").withColumn("hit", F.lit(True))
+        verdict = F.coalesce("ruled", F.when(F.col("hit"), "block"), F.lit("allow")).alias("verdict")
+        return base.join(hits, "url", "left").select("page_id", "host", "path", "rule", verdict)
+    words = bloom_blocks(known, blocks)
+    filt = F.expr("array(" + ",".join(f"{w}L" if w > -(2**63) else "-9223372036854775808" for w in words) + ")")
+    possible = F.exists(keys, lambda k: F.element_at(filt, _block(k, blocks) + 1).bitwiseAND(_mask(k)) == _mask(k)) if any(words) else F.lit(False)
     # Rules win over the list, so only URLs without one are looked up.
     flagged = base.withColumn("maybe", F.col("ruled").isNull() & possible)
     if any(words):
