@@ -14,8 +14,9 @@ shingle, so one prefix shingle per window is enough, and the rarest is taken. St
    and the document's length (start >= 0, start + len <= n_words), and are
    verified by comparing all words of the item-sized window.
 
-Filters grow with what they hold up to ``BLOCKS`` words and only save work: hashes that
-pass by chance, or collide, fail in step 3. Windows are broadcast only under the counted
+Filters grow with what they hold and only save work: hashes that pass by chance, or collide,
+fail in step 3. Up to ``BLOCKS`` words are a literal in generated code; larger filters are a table
+of words, at most ``MOST_BLOCKS``, met by a broadcast hash join on the word's place. Windows are broadcast only under the counted
 ``BROADCAST_WINDOWS``; beyond that the same join shuffles.
 
 Edge cases: null and word-less texts have no words and are never contaminated;
@@ -37,8 +38,9 @@ SHINGLE = 3
 #: Broadcast bound of prefix windows (each at most a window's words) and of row ids.
 BROADCAST_WINDOWS = 100_000
 BROADCAST_IDS = 500_000
-#: Most 64-bit words of a filter, and bits aimed at for each hash it holds.
+#: 64-bit words of a filter: most in a literal, most in all (some 100 MB as a broadcast), and bits aimed at for each hash it holds.
 BLOCKS = 1 << 15
+MOST_BLOCKS = 1 << 21
 BITS_EACH = 32
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -75,13 +77,15 @@ class HashFilter:
 
     def __init__(self, hashes: DataFrame, count: int) -> None:
         self.blocks = 1
-        while self.blocks < BLOCKS and 64 * self.blocks < BITS_EACH * count:
+        while self.blocks < MOST_BLOCKS and 64 * self.blocks < BITS_EACH * count:
             self.blocks *= 2
         h = F.col("h")
-        rows = hashes.groupBy(self.block(h).alias("b")).agg(F.bit_or(self.mask(h)).alias("m")).collect()  # a row per block
-        self.words = [0] * self.blocks
-        for r in rows:
-            self.words[r.b] = r.m
+        rows = hashes.groupBy(self.block(h).alias("b")).agg(F.bit_or(self.mask(h)).alias("m"))
+        self.table = stored(rows, "filter") if self.blocks > BLOCKS else None
+        self.words = [0] * self.blocks if self.table is None else []
+        if self.table is None:
+            for r in rows.collect():  # a row per block
+                self.words[r.b] = r.m
 
     def block(self, h: Column) -> Column:
         return F.shiftright(h, 12).bitwiseAND(F.lit(self.blocks - 1).cast("bigint")).cast("int")
@@ -95,6 +99,13 @@ class HashFilter:
         table = F.expr("array(" + ",".join("-9223372036854775808" if w == -(2**63) else f"{w}L" for w in self.words) + ")")
         return F.bitwise_not(F.get(table, self.block(h))).bitwiseAND(self.mask(h)) == 0
 
+    def marked(self, rows: DataFrame, h: Column) -> DataFrame:
+        """``rows`` with ``wanted``: whether the filter may hold ``h``."""
+        if self.table is None:
+            return rows.withColumn("wanted", self.may_hold(h))
+        met = rows.withColumn("b", self.block(h)).join(F.broadcast(self.table), "b", "left")  # at most MOST_BLOCKS words
+        return met.withColumn("wanted", F.coalesce(F.bitwise_not("m").bitwiseAND(self.mask(h)) == 0, F.lit(False))).drop("b", "m")
+
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: one row per document row."""
@@ -126,7 +137,7 @@ def prefixes(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     passed = None
     for k in sorted(sizes):
         h = lane_hash("lane", k)
-        hit = cut.select(F.explode(lanes(F.col("w"), k)).alias("lane")).where(F.col("lane.w0").isNotNull() & seen.may_hold(h)).select(h.alias("h"))
+        hit = seen.marked(cut.select(F.explode(lanes(F.col("w"), k)).alias("lane")).where(F.col("lane.w0").isNotNull()), h).where("wanted").select(h.alias("h"))
         passed = hit if passed is None else passed.unionByName(hit)
     freq = passed.groupBy("h").agg(F.count("*").alias("df"))
     # Rarity order; a shingle that never occurs rules its window out.
@@ -147,8 +158,8 @@ def candidates(docs: DataFrame, prefix: DataFrame, window: int) -> DataFrame:
     at, out = F.greatest(F.col("pos") - (window - 1), F.lit(0)), None
     for k in sizes or [1]:
         end, h = F.col("lane.w0").isNull(), lane_hash("lane", k)
-        wanted = rare.may_hold(h) if sizes else F.lit(False)
         rows = cut.select("doc_id", "fp", "w", F.posexplode(lanes(F.col("w"), k)).alias("pos", "lane"))
+        rows, wanted = rare.marked(rows, h) if sizes else rows.withColumn("wanted", F.lit(False)), F.col("wanted")
         rows = rows.where(end | wanted) if out is None else rows.where(~end & wanted)
         rows = rows.select("doc_id", "fp", F.size("w").cast("bigint").alias("n_words"), "pos", F.when(~end, h).alias("h"), at.alias("at"), F.when(~end, F.slice("w", at + 1, 2 * window)).alias("ctx"))
         out = rows if out is None else out.unionByName(rows)
