@@ -42,6 +42,9 @@ FRAME_BYTES = 1 << 20
 LEVEL = 3
 #: Entries of a generation of chunks, and of pieces of mixed chunks; at most two of each are held.
 CACHE, PIECES = 550_000, 50_000
+#: Bytes of a generation of chunks, what an entry takes beside its bytes, and the longest chunks and pieces that are kept.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 160
+LONGEST, LONGEST_PIECE = 1024, 128
 #: One of these after letters is a piece of its own.
 MARKS = b".,!?"
 #: Characters below this one neither combine nor are composed.
@@ -59,7 +62,8 @@ class ChunkCache(dict):
     """Chunk bytes -> ids as little-endian uint32.
 
     A full cache becomes the old generation and is consulted on a miss, so frequent chunks
-    outlive the many that occur once; pieces are kept alike.
+    outlive the many that occur once; pieces are kept alike. Full is by entries or by bytes, and
+    long chunks and pieces aren't kept, so a worker holds some 200 MB at most whatever the texts are.
     """
 
     def __init__(self, path: str = VOCABULARY) -> None:
@@ -70,6 +74,7 @@ class ChunkCache(dict):
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.find = regex.compile(PIECE).findall
+        self.held = 0
         self.old: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.old_pieces: dict[str, bytes] = {}
@@ -90,6 +95,8 @@ class ChunkCache(dict):
             got = self.old_pieces.get(p)
             if got is None:
                 got = self.ids(p)
+            if len(p) > LONGEST_PIECE:
+                return got
             if len(self.pieces) >= PIECES:
                 self.old_pieces, self.pieces = self.pieces, {}
             self.pieces[p] = got
@@ -121,9 +128,13 @@ class ChunkCache(dict):
                 else:
                     ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                     got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= CACHE:
+        if len(chunk) > LONGEST:
+            return got
+        if len(self) >= CACHE or self.held > CACHE_BYTES:
             self.old = dict(self)
             self.clear()
+            self.held = 0
+        self.held += len(chunk) + len(got) + ENTRY_BYTES
         self[chunk] = got
         return got
 
