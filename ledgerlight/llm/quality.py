@@ -8,7 +8,8 @@ below ``CONTENT_SHARE`` the document goes, as it does when the base rules fail.
 The weights are trained by pseudo-likelihood (each label given its neighbours) on at
 most ``FIT_ROWS`` labelled documents, the lowest by a hash of their id: lines of
 good documents are content; lines of bad documents are boilerplate where a seed rule
-fires. Without labelled rows the prior weights stand.
+fires. The fit needs only how often each (features, label, labels beside) occurs, which Spark
+counts; no text reaches the driver. Without labelled rows the prior weights stand.
 
 Edge cases: a null text has no words; empty texts fail the base rules; repeated rows
 each get a row; labels with nulls are ignored; extra columns are ignored. Every text
@@ -18,6 +19,7 @@ is processed whole.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -143,25 +145,22 @@ def judge(text: str, weights: np.ndarray, coupling: float) -> tuple:
     return n, word_chars, symbols, dup, rep, failed, not failed and content >= CONTENT_SHARE * n, content
 
 
-def train(docs: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, hold: float = 0.01) -> tuple[np.ndarray, float]:
-    """Pseudo-likelihood fit of emission weights and coupling, held towards the prior."""
-    rows, left, right, y = [], [], [], []
-    for text, good in docs:
-        feats, _, _ = document_lines(text)
-        labels = [1 if good or not set(f) & set(SEEDS) else 0 for f in feats]
-        for k, f in enumerate(feats):
-            x = np.zeros(len(FEATURES))
-            x[f] = 1
-            rows.append(x)
-            y.append(labels[k])
-            left.append(2 * labels[k - 1] - 1 if k else 0)
-            right.append(2 * labels[k + 1] - 1 if k + 1 < len(labels) else 0)
-    if not rows or len(set(y)) < 2:
+def line_counts(text: str, good: int) -> Counter[tuple[int, int, int]]:
+    """How many lines have (features as bits, label, sum of the labels beside as -1 or 1)."""
+    feats, _, _ = document_lines(text)
+    labels = [1 if good or not set(f) & set(SEEDS) else 0 for f in feats]
+    signs = [0, *(2 * y - 1 for y in labels), 0]
+    return Counter((sum(1 << i for i in f), y, signs[k] + signs[k + 2]) for k, (f, y) in enumerate(zip(feats, labels, strict=True)))
+
+
+def train(counts: list[tuple[int, int, int, int]], rounds: int = 300, rate: float = 0.5, hold: float = 0.01) -> tuple[np.ndarray, float]:
+    """Pseudo-likelihood fit of emission weights and coupling, held towards the prior; ``counts``: ``line_counts`` with their sums."""
+    if len({y for _, y, _, _ in counts}) < 2:
         return PRIOR, COUPLING
-    x = np.column_stack([np.array(rows), np.array(left) + np.array(right)])
-    y = np.array(y)
+    bits, y, beside, n = np.array(counts, dtype=np.int64).T
+    x = np.column_stack([bits >> i & 1 for i in range(len(FEATURES))] + [beside]).astype(float)
     # Both labels weigh the same in the fit, whatever the sample's mix.
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    weight = n * np.where(y == 1, 0.5 / n[y == 1].sum(), 0.5 / n[y == 0].sum())
     start = np.append(PRIOR, COUPLING)
     p = start.copy()
     for _ in range(rounds):
@@ -170,15 +169,30 @@ def train(docs: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, hol
     return p[:-1], float(np.clip(p[-1], 0, 2))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[str, int]]:
-    """At most ``rows`` labelled texts, half of each kind."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[tuple[int, int, int, int]]:
+    """``line_counts`` and their sums over at most ``rows`` labelled documents, half of each kind.
+
+    Of rows that share a doc_id the one with the least text hash counts. At most some
+    thousand combinations of features, label and neighbours can occur.
+    """
     picked = None
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
     for good in (0, 1):
         part = known.where(F.col("quality") == good).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows // 2)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("text", "quality")  # ``rows`` ids at most
-    return [(r.text, r.quality) for r in texts.orderBy(F.xxhash64("text")).limit(rows).collect()]
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")  # ``rows`` ids at most
+    texts = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("t.text", F.col("quality").cast("int").alias("quality"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[tuple[int, int, int]] = Counter()
+        for b in batches:
+            for text, good in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                total.update(line_counts(text, good))
+        cols = list(zip(*((*k, n) for k, n in total.items()), strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["bits", "label", "beside", "n"])
+
+    lines = texts.mapInArrow(count, "bits long, label long, beside long, n long")
+    return sorted(map(tuple, lines.groupBy("bits", "label", "beside").agg(F.sum("n").alias("n")).collect()))
 
 
 def quality(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
