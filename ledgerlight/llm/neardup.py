@@ -12,14 +12,17 @@ full shingle sets.
 Lists are never turned into all pairs. First each member is paired with its list's
 leader (the smallest id, then a member chosen by a hash); confirmed links give
 components. Lists that still hold several components go through an exact rest: their
-members are dealt into blocks of ``BLOCK``, blocks that may hold a link across
+members are dealt into blocks bounded in members and in shingles, blocks that may hold a link across
 components meet, and each meeting counts intersections by a matrix product and returns
-only links that join components. Lists with the same members are done once.
+only links that join components. In lists of several blocks the members are dealt by the size of
+their sets first, and only blocks of the same or the next size meet: sets further apart can't reach the
+threshold. Lists with the same members are done once.
 
 Edge cases: null, empty and word-less texts have no shingles, stand alone and are
 kept; a text of under five words is one shingle; exact copies and repeated rows share a
 class; different texts may share a doc_id, each is judged by its own text; null doc_ids link
-others but never name a component and are never kept beside a row that has one; extra columns are ignored; an empty table gives no rows.
+others but never name a component and are never kept beside a row that has one; in a component without any
+doc_id ``near_duplicates`` marks all rows as kept and ``keep_one`` leaves one; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm import shingles as sh
-from ledgerlight.llm.common import fingerprint, stored, tune
+from ledgerlight.llm.common import stored, tune
 from ledgerlight.llm.components import components
 
 WORDS = 5
@@ -41,20 +44,36 @@ PERCENT = 75
 COORDINATES = 48
 MATCHES = 22
 BLOCK = 256
+#: A block's sets hold so many shingles (of 8 bytes) on average at most, unless one set alone holds more.
+BLOCK_SHINGLES = 1 << 21
+#: Sizes are banded by powers of this number; above 100 / PERCENT, so that linked sets are a band apart at most.
+BAND = 1.35
 #: So many 8-byte ids may be broadcast to pick out the texts of candidates.
 BROADCAST_IDS = 1_000_000
 #: Columns of one step of the block product.
 STEP = 16_384
 
 
+def _name(text: Column) -> list[Column]:
+    """(t1, t2): 128 bits that name a text, or the lack of one; with doc_id they tell rows apart."""
+    parts = (F.coalesce(text, F.lit("")), text.isNull())
+    return [F.xxhash64(*parts).alias("t1"), F.xxhash64(F.lit(7), *parts).alias("t2")]
+
+
+def _same_row(a: str, b: str) -> Column:
+    """Whether rows of the aliases ``a`` and ``b`` agree in t1, t2 and doc_id, nulls included."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    return (col(a, "t1") == col(b, "t1")) & (col(a, "t2") == col(b, "t2")) & col(a, "doc_id").eqNullSafe(col(b, "doc_id"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n, h1, h2 (the set's 128-bit name) and sig per row."""
+    """doc_id, t1, t2, n, h1, h2 (the set's 128-bit name) and sig per row."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, h1, h2, sigs = [], [], [], []
-            for t in b.column(2).cast(pa.binary()):
+            for t in b.column(3).cast(pa.binary()):
                 s = sh.shingle_set(t.as_py() or b"", WORDS)
                 n.append(len(s))
                 m = sh.mix(s)
@@ -62,34 +81,34 @@ def signatures(docs: DataFrame) -> DataFrame:
                 h2.append(int(np.add.reduce(m * (s | np.uint64(1))) if len(s) else 0))
                 sigs.append(sh.signature(s, COORDINATES) if len(s) else np.zeros(0, np.int32))
             signed = lambda x: pa.array(np.array(x, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "fp", "n", "h1", "h2", "sig"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n, pa.int64()), signed(h1), signed(h2), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "t1", "t2", "n", "h1", "h2", "sig"])
 
-    return docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), "text").mapInArrow(run, "doc_id long, fp long, n long, h1 long, h2 long, sig array<int>")
+    return docs.select("doc_id", *_name(F.col("text")), "text").mapInArrow(run, "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<int>")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
-    """id, set (sorted uint64, packed) of ``rows`` (id, text)."""
+    """id, n, set (n sorted uint64, packed) of ``rows`` (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [sh.shingle_set(t.as_py() or b"", WORDS).tobytes() for t in b.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) // 8 for s in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "n", "set"])
 
-    return rows.select("id", "text").mapInArrow(run, "id long, set binary")
+    return rows.select("id", "text").mapInArrow(run, "id long, n long, set binary")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, set of the documents whose doc_id is in ``ids`` (column id, distinct)."""
+    """id, n, set of the documents whose doc_id is in ``ids`` (column id, distinct)."""
     few = ids.count() <= BROADCAST_IDS
     return _sets(docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if few else ids, "id", "left_semi"))
 
 
 def class_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """id, set of the classes in ``reps`` (id, doc_id and fp of one row), one row each."""
+    """id, n, set of the classes in ``reps`` (id, doc_id, t1 and t2 of one row), one row each."""
     few = reps.count() <= BROADCAST_IDS
     r = (F.broadcast(reps) if few else reps).alias("r")
-    d = docs.select("doc_id", fingerprint(F.col("text")).alias("fp"), "text").alias("d")
-    rows = d.join(r, (F.col("d.fp") == F.col("r.fp")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))).select("r.id", "d.text")
+    d = docs.select("doc_id", *_name(F.col("text")), "text").alias("d")
+    rows = d.join(r, _same_row("d", "r")).select("r.id", "d.text")
     return _sets(rows).dropDuplicates(["id"])
 
 
@@ -182,22 +201,25 @@ def exact_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     member = posts.join(c, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("x < y")
     lists = mixed.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key")
-    member = stored(member.join(lists, "key"), "mixed")
+    member = stored(member.join(lists, "key").join(sets.select("id", F.col("n").alias("shingles")), "id"), "mixed")
+    blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).alias("nb")
+    band = F.when(F.col("nb") > 2, F.floor(F.log("shingles") / F.log(F.lit(BAND)))).otherwise(F.lit(0))
     # A component with at least a block of members gets blocks of its own; the others share.
     size = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
     own = F.when(F.col("n") >= BLOCK, F.col("comp")).otherwise(F.lit(None).cast("bigint"))
-    size = size.withColumn("own", own)
-    deal = size.groupBy("key", "own").agg(F.sum("n").alias("n")).select("key", "own", F.ceil(F.col("n") / BLOCK).alias("nb"))
-    placed = member.join(size.select("key", "comp", "own"), ["key", "comp"])
+    placed = member.join(member.groupBy("key").agg(blocks_of), "key").join(size.select("key", "comp", own.alias("own")), ["key", "comp"])
+    placed = stored(placed.select("key", "id", "comp", "own", band.cast("bigint").alias("band"), "shingles"), "placed")
+    deal = placed.groupBy("key", "own", "band").agg(blocks_of)
     d = deal.alias("d")
     p = placed.alias("p")
-    placed = p.join(d, (F.col("p.key") == F.col("d.key")) & F.col("p.own").eqNullSafe(F.col("d.own"))).select("p.key", "p.id", "p.comp", "p.own", F.pmod(F.xxhash64("p.id"), F.col("nb")).alias("blk"))
-    blocks = deal.select("key", "own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("blk"))
-    # Blocks, not members, are paired: members / BLOCK of them in a list.
-    name = F.struct(F.coalesce("own", F.lit(-(2**63))).alias("o"), "blk")
-    l = blocks.select("key", name.alias("x"), F.col("own").alias("ox"))  # noqa: E741
-    r = blocks.select("key", name.alias("y"), F.col("own").alias("oy"))
-    meets = l.join(r, "key").where((F.col("x") <= F.col("y")) & (F.col("ox").isNull() | F.col("oy").isNull() | (F.col("ox") != F.col("oy"))))
+    here = (F.col("p.key") == F.col("d.key")) & (F.col("p.band") == F.col("d.band")) & F.col("p.own").eqNullSafe(F.col("d.own"))
+    placed = p.join(d, here).select("p.key", "p.id", "p.comp", "p.own", "p.band", F.pmod(F.xxhash64("p.id"), F.col("nb")).alias("blk"))
+    blocks = deal.select("key", "own", "band", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("nb") - 1)).alias("blk"))
+    # Blocks, not members, are paired: those of the same band and of the bands beside it.
+    name = F.struct(F.coalesce("own", F.lit(-(2**63))).alias("o"), "band", "blk")
+    l = blocks.select("key", "band", name.alias("x"), F.col("own").alias("ox"))  # noqa: E741
+    r = blocks.select("key", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), name.alias("y"), F.col("own").alias("oy"))
+    meets = l.join(r, ["key", "band"]).where((F.col("x") <= F.col("y")) & (F.col("ox").isNull() | F.col("oy").isNull() | (F.col("ox") != F.col("oy"))))
     sides = F.when(F.col("x") == F.col("y"), F.array(F.struct(F.lit(2).alias("side"), F.col("x").alias("z")))).otherwise(
         F.array(F.struct(F.lit(0).alias("side"), F.col("x").alias("z")), F.struct(F.lit(1).alias("side"), F.col("y").alias("z")))
     )
@@ -208,22 +230,22 @@ def exact_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row."""
-    return judged(docs).drop("fp", "cid")
+    return judged(docs).drop("t1", "t2", "cid")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``near_duplicates`` with fp, which tells rows of one doc_id apart, and cid, the component's own name."""
+    """``near_duplicates`` with t1 and t2, which tell rows of one doc_id apart, and cid, the component's own name."""
     rows = stored(signatures(docs), "signatures")
     worded = rows.where("n > 0")
-    classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "fp")).alias("one"))
+    classes = worded.groupBy("h1", "h2").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "t1", "t2")).alias("one"))
     # The written table is the only one that is read, so the ids stay what they are.
-    classes = stored(classes.select("h1", "h2", "doc", F.col("one.doc_id").alias("doc_id"), F.col("one.fp").alias("fp"), F.monotonically_increasing_id().alias("id")), "classes")
+    classes = stored(classes.select("h1", "h2", "doc", "one.*", F.monotonically_increasing_id().alias("id")), "classes")
     w, c = worded.alias("w"), classes.alias("c")
-    same = (F.col("w.fp") == F.col("c.fp")) & F.col("w.doc_id").eqNullSafe(F.col("c.doc_id")) & (F.col("w.h1") == F.col("c.h1")) & (F.col("w.h2") == F.col("c.h2"))
-    reps = stored(w.join(c, same).select("c.id", "w.n", "w.sig", "c.doc_id", "c.fp").dropDuplicates(["id"]), "reps")
+    same = _same_row("w", "c") & (F.col("w.h1") == F.col("c.h1")) & (F.col("w.h2") == F.col("c.h2"))
+    reps = stored(w.join(c, same).select("c.id", "w.n", "w.sig", "c.doc_id", "c.t1", "c.t2").dropDuplicates(["id"]), "reps")
     posts = stored(prefix_posts(reps), "posts")
     posts = stored(posts.join(posts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
-    sets = stored(class_sets(docs, stored(reps.join(posts.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "fp"), "met")), "sets")
+    sets = stored(class_sets(docs, stored(reps.join(posts.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "t1", "t2"), "met")), "sets")
     edges = stored(confirm(leader_pairs(posts, F.min("id"), None), reps, sets), "links")
     comp = components(edges)
     more = stored(confirm(leader_pairs(posts, F.min_by("id", F.xxhash64("id", "key")), comp), reps, sets), "links")
@@ -234,24 +256,25 @@ def judged(docs: DataFrame) -> DataFrame:
     of_class = classes.select("id", "h1", "h2", "doc").join(comp.withColumnRenamed("node", "id"), "id", "left").select("h1", "h2", "doc", F.coalesce("comp", "id").alias("cid"))
     of_class = stored(of_class, "of-class")
     least = stored(of_class.groupBy("cid").agg(F.min("doc").alias("component_id")), "least")
-    out = rows.select("doc_id", "fp", "n", "h1", "h2").join(of_class.join(least, "cid").select("h1", "h2", "cid", "component_id"), ["h1", "h2"], "left")
+    out = rows.select("doc_id", "t1", "t2", "n", "h1", "h2").join(of_class.join(least, "cid").select("h1", "h2", "cid", "component_id"), ["h1", "h2"], "left")
     alone = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "fp", "cid", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.col("doc_id").isNull() & alone.isNull()).alias("kept"))
+    return out.select("doc_id", "t1", "t2", "cid", F.col("n").alias("n_shingles"), alone.alias("component_id"), F.coalesce(F.col("doc_id") == alone, F.col("doc_id").isNull() & alone.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group; rows without a doc_id or without words stay."""
-    each = judged(docs).where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("cid", "doc_id", "fp", "kept").agg(F.count("*").alias("rows"))
-    each = stored(each, "judged")
-    keeper = stored(each.where("kept").groupBy("cid").agg(F.min("fp").alias("best")), "keepers")
-    each = each.join(keeper, "cid")
-    gone = stored(each.where("NOT kept OR fp <> best").select("doc_id", "fp").distinct(), "gone")
-    again = stored(each.where("kept AND fp = best AND rows > 1").select("doc_id", "fp"), "again")
+    """``docs`` with one row of each near-duplicate group, with the smallest doc_id if any row has one; rows without words stay."""
+    row = ["doc_id", "t1", "t2"]
+    each = stored(judged(docs).where("n_shingles > 0").groupBy("cid", *row).agg(F.count("*").alias("rows")), "judged")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), *row)
+    each = each.join(stored(each.groupBy("cid").agg(F.min(order).alias("best")), "keepers"), "cid").withColumn("stays", order == F.col("best"))
+    gone = stored(each.where("NOT stays").select(*row).distinct(), "gone")
+    again = stored(each.where("stays AND rows > 1").select(*row), "again")
 
     def rows(side: DataFrame, how: str, df: DataFrame) -> DataFrame:
-        side = side.select(F.col("doc_id").alias("other_id"), F.col("fp").alias("other_fp"))
+        side = side.select(F.col("doc_id").alias("other_id"), F.col("t1").alias("other_t1"), F.col("t2").alias("other_t2"))
         side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
-        return df.join(side, (df["doc_id"] == side["other_id"]) & (fingerprint(df["text"]) == side["other_fp"]), how)
+        t1, t2 = _name(df["text"])
+        return df.join(side, df["doc_id"].eqNullSafe(side["other_id"]) & (t1 == side["other_t1"]) & (t2 == side["other_t2"]), how)
 
     left = rows(gone, "left_anti", docs)
     if again.isEmpty():
