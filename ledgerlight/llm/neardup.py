@@ -16,7 +16,8 @@ members are dealt into blocks bounded in members and in shingles, blocks that ma
 components meet, and each meeting counts intersections by a matrix product and returns
 only links that join components. In lists of several blocks the members are dealt by the size of
 their sets first, and only blocks of the same or the next size meet: sets further apart can't reach the
-threshold. Lists with the same members are done once.
+threshold. Lists with the same members are done once, and lists with much the same members are merged before, as the copies
+of one text share some twenty lists: a merged list holds every pair of its lists, and no more pairs than they do together.
 
 Edge cases: null, empty and word-less texts have no shingles, stand alone and are
 kept; a text of under five words is one shingle; exact copies and repeated rows share a
@@ -50,6 +51,8 @@ BLOCK_SHINGLES = 1 << 21
 BAND = 1.35
 #: So many 8-byte ids may be broadcast to pick out the texts of candidates.
 BROADCAST_IDS = 1_000_000
+#: So often lists are merged, under another hash each time.
+MERGES = 2
 #: Columns of one step of the block product.
 STEP = 16_384
 
@@ -195,13 +198,28 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
+def merged(member: DataFrame, salt: int) -> DataFrame:
+    """``member`` (key, id, comp) with lists of the same head, the member with the least hash, made one where that takes no more pairs."""
+    own = F.col("n") * F.col("n")
+    # Written first, as in leader_pairs.
+    lists = stored(member.groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(salt))).alias("head"), F.count("*").alias("n")), "heads")
+    heads = lists.groupBy("head").agg(F.min("key").alias("into"), F.sum(own).alias("apart"), F.count("*").alias("lists")).where("lists > 1").drop("lists")
+    moved = stored(lists.join(heads, "head").select("key", "head", "into", "apart"), "moved")
+    together = member.join(moved.select("key", "head"), "key").select("head", "id").distinct().groupBy("head").agg(F.count("*").alias("n"))
+    fewer = stored(moved.join(together, "head").where(own <= F.col("apart")).select("key", "into"), "fewer")
+    return stored(member.join(fewer, "key", "left").withColumn("key", F.coalesce("into", "key")).select(member.columns).distinct(), "merged")
+
+
 def exact_rest(posts: DataFrame, comp: DataFrame, sets: DataFrame) -> DataFrame:
     """Links across components inside lists that still hold several."""
     c = comp.select(F.col("node").alias("id"), "comp")
     member = posts.join(c, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     mixed = member.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("m1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("m2")).where("x < y")
     lists = mixed.groupBy("n", "m1", "m2").agg(F.min("key").alias("key")).select("key")
-    member = stored(member.join(lists, "key").join(sets.select("id", F.col("n").alias("shingles")), "id"), "mixed")
+    member = stored(member.join(lists, "key"), "mixed")
+    for salt in range(MERGES):
+        member = merged(member, salt)
+    member = stored(member.join(sets.select("id", F.col("n").alias("shingles")), "id"), "sized")
     blocks_of = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("shingles") / BLOCK_SHINGLES)).alias("nb")
     band = F.when(F.col("nb") > 2, F.floor(F.log("shingles") / F.log(F.lit(BAND)))).otherwise(F.lit(0))
     # A component with at least a block of members gets blocks of its own; the others share.
