@@ -165,26 +165,30 @@ def tolerant_lines(spark: SparkSession, paths: str | list[str], pattern: str = "
     stand in and their order there; only the first bad line of a file is kept for that, so no file is held whole.
     """
     texts = _texts(spark, paths, pattern, tolerant=True)
-    bad = first_invalid(texts).select(F.col("file").alias("f"), F.col("bad"))
+    bad = survey(texts).where("bad IS NOT NULL").select(F.col("file").alias("f"), "bad")
     kept = texts.join(bad, texts["file"] == bad["f"], "left").where(F.col("bad").isNull() | (F.struct("block", "at") < F.col("bad")))
     return kept.select("value", F.element_at(F.split("file", "/"), -1).alias("session_file"), "file")
 
 
-def first_invalid(texts: DataFrame) -> DataFrame:
-    """file, bad (block, at) of the first line that is no UTF-8, for files that have one."""
-    return texts.where(~F.is_valid_utf8("value")).groupBy("file").agg(F.min(F.struct("block", "at")).alias("bad"))
+def survey(texts: DataFrame) -> DataFrame:
+    """file, bad (block, at of the first line that is no UTF-8, or null), lines (from that one on) of every file of which a line came; ``texts`` is read once."""
+    wrong = F.min(F.when(~F.is_valid_utf8("value"), F.struct("block", "at")))
+    splits = texts.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"), wrong.alias("own"))
+    cut = splits.withColumn("bad", F.min("own").over(W.partitionBy("file")))
+    after = F.when(F.col("block") > F.col("bad.block"), F.col("n")).when(F.col("block") == F.col("bad.block"), F.col("n") - (F.col("bad.at") - F.col("first"))).otherwise(0)
+    return cut.groupBy("file").agg(F.min("bad").alias("bad"), F.sum(after).alias("lines"))
 
 
 def left_out(spark: SparkSession, paths: str | list[str], listed: DataFrame, pattern: str = "*.jsonl") -> DataFrame:
     """file, reason (``unread``: no line of it came; ``invalid``: cut at a line that is no UTF-8), lines (left out; null for unread ones).
 
     ``listed`` has the column file: the URLs of the files that should be there, as ``_metadata.file_path`` gives them.
+    The files are read once: what is left out follows from a row per split.
     """
-    texts = _texts(spark, paths, pattern, tolerant=True)
-    bad = first_invalid(texts).select(F.col("file").alias("f"), "bad")
-    cut = texts.join(bad, texts["file"] == bad["f"]).where(F.struct("block", "at") >= F.col("bad")).groupBy("file").agg(F.count("*").alias("lines"))
-    gone = listed.select("file").distinct().join(texts.select("file").distinct(), "file", "left_anti")
-    return cut.select("file", F.lit("invalid").alias("reason"), "lines").unionByName(gone.select("file", F.lit("unread").alias("reason"), F.lit(None).cast("bigint").alias("lines")))
+    seen = survey(_texts(spark, paths, pattern, tolerant=True)).select(F.col("file").alias("f"), "bad", "lines")
+    # Of files that came but are not listed, those that are cut are told too.
+    both = listed.select("file").distinct().join(seen, F.col("file") == F.col("f"), "full").where("f IS NULL OR bad IS NOT NULL")
+    return both.select(F.coalesce("file", "f").alias("file"), F.when(F.col("f").isNull(), "unread").otherwise("invalid").alias("reason"), "lines")
 
 
 def read_events(spark: SparkSession, paths: list[str] | str) -> DataFrame:
