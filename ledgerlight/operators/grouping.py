@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 from collections.abc import Callable
 from pathlib import Path
@@ -27,9 +28,10 @@ def git_root(path: Path) -> Path | None:
     """The nearest ancestor with ``.git``; a worktree's link leads to its main repository."""
     for p in (path, *path.parents):
         mark = p / ".git"
-        if mark.is_dir():
+        # os.path, as folders that may not be read hold no mark.
+        if os.path.isdir(mark):
             return p
-        if mark.is_file():
+        if os.path.isfile(mark):
             text = mark.read_text().strip()
             if text.startswith("gitdir:"):
                 linked = (p / text.removeprefix("gitdir:").strip()).resolve()
@@ -39,7 +41,7 @@ def git_root(path: Path) -> Path | None:
 
 
 def only_git_child(path: Path) -> Path | None:
-    found = [c for c in path.iterdir() if c.is_dir() and (c / ".git").exists()]
+    found = [c for c in path.iterdir() if c.is_dir() and os.path.exists(c / ".git")]
     return found[0] if len(found) == 1 else None
 
 

@@ -8,6 +8,7 @@ them from this machine's file system, each ancestor once and without a git proce
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterable
 from pathlib import Path
@@ -91,7 +92,8 @@ def local_facts(spark: SparkSession, cwds: Iterable[str]) -> tuple[DataFrame, Da
     there = {p for c in cwds for p in (Path(c), *Path(c).parents) if p.is_dir()}
     near = {next(p for p in (Path(c), *Path(c).parents) if p.is_dir()) for c in cwds if Path(c).is_absolute()}
     looked = there | {child for p in near for child in p.iterdir() if child.is_dir()}
-    marks = {p: None if (p / ".git").is_dir() else _link(p) for p in looked if (p / ".git").exists()}
+    # os.path, as folders that may not be read hold no mark.
+    marks = {p: None if os.path.isdir(p / ".git") else _link(p) for p in looked if os.path.exists(p / ".git")}
     roots = {Path(to) if to else p for p, to in marks.items()}
     remotes = [(str(p), url) for p in roots if (url := _origin(p))]
     frame = spark.createDataFrame
